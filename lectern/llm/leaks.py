@@ -2,53 +2,141 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.runtime import small, stored, words
+from lectern.runtime import stored, words
 
 RUN = 12
-#: Two words of an item count as near if their places in the document differ by at most this many words more than in the item.
-NEAR = 3
+#: Words are near if they are this far out of their place at most; a near match has NEAR_WORDS of the 2 RUN - 1 words around an anchor near.
+NEAR, NEAR_WORDS = 3, 15
+#: Items are taken in blocks of about so many words, so that what a task holds of them is bounded.
+BLOCK_WORDS = 500_000
 
 
-def terms(items: DataFrame) -> DataFrame:
-    """(item_id, ipos, term, n): the words of each item in order; rows that repeat an item_id are one item."""
-    one = items.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text")).select("item_id", words(F.col("text")).alias("w"))
-    return one.select("item_id", F.size("w").alias("n"), F.posexplode("w").alias("ipos", "term"))
+def hashed(df: DataFrame, key: str) -> DataFrame:
+    """(key, h): 64-bit hashes of the words of the text, in order. NULL and empty texts have none; NULL keys are dropped."""
+    return df.where(F.col(key).isNotNull()).select(key, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
 
 
-def anchors(item_terms: DataFrame, corpus_df: DataFrame, run: int = RUN) -> DataFrame:
-    """(item_id, ipos, term): of every window of `run` words its rarest term in the corpus, ties to the first place.
+def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values and the row of each value."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy()[offsets[0] : offsets[-1]]
+    return values, np.repeat(np.arange(len(column)), np.diff(offsets))
 
-    Any run of an item that stands in a document contains one of its own windows, so no run is missed.
+
+def frequencies(corpus: DataFrame, terms: np.ndarray) -> dict[int, int]:
+    """How often each of the sorted terms stands in the corpus: counted in each task, then summed."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(terms), dtype=np.int64)
+        for b in batches:
+            values, _ = _lists(b.column(0))
+            at = np.minimum(np.searchsorted(terms, values), len(terms) - 1)
+            total += np.bincount(at[terms[at] == values], minlength=len(terms))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(terms[at]), pa.array(total[at])], names=["term", "n"])
+
+    part = corpus.select("h").mapInArrow(count, "term long, n long")
+    return {r.term: r.n for r in part.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+
+
+def postings(corpus: DataFrame, terms: np.ndarray, run: int = RUN) -> DataFrame:
+    """(term, doc_id, pos, context): the positional index of the given terms over the whole corpus.
+
+    context holds the hashes of the words from pos - run + 1 to pos + run - 1 (0 outside of the text): what the lists of all other
+    terms hold at the adjusted offsets around pos, so that lists are intersected without a second shuffle.
     """
-    from pyspark.sql import Window
+    side = run - 1
+    kind = dict(corpus.dtypes)["doc_id"]
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, row = _lists(b.column(1))
+            if not len(values):
+                continue
+            at = np.minimum(np.searchsorted(terms, values), len(terms) - 1)
+            hit = np.flatnonzero(terms[at] == values)
+            places = hit[:, None] + np.arange(-side, side + 1)[None, :]
+            inside = (places >= 0) & (places < len(values))
+            places = np.where(inside, places, 0)
+            inside &= row[places] == row[hit][:, None]
+            context = np.where(inside, values[places], 0)
+            first = np.searchsorted(row, row[hit])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(values[hit]), b.column(0).take(pa.array(row[hit])), pa.array((hit - first).astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1, dtype=np.int32) * (2 * side + 1)), pa.array(context.ravel())),
+            ], names=["term", "doc_id", "pos", "context"])
+
+    return corpus.select("doc_id", "h").mapInArrow(post, f"term long, doc_id {kind}, pos int, context array<long>")
+
+
+def anchors(items: dict[int, np.ndarray], df: dict[int, int], run: int = RUN) -> list[tuple[int, int, int, list[int]]]:
+    """(term, item_id, ipos, context): of every window of `run` words of an item the term that is rarest in the corpus, the first on ties.
+
+    A run of an item that stands in a document holds a whole window and so its anchor: starting from the rarest terms misses none.
+    """
+    out = []
+    for item, h in items.items():
+        n = np.array([df.get(int(x), 0) for x in h])
+        padded = np.concatenate([np.zeros(run - 1, np.int64), h, np.zeros(run - 1, np.int64)])
+        at = sorted({i + int(np.argmin(n[i : i + run])) for i in range(len(h) - run + 1)})
+        out += [(int(h[p]), item, p, padded[p : p + 2 * run - 1].tolist()) for p in at if n[p]]
+    return out
+
 
-    w = Window.partitionBy("item_id").orderBy("ipos").rowsBetween(0, run - 1)
-    known = item_terms.join(F.broadcast(corpus_df), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    best = known.withColumn("best", F.min(F.struct("df", "ipos", "term")).over(w)).where(F.col("ipos") + run <= F.col("n"))
-    return best.select("item_id", F.col("best.ipos").alias("ipos"), F.col("best.term").alias("term")).distinct()
+def _run(side: int, doc: Column, item: Column) -> Column:
+    """Length of the longest run of equal words through the middle of both contexts."""
+    same = F.zip_with(doc, item, lambda a, b: (a == b) & (a != 0))
+    grow = lambda flags: F.aggregate(flags, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, f: F.struct(
+        (s["n"] + (s["on"] & f).cast("int")).alias("n"), (s["on"] & f).alias("on")))["n"]
+    return grow(F.reverse(F.slice(same, 1, side))) + 1 + grow(F.slice(same, side + 2, side))
 
 
-def document_frequency(corpus: DataFrame, item_terms: DataFrame) -> DataFrame:
-    """(term, df) of the items' terms over all documents: the only corpus statistic, summed before the shuffle."""
-    listed = F.broadcast(item_terms.select("term").distinct())
-    return corpus.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(listed, "term").groupBy("term").agg(F.count("*").alias("df"))
+def _near(doc: Column, item: Column) -> Column:
+    """Words of the item's context that stand in the document's context at most NEAR places away."""
+    spot = F.transform(item, lambda x, i: F.when((x != 0) & F.array_contains(F.slice(doc, F.greatest(i + 1 - NEAR, F.lit(1)), 2 * NEAR + 1), x), 1).otherwise(0))
+    return F.aggregate(spot, F.lit(0), lambda a, x: a + x)
 
 
-def postings(corpus: DataFrame, listed: DataFrame, run: int = RUN) -> DataFrame:
-    """(term, doc_id, pos, context): the positional index of the listed terms, each posting with hashes of the words around it.
+def matches(corpus: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
+    """(item_id, doc_id, shift, run_words, near_words): every posting of an anchor set against the item, NULL ids dropped.
 
-    context holds the hashes of the words from pos - run + 1 to pos + run - 1, 0 outside of the text; it is what the lists of
-    the neighbouring terms hold at the offset-adjusted places, so that lists are intersected without another shuffle.
+    Items of fewer than `run` words have no window. Rows that repeat an id count once. The items come in blocks of BLOCK_WORDS
+    words, each against the whole corpus; for one block the terms, their counts and the anchors are of bounded size.
     """
-    keys = F.broadcast(listed)
-    base = corpus.where("doc_id is not null").select("doc_id", words(F.col("text")).alias("w"))
-    padded = base.withColumn("h", F.concat(F.array_repeat(F.lit(0), run - 1), F.transform("w", F.hash), F.array_repeat(F.lit(0), run - 1)))
-    posted = padded.select("doc_id", "h", F.posexplode("w").alias("pos", "term"))
-    return posted.join(keys, "term").select("term", "doc_id", "pos", F.slice("h", F.col("pos") + 1, 2 * run - 1).alias("context"))
+    text = hashed(corpus, "doc_id")
+    listed = stored(hashed(items.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text")), "item_id"), "items")
+    size = listed.agg(F.sum(F.size("h"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / BLOCK_WORDS))
+    spark, side, out = corpus.sparkSession, run - 1, None
+    for k in range(blocks):
+        own = {r.item_id: np.array(r.h, dtype=np.int64) for r in listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()}
+        terms = np.unique(np.concatenate([np.zeros(0, np.int64), *own.values()]))
+        found = anchors(own, frequencies(text, terms), run) if len(terms) else []
+        keys = F.broadcast(spark.createDataFrame(found, f"term long, item_id {dict(items.dtypes)['item_id']}, ipos int, near array<long>"))
+        index = stored(postings(text, np.unique(np.array([t for t, *_ in found], dtype=np.int64)), run), "postings") if found else None
+        if index is None:
+            hit = keys.select("item_id", F.lit(None).cast(dict(corpus.dtypes)["doc_id"]).alias("doc_id"), F.lit(0).alias("shift"), F.lit(0).alias("run_words"), F.lit(0).alias("near_words"))
+        else:
+            hit = index.join(keys, "term").select("item_id", "doc_id", (F.col("pos") - F.col("ipos")).alias("shift"), _run(side, F.col("context"), F.col("near")).alias("run_words"), _near(F.col("context"), F.col("near")).alias("near_words"))
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
+def found(corpus: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id) with at least RUN consecutive words of the item standing consecutively in the document."""
+    return matches(corpus, items).where(F.col("run_words") >= RUN).select("item_id", "doc_id").distinct()
+
+
+def report(corpus: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id, kind, run_words, near_words): phrase for an exact run, near for words in almost their places."""
+    hit = matches(corpus, items).where((F.col("run_words") >= RUN) | (F.col("near_words") >= NEAR_WORDS))
+    best = hit.groupBy("item_id", "doc_id").agg(F.max("run_words").alias("run_words"), F.max("near_words").alias("near_words"))
+    return best.select("item_id", "doc_id", F.when(F.col("run_words") >= RUN, "phrase").otherwise("near").alias("kind"), "run_words", "near_words")
