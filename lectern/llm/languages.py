@@ -25,8 +25,7 @@ VOTES = {k: _own(k) for k in STOPWORDS}
 
 def votes(tokens: Column, lang: str) -> Column:
     """How many of the (lower-case) tokens are function words of this language alone."""
-    own = F.array(*map(F.lit, VOTES[lang]))
-    return F.size(F.filter(tokens, lambda w: F.array_contains(own, w)))
+    return F.size(F.filter(tokens, lambda w: w.isin(*VOTES[lang])))
 
 
 def winner(**counts: Column) -> Column:

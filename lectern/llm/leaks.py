@@ -10,25 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.runtime import stored, words
+from lectern.llm.bytewords import Scan, slices
+from lectern.runtime import stored
 
 RUN = 12
 #: Words are near if they are this far out of their place at most; a near match has NEAR_WORDS of the 2 RUN - 1 words around an anchor near.
 NEAR, NEAR_WORDS = 3, 15
-#: Items are taken in blocks of about so many words, so that what a task holds of them is bounded.
-BLOCK_WORDS = 500_000
-
-
-def hashed(df: DataFrame, key: str) -> DataFrame:
-    """(key, h): 64-bit hashes of the words of the text, in order. NULL and empty texts have none; NULL keys are dropped."""
-    return df.where(F.col(key).isNotNull()).select(key, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-
-
-def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Flat values and the row of each value."""
-    offsets = column.offsets.to_numpy()
-    values = column.values.to_numpy()[offsets[0] : offsets[-1]]
-    return values, np.repeat(np.arange(len(column)), np.diff(offsets))
+#: Items are taken in blocks of about so many characters, so that what a task holds of them is bounded.
+BLOCK_CHARS = 4_000_000
 
 
 def frequencies(corpus: DataFrame, terms: np.ndarray) -> dict[int, int]:
@@ -36,14 +25,14 @@ def frequencies(corpus: DataFrame, terms: np.ndarray) -> dict[int, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms), dtype=np.int64)
-        for b in batches:
-            values, _ = _lists(b.column(0))
+        for b in (part for batch in batches for part in slices(batch, 0)):
+            values = Scan(b.column(0)).hash
             at = np.minimum(np.searchsorted(terms, values), len(terms) - 1)
             total += np.bincount(at[terms[at] == values], minlength=len(terms))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(terms[at]), pa.array(total[at])], names=["term", "n"])
 
-    part = corpus.select("h").mapInArrow(count, "term long, n long")
+    part = corpus.select("text").mapInArrow(count, "term long, n long")
     return {r.term: r.n for r in part.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -57,8 +46,9 @@ def postings(corpus: DataFrame, terms: np.ndarray, run: int = RUN) -> DataFrame:
     kind = dict(corpus.dtypes)["doc_id"]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values, row = _lists(b.column(1))
+        for b in (part for batch in batches for part in slices(batch, 1)):
+            scan = Scan(b.column(1))
+            values, row = scan.hash, scan.row
             if not len(values):
                 continue
             at = np.minimum(np.searchsorted(terms, values), len(terms) - 1)
@@ -74,7 +64,7 @@ def postings(corpus: DataFrame, terms: np.ndarray, run: int = RUN) -> DataFrame:
                 pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1, dtype=np.int32) * (2 * side + 1)), pa.array(context.ravel())),
             ], names=["term", "doc_id", "pos", "context"])
 
-    return corpus.select("doc_id", "h").mapInArrow(post, f"term long, doc_id {kind}, pos int, context array<long>")
+    return corpus.where("doc_id is not null").select("doc_id", "text").mapInArrow(post, f"term long, doc_id {kind}, pos int, context array<long>")
 
 
 def anchors(items: dict[int, np.ndarray], df: dict[int, int], run: int = RUN) -> list[tuple[int, int, int, list[int]]]:
@@ -108,20 +98,19 @@ def _near(doc: Column, item: Column) -> Column:
 def matches(corpus: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """(item_id, doc_id, shift, run_words, near_words): every posting of an anchor set against the item, NULL ids dropped.
 
-    Items of fewer than `run` words have no window. Rows that repeat an id count once. The items come in blocks of BLOCK_WORDS
-    words, each against the whole corpus; for one block the terms, their counts and the anchors are of bounded size.
+    Items of fewer than `run` words have no window. Rows that repeat an id count once. The items come in blocks of BLOCK_CHARS
+    characters, each against the whole corpus; for one block the terms, their counts and the anchors are of bounded size.
     """
-    text = hashed(corpus, "doc_id")
-    listed = stored(hashed(items.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text")), "item_id"), "items")
-    size = listed.agg(F.sum(F.size("h"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_WORDS))
+    listed = stored(items.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text")), "items")
+    size = listed.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / BLOCK_CHARS))
     spark, side, out = corpus.sparkSession, run - 1, None
     for k in range(blocks):
-        own = {r.item_id: np.array(r.h, dtype=np.int64) for r in listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()}
+        own = {r.item_id: Scan(pa.array([r.text], pa.string())).hash for r in listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()}
         terms = np.unique(np.concatenate([np.zeros(0, np.int64), *own.values()]))
-        found = anchors(own, frequencies(text, terms), run) if len(terms) else []
+        found = anchors(own, frequencies(corpus, terms), run) if len(terms) else []
         keys = F.broadcast(spark.createDataFrame(found, f"term long, item_id {dict(items.dtypes)['item_id']}, ipos int, near array<long>"))
-        index = stored(postings(text, np.unique(np.array([t for t, *_ in found], dtype=np.int64)), run), "postings") if found else None
+        index = stored(postings(corpus, np.unique(np.array([t for t, *_ in found], dtype=np.int64)), run), "postings") if found else None
         if index is None:
             hit = keys.select("item_id", F.lit(None).cast(dict(corpus.dtypes)["doc_id"]).alias("doc_id"), F.lit(0).alias("shift"), F.lit(0).alias("run_words"), F.lit(0).alias("near_words"))
         else:
