@@ -132,13 +132,13 @@ def _rolled(s: SparkSession, d: str) -> DataFrame:
 
 
 def _last_before(s: SparkSession, d: str) -> DataFrame:
-    """As-of: for each purchase the user's last earlier event of another type, by one window instead of a range join."""
+    """As-of: for each purchase the user's last earlier event of another type, by one window instead of a range join; -1 without any."""
     e = events.timed(table(s, d, "events", "event_id", "ts", "user_id", "event_type"))
     from pyspark.sql import Window
 
     own = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     seen = e.withColumn("before", F.last(F.when(F.col("event_type") != "purchase", F.col("event_id")), ignorenulls=True).over(own))
-    return seen.where("event_type = 'purchase'").select("event_id", "before")
+    return seen.where("event_type = 'purchase'").select("event_id", F.coalesce("before", F.lit(-1)).alias("before"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
