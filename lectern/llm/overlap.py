@@ -33,9 +33,9 @@ def role(split: Column) -> Column:
 
 
 def segment_words(segments: DataFrame, specs: DataFrame) -> DataFrame:
-    """(segment_id, side, w, bits): word hashes of the segments of train (0), val (1) and test (2) with LEAST_WORDS words and more.
+    """(segment_id, side, w, low, high): word hashes of the segments of train (0), val (1) and test (2) with LEAST_WORDS words and more.
 
-    bits: a bit for each word's hash modulo 64. A row that repeats a segment_id stays until pairs are made distinct. NULL texts, ids
+    low, high: a bit for each word's hash modulo 128. A row that repeats a segment_id stays until pairs are made distinct. NULL texts, ids
     and splits are left out.
     """
     split = specs.where("spec_id is not null").groupBy("spec_id").agg(F.max(role(F.col("split"))).alias("side")).where("side is not null")
@@ -52,15 +52,17 @@ def segment_words(segments: DataFrame, specs: DataFrame) -> DataFrame:
             if not len(rows):
                 continue
             first = np.cumsum(n[rows]) - n[rows]
-            bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (w.view(np.uint64) >> np.uint64(40)) & np.uint64(63)), first).view(np.int64)
+            spot = (w.view(np.uint64) >> np.uint64(40)) & np.uint64(127)
+            one = np.left_shift(np.uint64(1), spot & np.uint64(63))
+            low, high = (np.bitwise_or.reduceat(np.where(spot >> np.uint64(6) == i, one, np.uint64(0)), first).view(np.int64) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([
                 b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)),
-                pa.ListArray.from_arrays(pa.array(np.append(first, len(w)).astype(np.int32)), pa.array(w)), pa.array(bits),
-            ], names=["segment_id", "side", "w", "bits"])
+                pa.ListArray.from_arrays(pa.array(np.append(first, len(w)).astype(np.int32)), pa.array(w)), pa.array(low), pa.array(high),
+            ], names=["segment_id", "side", "w", "low", "high"])
 
     read = segments.where("segment_id is not null and text is not null").select("segment_id", "spec_id", "text")
     joined = read.join(small(split, 24), "spec_id").select("segment_id", "side", "text")
-    return joined.mapInArrow(scan, f"segment_id {kind}, side int, w array<long>, bits long")
+    return joined.mapInArrow(scan, f"segment_id {kind}, side int, w array<long>, low long, high long")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +149,7 @@ def _hashes(w: np.ndarray, most: int) -> list[np.ndarray]:
 
 
 def eval_pieces(held: DataFrame, word: np.ndarray, pair: np.ndarray) -> DataFrame:
-    """(h, eval_id, pos, n, bits): the pieces of the evaluation texts."""
+    """(h, eval_id, pos, n, low, high): the pieces of the evaluation texts."""
     kind = dict(held.dtypes)["segment_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +171,10 @@ def eval_pieces(held: DataFrame, word: np.ndarray, pair: np.ndarray) -> DataFram
                         h[on] = x ^ (x >> np.uint64(31))
                     yield pa.RecordBatch.from_arrays([
                         pa.array(h.view(np.int64)), b.column(0).take(pa.array(part[row])), pa.array(start.astype(np.int32)),
-                        pa.array(np.full(len(start), size, np.int32)), b.column(2).take(pa.array(part[row])),
-                    ], names=["h", "eval_id", "pos", "n", "bits"])
+                        pa.array(np.full(len(start), size, np.int32)), b.column(2).take(pa.array(part[row])), b.column(3).take(pa.array(part[row])),
+                    ], names=["h", "eval_id", "pos", "n", "low", "high"])
 
-    return held.select("segment_id", "w", "bits").mapInArrow(cut, f"h long, eval_id {kind}, pos int, n int, bits long")
+    return held.select("segment_id", "w", "low", "high").mapInArrow(cut, f"h long, eval_id {kind}, pos int, n int, low long, high long")
 
 
 def piece_filter(pieces: DataFrame, bits: int) -> np.ndarray:
@@ -193,7 +195,7 @@ def piece_filter(pieces: DataFrame, bits: int) -> np.ndarray:
 
 
 def train_pieces(train: DataFrame, own: np.ndarray, most: int) -> DataFrame:
-    """(h, train_id, pos, m, bits): the stretches of the training texts that may be a piece of an evaluation text."""
+    """(h, train_id, tpos, m, tlow, thigh): the stretches of the training texts that may be a piece of an evaluation text."""
     kind = dict(train.dtypes)["segment_id"]
     bits = len(own) << 3
     share = train.sparkSession.sparkContext.broadcast(own)
@@ -213,10 +215,10 @@ def train_pieces(train: DataFrame, own: np.ndarray, most: int) -> DataFrame:
                 if len(at):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(h[at].view(np.int64)), b.column(0).take(pa.array(row[at])), pa.array((at - first[row[at]]).astype(np.int32)),
-                        pa.array(n[row[at]].astype(np.int32)), b.column(2).take(pa.array(row[at])),
-                    ], names=["h", "train_id", "tpos", "m", "tbits"])
+                        pa.array(n[row[at]].astype(np.int32)), b.column(2).take(pa.array(row[at])), b.column(3).take(pa.array(row[at])),
+                    ], names=["h", "train_id", "tpos", "m", "tlow", "thigh"])
 
-    return train.select("segment_id", "w", "bits").mapInArrow(probe, f"h long, train_id {kind}, tpos int, m int, tbits long")
+    return train.select("segment_id", "w", "low", "high").mapInArrow(probe, f"h long, train_id {kind}, tpos int, m int, tlow long, thigh long")
 
 
 def candidates(words: DataFrame) -> DataFrame:
@@ -230,7 +232,7 @@ def candidates(words: DataFrame) -> DataFrame:
     bits = min(FILTER_BITS, 1 << max(16, math.ceil(math.log2(max(1, number * BITS_A_PIECE / blocks)))))
     out = None
     k = F.floor(F.greatest("n", "m") / EDITS)
-    fits = (F.abs(F.col("n") - F.col("m")) <= k) & (F.abs(F.col("pos") - F.col("tpos")) <= k) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("tbits"))) <= 2 * k)
+    fits = (F.abs(F.col("n") - F.col("m")) <= k) & (F.abs(F.col("pos") - F.col("tpos")) <= k) & (F.bit_count(F.col("low").bitwiseXOR(F.col("tlow"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("thigh"))) <= 2 * k)
     for i in range(blocks):
         own = pieces if blocks == 1 else pieces.where(F.pmod(F.xxhash64("eval_id"), F.lit(blocks)) == i)
         hit = own.join(train_pieces(train, piece_filter(own, bits), most), "h").where(fits).select("eval_id", "train_id").distinct()
