@@ -81,8 +81,8 @@ def headless(text: Column) -> Column:
 def furniture(lines: DataFrame, titles: DataFrame) -> DataFrame:
     """(document_id, page, line_no) of page numbers, running heads and feet, and marks of the copy among the edge lines.
 
-    A running head is, but for misread signs, the title of the document, one of its headings (lines that end in a colon), or an edge
-    line of another page of the document. A copy mark ends in three words that close edge lines of several documents and hardly any
+    A running head is, but for misread signs, the title of the document, one of its headings (lines that end in a colon), or the
+    outermost line of another page of the document too. A copy mark ends in three words that close edge lines of several documents and hardly any
     line elsewhere.
     """
     bare = F.trim("text")
@@ -93,7 +93,7 @@ def furniture(lines: DataFrame, titles: DataFrame) -> DataFrame:
     marks = cut.groupBy("suffix").agg(F.count_distinct(F.when(F.col("edge"), F.col("document_id"))).alias("docs"), F.avg(F.col("edge").cast("int")).alias("share")).where((F.col("docs") >= MARKED) & (F.col("share") >= AT_EDGE)).select("suffix").withColumn("mark", F.lit(True))
     heads = cut.where(bare.rlike(r":\s*$") & (F.length(bare) < 70)).select("document_id", "key")
     named = titles.where("id is not null and title is not null").select(F.col("id").alias("document_id"), F.explode(F.array(skeleton(F.col("title")), skeleton(F.regexp_replace("title", r"\s+[-–(].*$", "")))).alias("key"))
-    again = cut.where(F.col("edge") & open_end).groupBy("document_id", "key").agg(F.count_distinct("page").alias("pages")).where("pages > 1").select("document_id", "key")
+    again = cut.where(((F.col("top") == 1) | (F.col("bottom") == 1)) & open_end).groupBy("document_id", "key").agg(F.count_distinct("page").alias("pages")).where("pages > 1").select("document_id", "key")
     known = heads.union(named).union(again).where(F.length("key") >= 4).distinct().withColumn("head", F.lit(True))
     edges = cut.where("edge").join(known, ["document_id", "key"], "left").join(small(marks, 60), "suffix", "left")
     number = bare.rlike(NUMBER)
