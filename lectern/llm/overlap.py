@@ -20,8 +20,9 @@ LEAST_WORDS, EDITS = 15, 5
 PIECE = 8
 #: Buckets of the counts of words and of word pairs in the training side; they only steer where texts are cut.
 WORD_BUCKETS, PAIR_BUCKETS = 1 << 16, 1 << 18
-#: Bits of the filter of all pieces, at most; evaluation texts beyond it are searched in further blocks. Bits a piece.
-FILTER_BITS, BITS_A_PIECE = 1 << 28, 16
+#: Bits of the filter of all pieces, at most; evaluation texts beyond it are searched in further blocks. Bits a piece; places that are
+#: one entry of the filter; tasks that fill it.
+FILTER_BITS, BITS_A_PIECE, PLACES, FILLERS = 1 << 28, 26, 16, 4
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,20 +178,30 @@ def eval_pieces(held: DataFrame, word: np.ndarray, pair: np.ndarray) -> DataFram
     return held.select("segment_id", "w", "low", "high").mapInArrow(cut, f"h long, eval_id {kind}, pos int, n int, low long, high long")
 
 
+def _spots(h: np.ndarray, place: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a piece at a range of places."""
+    key = (h ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * _M
+    return ((key >> np.uint64(11)) % np.uint64(bits)).astype(np.int64), (((key ^ (key >> np.uint64(29))) * _M >> np.uint64(13)) % np.uint64(bits)).astype(np.int64)
+
+
 def piece_filter(pieces: DataFrame, bits: int) -> np.ndarray:
-    """A bit for the hash of every piece. Each task sends the bytes it set, so that bits / 8 bytes are gathered at most."""
+    """Two bits for every piece and every range of places where a training text may hold it. FILLERS tasks send their bits, bits / 8 bytes each."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits >> 3, np.uint8)
+        own = np.zeros(bits, bool)
         for b in batches:
-            h = (b.column(0).to_numpy().view(np.uint64) >> np.uint64(9)) % np.uint64(bits)
-            np.bitwise_or.at(own, (h >> np.uint64(3)).astype(np.int64), np.left_shift(1, (h & np.uint64(7)).astype(np.int64)).astype(np.uint8))
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(own[at].astype(np.int16))], names=["at", "set"])
+            h, pos, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().astype(np.int64)
+            k = (n * EDITS // (EDITS - 1)) // EDITS
+            low, high = np.maximum(pos - k, 0) // PLACES, (pos + k) // PLACES
+            for d in range(int((high - low).max(initial=-1)) + 1):
+                on = low + d <= high
+                for spot in _spots(h[on], (low + d)[on], bits):
+                    own[spot] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["own"])
 
-    table = pieces.select("h").mapInArrow(mark, "at int, set short").groupBy("at").agg(F.bit_or("set").alias("set")).toArrow()
     own = np.zeros(bits >> 3, np.uint8)
-    own[table.column("at").to_numpy()] = table.column("set").to_numpy().astype(np.uint8)
+    for part in pieces.select("h", "pos", "n").coalesce(FILLERS).mapInArrow(mark, "own binary").toLocalIterator():
+        own |= np.frombuffer(bytes(part.own), np.uint8)
     return own
 
 
@@ -208,10 +219,12 @@ def train_pieces(train: DataFrame, own: np.ndarray, most: int) -> DataFrame:
                 continue
             row = np.repeat(np.arange(len(n)), n)
             first = np.cumsum(n) - n
+            place = np.arange(len(w)) - first[row]
             for l, h in enumerate(_hashes(w, most), 1):
-                slot = (h >> np.uint64(9)) % np.uint64(bits)
-                on = (own[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
-                at = np.flatnonzero((on == 1) & (row[: len(h)] == row[l - 1 :]))
+                one, two = _spots(h, (place[: len(h)]) // PLACES, bits)
+                on = ((own[one >> 3] >> (one & 7).astype(np.uint8)) & 1) & (row[: len(h)] == row[l - 1 :])
+                at = np.flatnonzero(on)
+                at = at[(own[two[at] >> 3] >> (two[at] & 7).astype(np.uint8)) & 1 == 1]
                 if len(at):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(h[at].view(np.int64)), b.column(0).take(pa.array(row[at])), pa.array((at - first[row[at]]).astype(np.int32)),
