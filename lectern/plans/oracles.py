@@ -205,3 +205,56 @@ ORACLES: dict[str, str] = {
     "rollup_lines": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, grouping(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "last_before": "SELECT event_id, coalesce((SELECT arg_max(x.event_id, (x.ts, x.event_id)) FROM events x WHERE x.user_id = e.user_id AND x.event_type <> 'purchase' AND (x.ts, x.event_id) < (e.ts, e.event_id)), -1) AS before FROM events e WHERE event_type = 'purchase'",
 }
+
+_HEADS = f"""{_SEGMENT},
+ht AS (SELECT *, count(*) FILTER (WHERE label = 'TITLE') OVER f AS nt FROM seg WINDOW f AS (PARTITION BY spec_id ORDER BY order_index, segment_id)),
+hd AS (SELECT spec_id, row_number() OVER (PARTITION BY spec_id ORDER BY order_index, segment_id) AS ord, CASE WHEN label = 'SUBHEADING' THEN 2 ELSE 1 END AS level, text AS heading
+  FROM ht WHERE label IN ('HEADING', 'SUBHEADING') OR (label = 'TITLE' AND nt > 1))"""
+_HEADS_ON = _HEADS[_HEADS.index("ht AS") :]
+_UNNUM = r"regexp_replace(heading, '(?i)^(chapter\s*)?[0-9.]+\s*[:.]?\s*', '')"
+_STEP_MARK = r"(?i)step\s*\d+\s*[:.)-]\s*|\b\d\)\s*|^\s*(?:first|procedure:|method:)\s*,?\s*"
+#: Steps: the look-behind of one alternative is replaced by keeping the mark before the cut.
+_STEPS = rf"""list_filter(list_transform(string_split(regexp_replace(regexp_replace({{0}}, '(?i)([.;])\s*(?:first|then|next|finally|after that)\s*,\s*', '\1' || chr(30), 'g'), '{_STEP_MARK}', chr(30), 'g'), chr(30)), lambda x: regexp_replace(x, '^[ ;.,]+|[ ;.,]+$', '', 'g')), lambda x: x <> '')"""
+_DIFFICULTY = f"CASE WHEN len({_PARTS.format('{0}')}) <= 12 THEN 'easy' WHEN len({_PARTS.format('{0}')}) <= 30 THEN 'medium' ELSE 'hard' END"
+
+ORACLES |= {
+    "analysis_stats": """SELECT DISTINCT id, document_id, CASE WHEN json_valid(stats) THEN TRY_CAST(stats ->> '$.characters' AS BIGINT) END AS characters, CASE WHEN json_valid(stats) THEN TRY_CAST(stats ->> '$.words' AS BIGINT) END AS words,
+      CASE WHEN json_valid(stats) THEN TRY_CAST(stats ->> '$.sentences' AS BIGINT) END AS sentences, CASE WHEN json_valid(stats) THEN stats ->> '$.language' END AS language,
+      CASE WHEN json_valid(stats) THEN TRY_CAST(stats ->> '$.readability.flesch_reading_ease' AS DOUBLE) END AS flesch_reading_ease FROM analyses""",
+    "assignment_objectives": f"""WITH {_HEADS}, r AS (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY ord) AS n FROM hd WHERE level = 1 AND trim(heading) <> '' AND NOT regexp_matches(heading, '(?i)question|exercise|reference|bibliograph|source|conclusion|summary|self-test'))
+      SELECT spec_id, n AS ord, 'Explain ' || lower({_UNNUM}) AS text FROM r WHERE n <= 5""",
+    "exam_sheet": f"""WITH {_DEFINED}, {_HEADS_ON},
+      fo AS (SELECT spec_id, row_number() OVER (PARTITION BY spec_id ORDER BY i) AS ord, CASE WHEN contains(text, '=') THEN left(trim(split_part(text, '=', 1)), 60) ELSE 'Formula' END AS name, text FROM tree WHERE lab = 'FORMULA'),
+      qs AS (SELECT spec_id, row_number() OVER (PARTITION BY spec_id ORDER BY i) AS n, {_STRIP.format('text')} AS text FROM tree WHERE lab = 'QUESTION'),
+      nq AS (SELECT spec_id, count(*) AS c FROM qs GROUP BY 1),
+      hq AS (SELECT h.spec_id, coalesce(c, 0) + row_number() OVER (PARTITION BY h.spec_id ORDER BY ord) AS n, 'Explain the key ideas of ''' || {_UNNUM} || '''.' AS text FROM hd h LEFT JOIN nq USING (spec_id) WHERE trim(heading) <> '' AND NOT regexp_matches(heading, '(?i)question|reference|bibliograph|conclusion|summary'))
+      SELECT spec_id, 'definition' AS part, ord, term AS name, definition AS text FROM defs UNION ALL SELECT spec_id, 'formula', ord, name, text FROM fo
+      UNION ALL SELECT spec_id, 'question', n, NULL, text FROM qs WHERE n <= 10 UNION ALL SELECT spec_id, 'question', n, NULL, text FROM hq WHERE n <= 8""",
+    "outlines": f"""WITH {_SEGMENT}, o AS (SELECT spec_id, left(string_agg(CASE WHEN label IN ('TITLE', 'HEADING') THEN '# ' WHEN label = 'SUBHEADING' THEN '## ' ELSE '[' || coalesce(label, 'PARAGRAPH') || ' p.' || coalesce(CAST(page AS VARCHAR), '?') || '] ' END || text, chr(10) ORDER BY order_index, segment_id), 400000) AS t FROM seg GROUP BY 1)
+      SELECT spec_id, length(t) AS characters, sha256(t) AS digest FROM o""",
+    "flashcards": f"""WITH {_DEFINED},
+      qa AS (SELECT *, lead(lab) OVER f AS nl, lead(text) OVER f AS nt FROM tree WINDOW f AS (PARTITION BY spec_id, section_seq ORDER BY i)),
+      al AS (SELECT spec_id, 0 AS source, ord AS at_, 'What is ' || CASE WHEN regexp_matches(substr(term, 2, 1), '^\\p{{Ll}}') THEN lower(term) ELSE term END || '?' AS question, definition AS answer, {_DIFFICULTY.format('definition')} AS difficulty FROM defs
+        UNION ALL SELECT spec_id, 1, order_index, {_STRIP.format('text')}, {_STRIP.format('nt')}, {_DIFFICULTY.format(_STRIP.format('nt'))} FROM qa WHERE lab = 'QUESTION' AND nl = 'ANSWER'
+        UNION ALL SELECT spec_id, 2, order_index, 'Write the formula for ' || trim(split_part(text, '=', 1)) || '.', text, 'medium' FROM tree WHERE lab = 'FORMULA' AND contains(text, '=') AND trim(split_part(text, '=', 1)) <> ''
+        UNION ALL SELECT spec_id, 3, order_index, 'What is an important point to remember from this topic?', {_STRIP.format('text')}, 'easy' FROM tree WHERE lab = 'IMPORTANT_POINT'),
+      un AS (SELECT *, row_number() OVER (PARTITION BY spec_id, lower(question) ORDER BY source, at_, answer) AS r FROM al), nu AS (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY source, at_, answer) AS ord FROM un WHERE r = 1)
+      SELECT spec_id, ord, question, answer, difficulty FROM nu WHERE ord <= 10""",
+    "merged_segments": rf"""WITH {_KEPT}, lead_ AS {_LEAD.format('kept')},
+      pr AS (SELECT k.*, lead_gap, lag(k.page) OVER f AS pp, lag(text) OVER f AS pt, lag(fs) OVER f AS pf, lag(x0) OVER f AS px0, lag(x1) OVER f AS px1, lag(y0) OVER f AS py0, lag(y1) OVER f AS py1 FROM kept k JOIN lead_ USING (document_id) WINDOW f AS (PARTITION BY k.document_id ORDER BY k.page, k.line_no)),
+      br AS (SELECT *, CASE WHEN pp IS NULL OR pp <> page OR pt = '' OR abs(pf - fs) > 0.6 OR regexp_matches(text, '(?i)^\s*(?:[•●▪◦\-–*]\s+|\(?\d{{1,3}}[.)]\s+|\(?[a-z][.)]\s+|q\d+[.:)]|step\s*\d+|\[\d+\]|answer\s*[:.]|definition\s*[:.]|example\s*[:.]|note\s*[:.]|important\s*[:.])')
+        OR regexp_matches(text, '^[A-Z][a-z]+,\s(?:[A-Z]\.\s?)+(?:,|&|\(|et al)') OR y0 - py1 > 0.9 * greatest(py1 - py0, pf * 1.1, 1.0) OR y0 - py1 < -greatest(py1 - py0, pf * 1.1, 1.0)
+        OR (px1 - px0 > 0 AND regexp_matches(pt, '[.:!?]$') AND px1 - px0 < 0.7 * greatest(x1 - x0, px1 - px0)) THEN 1 ELSE 0 END AS nw FROM pr),
+      bl AS (SELECT *, sum(nw) OVER (PARTITION BY document_id ORDER BY page, line_no) AS blk FROM br),
+      ag AS (SELECT document_id, blk, min(page) AS page, list_reduce(list(text ORDER BY page, line_no), lambda p, q: CASE WHEN regexp_matches(p, '[A-Za-z]-$') AND regexp_matches(q, '^\p{{Ll}}') THEN left(p, length(p) - 1) || q ELSE p || ' ' || q END) AS text,
+        min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, median(fs) AS font_size, count(*) AS line_count, round(avg(conf), 1) AS ocr_confidence FROM bl WHERE text <> '' GROUP BY ALL),
+      fin AS (SELECT * REPLACE (trim(regexp_replace(text, '[ \t]+', ' ', 'g')) AS text) FROM ag)
+      SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY blk) - 1 AS order_index, page, text, x0, y0, x1, y1, font_size, false AS is_bold, line_count, ocr_confidence,
+        coalesce(round(greatest(0.0, y0 - lag(y1) OVER g), 2), 0.0) AS gap_before, coalesce(round(greatest(0.0, lead(y0) OVER g - y1), 2), 0.0) AS gap_after FROM fin WHERE text <> '' WINDOW g AS (PARTITION BY document_id, page ORDER BY blk)""",
+    "notes_clean": rf"""WITH {_TREE}, a AS (SELECT spec_id, section_seq, row_number() OVER (PARTITION BY spec_id, section_seq ORDER BY i) AS block, lab, trim(text) AS x, {_STRIP.format('trim(text)')} AS y FROM tree),
+      b AS (SELECT *, regexp_replace(trim(y), '\.+$', '') AS t FROM a), c AS (SELECT *, CASE WHEN lab = 'DEFINITION' THEN {_definition()} END AS d1, regexp_replace(trim(x), '\.+$', '') AS t2 FROM b),
+      e AS (SELECT * EXCLUDE (t), t2 AS t FROM c), f AS (SELECT *, coalesce(d1, CASE WHEN lab = 'DEFINITION' THEN {_definition()} END) AS d, {_STEPS.format('x')} AS st FROM e)
+      SELECT spec_id, section_seq, block, CASE lab WHEN 'DEFINITION' THEN 'definition' WHEN 'EXAMPLE' THEN 'example' WHEN 'FORMULA' THEN 'formula' WHEN 'IMPORTANT_POINT' THEN 'key_point' WHEN 'PROCEDURE' THEN 'numbered' ELSE 'paragraph' END AS type, d[1] AS term,
+        CASE WHEN lab = 'DEFINITION' THEN coalesce(d[2], y) WHEN lab IN ('EXAMPLE', 'IMPORTANT_POINT') THEN y WHEN lab = 'PROCEDURE' THEN CASE WHEN len(st) >= 2 THEN array_to_string(list_transform(st, lambda s: upper(left(s, 1)) || substr(s, 2)), chr(10)) ELSE x END ELSE x END AS text
+      FROM f WHERE x <> '' """,
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import lines, quality, retrieval, segments, stats, store, study
+from lectern.operators import editor, layout, lines, model, notes, quality, retrieval, segments, stats, store, study
 from lectern.runtime import table
 from lectern.streaming import events
 
@@ -96,10 +96,11 @@ def _upload_codes(s: SparkSession, d: str) -> DataFrame:
 
 def _analysis_stats(s: SparkSession, d: str) -> DataFrame:
     """Stored statistics as columns, cut JSON as NULLs."""
-    schema = "characters long, words long, sentences long, language string, readability struct<flesch_reading_ease:double,flesch_kincaid_grade:double>"
-    j = F.from_json("stats", schema)
-    return table(s, d, "analyses", "id", "document_id", "stats").select("id", "document_id", j["characters"].alias("characters"), j["words"].alias("words"), j["sentences"].alias("sentences"), j["language"].alias("language"),
-                                                                     j["readability"]["flesch_reading_ease"].alias("flesch_reading_ease")).distinct()
+    j = F.from_json("stats", "characters string, words string, sentences string, language string, readability struct<flesch_reading_ease:string>")
+    number = lambda c: j[c].try_cast("long").alias(c)
+    return table(s, d, "analyses", "id", "document_id", "stats").select(
+        "id", "document_id", number("characters"), number("words"), number("sentences"), j["language"].alias("language"),
+        j["readability"]["flesch_reading_ease"].try_cast("double").alias("flesch_reading_ease")).distinct()
 
 
 def _split_counts(s: SparkSession, d: str) -> DataFrame:
@@ -141,6 +142,23 @@ def _last_before(s: SparkSession, d: str) -> DataFrame:
     return seen.where("event_type = 'purchase'").select("event_id", F.coalesce("before", F.lit(-1)).alias("before"))
 
 
+def _classified(s: SparkSession, d: str) -> DataFrame:
+    """Confusion counts on the test split; rows of a training that is deterministic up to the last bits, so counts alone are given."""
+    return model.evaluated(table(s, d, "segments", *SEGMENT), table(s, d, "doc_specs", "spec_id", "split"))
+
+
+def _editable(s: SparkSession, d: str) -> DataFrame:
+    return editor.from_notes(notes.notes(_tree(s, d), "clean"))
+
+
+def _laid_out(s: SparkSession, d: str) -> DataFrame:
+    t = segments.tree(_tree(s, d)).select("spec_id", F.col("order_index").cast("long").alias("ord"), "segment_id", "text")
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("spec_id").orderBy("ord", "segment_id")
+    return layout.pages(t.select("spec_id", F.row_number().over(own).alias("ord"), "text"), "spec_id").groupBy("spec_id", "page").agg(F.count("*").alias("lines"), F.max("slot").alias("last_slot"), F.sum(F.length("text")).alias("characters"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_stats": lambda s, d: stats.document_stats(_documents(s, d)),
     "vocabulary_syllables": lambda s, d: stats.vocabulary(_documents(s, d)),
@@ -169,6 +187,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flashcards": lambda s, d: study.flashcards(_tree(s, d)),
     "quiz_choices": lambda s, d: study.multiple_choice(_tree(s, d)),
     "quiz_problems": lambda s, d: study.quiz_problems(table(s, d, "study_items", "item_id", "item_kind", "document_id", "options", "correct_index", "source_pages"), table(s, d, "document_pages", "document_id", "page_number")),
+    "notes_clean": lambda s, d: notes.notes(_tree(s, d), "clean"),
+    "notes_smart": lambda s, d: notes.notes(_tree(s, d), "smart"),
+    "notes_simple": lambda s, d: notes.notes(_tree(s, d), "simple"),
+    "exam_sheet": lambda s, d: notes.exam(_tree(s, d)),
+    "assignment_objectives": lambda s, d: notes.objectives(_tree(s, d)),
+    "outlines": lambda s, d: notes.outline(_tree(s, d)).select("spec_id", F.length("text").alias("characters"), F.sha2("text", 256).alias("digest")),
+    "outline_parts": lambda s, d: notes.outline_parts(notes.outline(_tree(s, d)), 2000).select("spec_id", "part", F.length("text").alias("characters")),
+    "classified": _classified,
+    "editor_documents": lambda s, d: editor.checked(_editable(s, d), "spec_id", "content").select("spec_id", "problem", "content_hash"),
+    "editor_blocks": lambda s, d: editor.block_rows(_editable(s, d), "spec_id", "content"),
+    "page_layout": _laid_out,
     "bm25_topk": _bm25_top,
     "dense_topk": _nearest,
     "hybrid_retrieve": _hybrid,
