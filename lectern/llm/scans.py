@@ -91,7 +91,7 @@ def furniture(lines: DataFrame, titles: DataFrame) -> DataFrame:
     cut = lines.withColumn("edge", (F.col("top") <= EDGE) | (F.col("bottom") <= EDGE)).withColumn("key", skeleton(headless(F.col("text"))))
     cut = cut.withColumn("suffix", F.when(F.size(F.split(bare, r"\s+")) >= 3, skeleton(end)))
     marks = cut.groupBy("suffix").agg(F.count_distinct(F.when(F.col("edge"), F.col("document_id"))).alias("docs"), F.avg(F.col("edge").cast("int")).alias("share")).where((F.col("docs") >= MARKED) & (F.col("share") >= AT_EDGE)).select("suffix").withColumn("mark", F.lit(True))
-    heads = cut.where(bare.rlike(r":\s*$") & (F.length(bare) < 70)).select("document_id", "key")
+    heads = cut.where(bare.rlike(r":[\s~^_|=.,+\-/]*$") & (F.length(bare) < 70)).select("document_id", "key")
     named = titles.where("id is not null and title is not null").select(F.col("id").alias("document_id"), F.explode(F.array(skeleton(F.col("title")), skeleton(F.regexp_replace("title", r"\s+[-–(].*$", "")))).alias("key"))
     again = cut.where(((F.col("top") == 1) | (F.col("bottom") == 1)) & open_end).groupBy("document_id", "key").agg(F.count_distinct("page").alias("pages")).where("pages > 1").select("document_id", "key")
     known = heads.union(named).union(again).where(F.length("key") >= 4).distinct().withColumn("head", F.lit(True))
