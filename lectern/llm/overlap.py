@@ -22,7 +22,7 @@ PIECE = 8
 WORD_BUCKETS, PAIR_BUCKETS = 1 << 16, 1 << 18
 #: Bits of the filter of all pieces, at most; evaluation texts beyond it are searched in further blocks. Bits a piece; places that are
 #: one entry of the filter; tasks that fill it.
-FILTER_BITS, BITS_A_PIECE, PLACES, FILLERS = 1 << 28, 26, 16, 4
+FILTER_BITS, BITS_A_PIECE, PLACES, FILLERS = 1 << 28, 60, 8, 4
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -188,7 +188,7 @@ def piece_filter(pieces: DataFrame, bits: int) -> np.ndarray:
     """Two bits for every piece and every range of places where a training text may hold it. FILLERS tasks send their bits, bits / 8 bytes each."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, bool)
+        own = np.zeros(bits >> 3, np.uint8)
         for b in batches:
             h, pos, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().astype(np.int64)
             k = (n * EDITS // (EDITS - 1)) // EDITS
@@ -196,8 +196,8 @@ def piece_filter(pieces: DataFrame, bits: int) -> np.ndarray:
             for d in range(int((high - low).max(initial=-1)) + 1):
                 on = low + d <= high
                 for spot in _spots(h[on], (low + d)[on], bits):
-                    own[spot] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["own"])
+                    np.bitwise_or.at(own, spot >> 3, np.left_shift(1, spot & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["own"])
 
     own = np.zeros(bits >> 3, np.uint8)
     for part in pieces.select("h", "pos", "n").coalesce(FILLERS).mapInArrow(mark, "own binary").toLocalIterator():
@@ -206,7 +206,8 @@ def piece_filter(pieces: DataFrame, bits: int) -> np.ndarray:
 
 
 def train_pieces(train: DataFrame, own: np.ndarray, most: int) -> DataFrame:
-    """(h, train_id, tpos, m, tlow, thigh): the stretches of the training texts that may be a piece of an evaluation text."""
+    """(h, train_id, spot, tlow, thigh): the stretches of the training texts that may be a piece of an evaluation text; spot is the text's
+    number of words times 2^32 and the stretch's place."""
     kind = dict(train.dtypes)["segment_id"]
     bits = len(own) << 3
     share = train.sparkSession.sparkContext.broadcast(own)
@@ -227,11 +228,10 @@ def train_pieces(train: DataFrame, own: np.ndarray, most: int) -> DataFrame:
                 at = at[(own[two[at] >> 3] >> (two[at] & 7).astype(np.uint8)) & 1 == 1]
                 if len(at):
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(h[at].view(np.int64)), b.column(0).take(pa.array(row[at])), pa.array((at - first[row[at]]).astype(np.int32)),
-                        pa.array(n[row[at]].astype(np.int32)), b.column(2).take(pa.array(row[at])), b.column(3).take(pa.array(row[at])),
-                    ], names=["h", "train_id", "tpos", "m", "tlow", "thigh"])
+                        pa.array(h[at].view(np.int64)), b.column(0).take(pa.array(row[at])), pa.array(n[row[at]].astype(np.int64) << 32 | place[at]), b.column(2).take(pa.array(row[at])), b.column(3).take(pa.array(row[at])),
+                    ], names=["h", "train_id", "spot", "tlow", "thigh"])
 
-    return train.select("segment_id", "w", "low", "high").mapInArrow(probe, f"h long, train_id {kind}, tpos int, m int, tlow long, thigh long")
+    return train.select("segment_id", "w", "low", "high").mapInArrow(probe, f"h long, train_id {kind}, spot long, tlow long, thigh long")
 
 
 def candidates(words: DataFrame) -> DataFrame:
@@ -244,8 +244,9 @@ def candidates(words: DataFrame) -> DataFrame:
     blocks = max(1, math.ceil(number * BITS_A_PIECE / FILTER_BITS))
     bits = min(FILTER_BITS, 1 << max(16, math.ceil(math.log2(max(1, number * BITS_A_PIECE / blocks)))))
     out = None
-    k = F.floor(F.greatest("n", "m") / EDITS)
-    fits = (F.abs(F.col("n") - F.col("m")) <= k) & (F.abs(F.col("pos") - F.col("tpos")) <= k) & (F.bit_count(F.col("low").bitwiseXOR(F.col("tlow"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("thigh"))) <= 2 * k)
+    m, tpos = F.shiftright("spot", 32), F.col("spot").bitwiseAND((1 << 32) - 1)
+    k = F.floor(F.greatest(F.col("n"), m) / EDITS)
+    fits = (F.abs(F.col("n") - m) <= k) & (F.abs(F.col("pos") - tpos) <= k) & (F.bit_count(F.col("low").bitwiseXOR(F.col("tlow"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("thigh"))) <= 2 * k)
     for i in range(blocks):
         own = pieces if blocks == 1 else pieces.where(F.pmod(F.xxhash64("eval_id"), F.lit(blocks)) == i)
         hit = own.join(train_pieces(train, piece_filter(own, bits), most), "h").where(fits).select("eval_id", "train_id").distinct()
