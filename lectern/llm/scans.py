@@ -13,7 +13,7 @@ from lectern.runtime import small, stored
 
 #: Signs that are read for a letter; inside of a word they can stand for nothing else.
 SIGNS = {"0": "o", "1": "l", "5": "s", "6": "b", "9": "g", "@": "a", "!": "i"}
-#: Letters read (left) for letters printed (right).
+#: Letters read (left) for letters printed (right), or the other way round.
 CONFUSIONS = [("c", "e"), ("f", "t"), ("b", "h"), ("rn", "m"), ("cl", "d"), ("ii", "u"), ("l", "i"), ("m", "in")]
 #: A confusable variant must stand this often in pages that were not scanned.
 FREQUENT = 3
@@ -52,11 +52,15 @@ def anagram(word: Column) -> Column:
     return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda s, c: s + F.pow(F.pmod(F.ascii(c), F.lit(1024)).cast("double"), F.lit(5.0)).cast("long"))
 
 
-def differences() -> list[int]:
-    """What one or two confusions add to the anagram hash of the word read."""
+def differences() -> list[tuple[int, int]]:
+    """(difference, cost): what one or two confusions, each of them either way round, add to the anagram hash of the word read.
+
+    The cost is least for one confusion as listed, then for one the other way round, then for two.
+    """
     value = lambda s: sum((ord(c) % 1024) ** 5 for c in s)
-    one = [value(m) - value(s) for s, m in CONFUSIONS]
-    return sorted(set(one) | {a + b for i, a in enumerate(one) for b in one[i:]})
+    one = [(sign * (value(m) - value(s)), cost) for s, m in CONFUSIONS for sign, cost in ((1, 2), (-1, 3))]
+    both = [(a + b, j + k) for i, (a, j) in enumerate(one) for b, k in one[i:]]
+    return sorted({d: cost for d, cost in sorted(one + both, key=lambda x: -x[1])}.items())
 
 
 def plain_sign(token: Column) -> Column:
@@ -109,7 +113,8 @@ def lexicon(pages: DataFrame) -> DataFrame:
 
 
 def corrections(tokens: DataFrame, lexicon_: DataFrame) -> DataFrame:
-    """(token, meant): for every distinct token that no unscanned page holds the most frequent word it may be a misreading of.
+    """(token, meant): for every distinct token that no unscanned page holds the word it may be a misreading of, with the least
+    confusions and then the most frequent.
 
     Signs are put back to letters first. Then words are joined on equal anagram hashes after one or two confusions; the skeletons
     must agree, since an anagram alone says nothing about places.
@@ -117,13 +122,13 @@ def corrections(tokens: DataFrame, lexicon_: DataFrame) -> DataFrame:
     seen = tokens.where(F.col("token").rlike(r"\p{L}") & (F.length("token") > 1)).select(F.lower("token").alias("token")).distinct()
     strange = seen.join(lexicon_.select(F.col("word").alias("token")), "token", "left_anti").withColumn("plain", plain_sign(F.col("token")))
     often = lexicon_.where(F.col("clean") >= FREQUENT)
-    signs = strange.where("token <> plain").join(often, F.col("plain") == F.col("word")).select("token", F.col("word").alias("meant"), "clean")
-    keys = F.explode(F.transform(F.array(*map(F.lit, differences())), lambda d: d + F.col("av")))
-    moved = strange.withColumn("av", anagram(F.col("plain"))).select("token", "plain", keys.alias("av"))
-    hit = moved.join(often.withColumn("av", anagram(F.col("word"))), "av").where(skeleton(F.col("plain")) == skeleton(F.col("word"))).select("token", F.col("word").alias("meant"), "clean")
+    signs = strange.where("token <> plain").join(often, F.col("plain") == F.col("word")).select("token", F.col("word").alias("meant"), F.lit(0).alias("cost"), "clean")
+    steps = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(c).alias("cost")) for d, c in differences()]))
+    moved = strange.withColumn("av", anagram(F.col("plain"))).select("token", "plain", "av", steps.alias("s")).select("token", "plain", (F.col("s.d") + F.col("av")).alias("av"), "s.cost")
+    hit = moved.join(often.withColumn("av", anagram(F.col("word"))), "av").where(skeleton(F.col("plain")) == skeleton(F.col("word"))).select("token", F.col("word").alias("meant"), "cost", "clean")
     # a sign among letters is wrong even in a word that is found nowhere else; short codes such as H2O are left alone
-    rare = strange.where(F.col("token").rlike(r"^(?=(?:[^\p{L}]*\p{L}){4})\p{L}*(?:[@!]|(?<=\p{L})[01569](?=\p{L})|^[01569](?=\p{L}{3}))[\p{L}@!]*$")).select("token", F.col("plain").alias("meant"), F.lit(0).cast("long").alias("clean"))
-    return signs.union(hit).union(rare).groupBy("token").agg(F.max(F.struct("clean", "meant")).alias("x")).select("token", F.col("x.meant").alias("meant"))
+    rare = strange.where(F.col("token").rlike(r"^(?=(?:[^\p{L}]*\p{L}){4})\p{L}*(?:[@!]|(?<=\p{L})[01569](?=\p{L})|^[01569](?=\p{L}{3}))[\p{L}@!]*$")).select("token", F.col("plain").alias("meant"), F.lit(99).alias("cost"), F.lit(0).cast("long").alias("clean"))
+    return signs.union(hit).union(rare).groupBy("token").agg(F.max(F.struct(-F.col("cost"), "clean", "meant")).alias("x")).select("token", F.col("x.meant").alias("meant"))
 
 
 def english(pages: DataFrame) -> DataFrame:

@@ -249,6 +249,16 @@ def test_scans(spark):
     assert "The harbor reflects the market and the vessel of the short-lived theory moves the number H2O." in text and "Notes" not in text
 
 
+def test_confusions_both_ways(spark):
+    clean = "The circle in the northern barn is clean and clearly the tail of the tall corn is not. " * 6
+    read = ["The cirde in the northem bam is", "the dean and the clean tail is", "dearly not the r0of of the barn", "the circle in the northern barn is", "c0in"]
+    o = spark.createDataFrame([("d", 1, i + 1, t) for i, t in enumerate(["x x. ", "x x. ", *read, "x x. ", "x x. "])], "document_id string, page int, line_no int, text string")
+    pages = spark.createDataFrame([("p1", "c", clean, "txt"), ("p2", "c", "coin roof " * 3, "txt"), ("p3", "d", " ".join(read), "ocr")], "id string, document_id string, text string, source string")
+    titles = spark.createDataFrame([("d", "Notes")], "id string, title string")
+    lines = {r.line_no: {(x.token, x.meant) for x in r.fixes} for r in scans.analysed(o, pages, titles).collect() if r.fixes}
+    assert lines == {3: {("cirde", "circle"), ("northem", "northern"), ("bam", "barn")}, 4: {("dean", "clean")}, 5: {("dearly", "clearly"), ("r0of", "roof")}, 7: {("c0in", "coin")}}
+
+
 # 8
 
 
