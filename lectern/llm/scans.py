@@ -15,8 +15,9 @@ from lectern.runtime import small, stored
 SIGNS = {"0": "o", "1": "l", "5": "s", "6": "b", "9": "g", "@": "a", "!": "i"}
 #: Letters read (left) for letters printed (right), or the other way round.
 CONFUSIONS = [("c", "e"), ("f", "t"), ("b", "h"), ("rn", "m"), ("cl", "d"), ("ii", "u"), ("l", "i"), ("m", "in")]
-#: A confusable variant must stand this often in pages that were not scanned.
-FREQUENT = 3
+#: A word is taken for what was printed if it stands so many times as often as the strange token. A place in a page that was not scanned
+#: counts as so many in scanned lines.
+RATIO = 2
 #: Lines from the top or bottom of a page that may be furniture.
 EDGE = 2
 #: A mark of the copy stands at the edge of pages of so many documents, and of its occurrences this share is at an edge.
@@ -113,22 +114,25 @@ def lexicon(pages: DataFrame) -> DataFrame:
 
 
 def corrections(tokens: DataFrame, lexicon_: DataFrame) -> DataFrame:
-    """(token, meant): for every distinct token that no unscanned page holds the word it may be a misreading of, with the least
-    confusions and then the most frequent.
+    """(token, meant): for every distinct token that no unscanned page holds the word it may be a misreading of: words of unscanned
+    pages before words that stand in scanned lines alone, then the least confusions, then the most frequent.
 
     Signs are put back to letters first. Then words are joined on equal anagram hashes after one or two confusions; the skeletons
-    must agree, since an anagram alone says nothing about places.
+    must agree, since an anagram alone says nothing about places. The word must stand RATIO times as often as the token.
     """
-    seen = tokens.where(F.col("token").rlike(r"\p{L}") & (F.length("token") > 1)).select(F.lower("token").alias("token")).distinct()
-    strange = seen.join(lexicon_.select(F.col("word").alias("token")), "token", "left_anti").withColumn("plain", plain_sign(F.col("token")))
-    often = lexicon_.where(F.col("clean") >= FREQUENT)
-    signs = strange.where("token <> plain").join(often, F.col("plain") == F.col("word")).select("token", F.col("word").alias("meant"), F.lit(0).alias("cost"), "clean")
+    seen = tokens.where(F.col("token").rlike(r"\p{L}") & (F.length("token") > 1)).select(F.lower("token").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    every = stored(seen.join(lexicon_.select(F.col("word").alias("token"), "clean"), "token", "full"), "evidence")
+    strange = every.where("clean is null").select("token", "n").withColumn("plain", plain_sign(F.col("token")))
+    weight = F.coalesce("clean", F.lit(0)) * RATIO + F.coalesce("n", F.lit(0))
+    known = every.where(F.col("token").rlike(r"^[\p{L}-]+$") & (F.col("clean").isNotNull() | (F.col("n") >= RATIO))).select(F.col("token").alias("word"), weight.alias("weight"), F.col("clean").isNotNull().alias("sure"))
+    enough = F.col("weight") >= F.col("n") * RATIO
+    signs = strange.where("token <> plain").join(known, F.col("plain") == F.col("word")).where(enough).select("token", F.col("word").alias("meant"), F.lit(0).alias("cost"), "sure", "weight")
     steps = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(c).alias("cost")) for d, c in differences()]))
-    moved = strange.withColumn("av", anagram(F.col("plain"))).select("token", "plain", "av", steps.alias("s")).select("token", "plain", (F.col("s.d") + F.col("av")).alias("av"), "s.cost")
-    hit = moved.join(often.withColumn("av", anagram(F.col("word"))), "av").where(skeleton(F.col("plain")) == skeleton(F.col("word"))).select("token", F.col("word").alias("meant"), "cost", "clean")
+    moved = strange.withColumn("av", anagram(F.col("plain"))).select("token", "n", "plain", "av", steps.alias("s")).select("token", "n", "plain", (F.col("s.d") + F.col("av")).alias("av"), "s.cost")
+    hit = moved.join(known.withColumn("av", anagram(F.col("word"))), "av").where(enough & (F.col("token") != F.col("word")) & (skeleton(F.col("plain")) == skeleton(F.col("word")))).select("token", F.col("word").alias("meant"), "cost", "sure", "weight")
     # a sign among letters is wrong even in a word that is found nowhere else; short codes such as H2O are left alone
-    rare = strange.where(F.col("token").rlike(r"^(?=(?:[^\p{L}]*\p{L}){4})\p{L}*(?:[@!]|(?<=\p{L})[01569](?=\p{L})|^[01569](?=\p{L}{3}))[\p{L}@!]*$")).select("token", F.col("plain").alias("meant"), F.lit(99).alias("cost"), F.lit(0).cast("long").alias("clean"))
-    return signs.union(hit).union(rare).groupBy("token").agg(F.max(F.struct(-F.col("cost"), "clean", "meant")).alias("x")).select("token", F.col("x.meant").alias("meant"))
+    rare = strange.where(F.col("token").rlike(r"^(?=(?:[^\p{L}]*\p{L}){4})\p{L}*(?:[@!]|(?<=\p{L})[01569](?=\p{L})|^[01569](?=\p{L}{3}))[\p{L}@!]*$")).select("token", F.col("plain").alias("meant"), F.lit(99).alias("cost"), F.lit(False).alias("sure"), F.lit(0).cast("long").alias("weight"))
+    return signs.union(hit).union(rare).groupBy("token").agg(F.max(F.struct("sure", -F.col("cost"), "weight", "meant")).alias("x")).select("token", F.col("x.meant").alias("meant"))
 
 
 def english(pages: DataFrame) -> DataFrame:

@@ -259,6 +259,15 @@ def test_confusions_both_ways(spark):
     assert lines == {3: {("cirde", "circle"), ("northem", "northern"), ("bam", "barn")}, 4: {("dean", "clean")}, 5: {("dearly", "clearly"), ("r0of", "roof")}, 7: {("c0in", "coin")}}
 
 
+def test_rare_words(spark):
+    read = ["The rnetamerite and the geosporiire stand with", "the geosporure and the geosporure but not the", "protocline or the protocllne with the neurotene.", "The neurofene is with the neurofene and the neurofene."]
+    o = spark.createDataFrame([("d", 1, i + 1, t) for i, t in enumerate(["x x. ", "x x. ", *read, "x x. ", "x x. "])], "document_id string, page int, line_no int, text string")
+    pages = spark.createDataFrame([("p1", "c", "The metamerite is not the neurotene.", "txt"), ("p2", "d", " ".join(read), "ocr")], "id string, document_id string, text string, source string")
+    titles = spark.createDataFrame([("d", "Notes")], "id string, title string")
+    lines = {r.line_no: {(x.token, x.meant) for x in r.fixes} for r in scans.analysed(o, pages, titles).collect() if r.fixes}
+    assert lines == {3: {("rnetamerite", "metamerite"), ("geosporiire", "geosporure")}}
+
+
 # 8
 
 
