@@ -155,7 +155,7 @@ def analysed(ocr_lines: DataFrame, pages: DataFrame, titles: DataFrame) -> DataF
     words = stored(lexicon(pages), "lexicon")
     body = lines.join(off, ["document_id", "page", "line_no"], "left_anti")
     flow = Window.partitionBy("document_id").orderBy("page", "line_no")
-    body = body.withColumn("next_text", F.lead("text").over(flow)).withColumn("last_text", F.lag("text").over(flow))
+    body = body.withColumn("next_text", F.lead("text").over(flow)).withColumn("next", F.struct(F.lead("page").over(flow).alias("page"), F.lead("line_no").over(flow).alias("line_no"))).withColumn("last_text", F.lag("text").over(flow))
     first = F.regexp_extract(F.regexp_replace(F.col("next_text"), r"^[^\p{L}\p{N}]+", ""), r"^" + TOKEN, 0)
     part = F.regexp_extract("text", r"([\p{L}\p{N}@]+(?:-[\p{L}]+)*)[-¬\x{AD}‐]\s*$", 1)
     body = body.withColumn("broken", F.col("text").rlike(BREAK) & (F.length(first) > 0)).withColumn("part", F.lower(part)).withColumn("rest", F.lower(first))
@@ -165,18 +165,21 @@ def analysed(ocr_lines: DataFrame, pages: DataFrame, titles: DataFrame) -> DataF
     a = words.select(F.col("word").alias("joined"), F.col("clean").alias("nj"))
     b = words.select(F.col("word").alias("compound"), F.col("clean").alias("nc"))
     kept = ends.join(a, "joined", "left").join(b, "compound", "left").where(F.coalesce("nc", F.lit(0)) > F.coalesce("nj", F.lit(0))).select("document_id", "page", "line_no", F.lit(True).alias("keeps"))
-    # words inside of a line, without the parts of broken words; the joined word counts for the line that holds the wrong sign
+    # words inside of a line, without the parts of broken words; the joined word counts for each line that holds a wrong sign
     inner = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
     inner = F.slice(inner, F.when(F.col("after_break"), 2).otherwise(1), F.greatest(F.size(inner) - F.col("after_break").cast("int") - F.col("broken").cast("int"), F.lit(0)))
     key = ["document_id", "page", "line_no"]
     spread = body.select(*key, F.explode(inner).alias("token")).withColumn("token", F.lower("token"))
-    whole = body.where("broken").select(*key, F.lead("page").over(flow).alias("_p"), joined.alias("token"), "part", "rest")
+    whole = body.where("broken").select(*key, "next", joined.alias("token"), "part", "rest")
     fix = stored(corrections(spread.select("token").union(whole.select("token")), words), "corrections")
     fixes = small(fix, 60)
     inside = spread.join(fixes, "token").select(*key, "token", "meant")
-    good = F.substring("meant", 1, 1 << 20).startswith(F.col("part"))
-    across = whole.join(fixes, "token").where(~good).select(*key, F.col("part").alias("token"), F.expr("left(meant, greatest(length(meant) - length(rest), 1))").alias("meant"))
-    all_ = inside.union(across).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("token", "meant"))).alias("fixes"))
+    # where the second part is right the first is what stands before it, where the first part is right the second is what is left
+    sides = F.when(F.col("meant").startswith(F.col("part")), F.length("part")).otherwise(F.greatest(F.length("meant") - F.length("rest"), F.lit(1)))
+    parted = whole.join(fixes, "token").withColumn("head", F.left("meant", sides)).withColumn("tail", F.expr("substring(meant, length(head) + 1)"))
+    across = parted.where("head <> part").select(*key, F.col("part").alias("token"), F.col("head").alias("meant"))
+    beyond = parted.where("tail <> rest").select("document_id", "next.page", "next.line_no", F.col("rest").alias("token"), F.col("tail").alias("meant"))
+    all_ = inside.union(across).union(beyond).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("token", "meant"))).alias("fixes"))
     out = lines.join(off.withColumn("furniture", F.lit(True)), key, "left").join(body.select(*key, "broken", "next_text"), key, "left").join(kept, key, "left").join(all_, key, "left")
     return out.select(*key, "text", F.coalesce("furniture", F.lit(False)).alias("furniture"), (F.coalesce("broken", F.lit(False)) & F.col("keeps").isNull()).alias("hyphen"), F.coalesce("keeps", F.lit(False)).alias("keeps"), "next_text", F.coalesce("fixes", F.array().cast("array<struct<token:string,meant:string>>")).alias("fixes"))
 
@@ -197,7 +200,8 @@ def repaired(ocr_lines: DataFrame, pages: DataFrame, titles: DataFrame) -> DataF
     """
     lines = analysed(ocr_lines, pages, titles).where("not furniture")
     clean = F.regexp_replace("text", r"(?<=^|\s)[~^_|=.:,+\-/]+(?=\s|$)\s*", "")
-    right = F.aggregate("fixes", clean, lambda t, f: F.replace(F.replace(t, f["token"], f["meant"]), F.initcap(f["token"]), F.initcap(f["meant"])))
+    alone = lambda token: F.concat(F.lit(r"(?<![\p{L}\p{N}@])"), token, F.lit(r"(?![\p{L}\p{N}@])"))
+    right = F.aggregate("fixes", clean, lambda t, f: F.regexp_replace(F.regexp_replace(t, alone(f["token"]), f["meant"]), alone(F.initcap(f["token"])), F.initcap(f["meant"])))
     width = F.max(F.length("text")).over(Window.partitionBy("document_id"))
     stop = F.col("text").rlike(r"[.!?:]\s*$") & (F.length("text") < 0.85 * width)
     glue = F.when(F.col("hyphen") | F.col("keeps"), "").when(stop, "\n\n").otherwise(" ")

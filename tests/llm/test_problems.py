@@ -268,6 +268,19 @@ def test_rare_words(spark):
     assert lines == {3: {("rnetamerite", "metamerite"), ("geosporiire", "geosporure")}}
 
 
+def test_misread_second_part(spark):
+    clean = "The harbor reflects the market and the nation is not lone with the vessel. " * 6
+    read = ["The vessel is not in the har-", "b0r and the barrel of the ves-", "scl with the na-", "flon and the barflon of the mar-", "ket but the rnar-", "kef is not the market."]
+    o = spark.createDataFrame([("d", 1, i + 1, t) for i, t in enumerate(read)] + [("d", 2, 1, "the barrel")], "document_id string, page int, line_no int, text string")
+    pages = spark.createDataFrame([("p1", "c", clean, "txt"), ("p2", "d", " ".join(read), "ocr")], "id string, document_id string, text string, source string")
+    titles = spark.createDataFrame([("d", "Notes")], "id string, title string")
+    lines = {r.line_no: {(x.token, x.meant) for x in r.fixes} for r in scans.analysed(o, pages, titles).collect() if r.fixes}
+    assert lines == {2: {("b0r", "bor")}, 3: {("scl", "sel")}, 4: {("flon", "tion")}, 5: {("rnar", "mar")}, 6: {("kef", "ket")}}
+    assert {r.line_no for r in scans.found(o, pages, titles).collect() if r.defect == "misread"} == {2, 3, 4, 5, 6}
+    text = scans.repaired(o, pages, titles).first().text
+    assert "harbor and the barrel of the vessel with the nation and the barflon of the market but the market is" in text
+
+
 # 8
 
 
