@@ -92,8 +92,8 @@ def uncovered(question: list[str], answer: list[str], least: int = COPIED) -> li
 
 
 def refuses(text: str) -> bool:
-    """A sentence in which the writer declines: automata over word classes, in the first three sentences."""
-    for sentence in re.split(r"(?<=[.!?;])\s+", text.strip())[:3]:
+    """A sentence in which the writer declines: automata over word classes."""
+    for sentence in re.split(r"(?<=[.!?;])\s+", text.strip()):
         words = [w.replace("’", "'") for w in _WORD.findall(sentence.lower())]
         seen = set(words)
         if any(tuple(words[i : i + len(s)]) == s for s in SELF for i in range(len(words) - 1)):

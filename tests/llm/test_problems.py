@@ -160,6 +160,11 @@ def test_pairs(question, answer, want):
     assert pairs.judge(question, answer)[0] == want
 
 
+def test_late_refusal():
+    assert pairs.judge("How does heat move in a rod?", "The rod is long. It is warm; it is red. It is old. I'm sorry, but I can't help with that.")[0] == "refusal"
+    assert pairs.judge("How does heat move in a rod?", "The rod is long. It is warm; it is red. It is old. The ends are cold.")[0] is None
+
+
 def test_cut_answers(spark):
     full = [f"The harbor reflects the {a} and the vessel removes the {b}." for a, b in itertools.product(NOUNS, NOUNS)]
     rows = [(i, "flashcard", "Why is that so?", t, None) for i, t in enumerate(full)]
