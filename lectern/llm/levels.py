@@ -111,8 +111,8 @@ def level(grade: Column) -> Column:
 def levels(pages: DataFrame) -> DataFrame:
     """(document_id, coverage_rank, words_per_sentence, grade, grade_formula, level).
 
-    grade is calibrated: least squares of the school-grade formula on features(), fitted by SQL sums over all documents. The
-    formula itself checks the result: where both give another level, the formula's holds.
+    grade is calibrated: least squares of the school-grade formula on features(), fitted by SQL sums over all documents. It is
+    reported only: level is the formula's in every row, since the problem defines it by the school grade.
     """
     docs = stored(measured(pages), "levels")
     x = features()
@@ -123,8 +123,7 @@ def levels(pages: DataFrame) -> DataFrame:
     grade = sum((b * f for b, f in zip(beta[1:], x[1:])), F.lit(beta[0]))
     wps = F.col("words") / F.greatest("sentences", F.lit(1))
     out = docs.withColumn("grade", grade)
-    held = F.when(level(F.col("grade")) == level(F.col("grade_formula")), level(F.col("grade"))).otherwise(level(F.col("grade_formula")))
-    return out.select("document_id", "coverage_rank", F.round(wps, 4).alias("words_per_sentence"), F.round("grade", 3).alias("grade"), F.round("grade_formula", 3).alias("grade_formula"), held.alias("level"))
+    return out.select("document_id", "coverage_rank", F.round(wps, 4).alias("words_per_sentence"), F.round("grade", 3).alias("grade"), F.round("grade_formula", 3).alias("grade_formula"), level(F.col("grade_formula")).alias("level"))
 
 
 def found(pages: DataFrame) -> DataFrame:
