@@ -16,8 +16,8 @@ from lectern.runtime import small, stored
 WORDS, SHARE, LEAST_WORDS = 3, 0.5, 60
 #: MinHash functions; prefix tries, each over DEPTH of the functions.
 FUNCTIONS, TREES, DEPTH = 128, 96, 6
-#: Prefixes are shortened from the longest that finds START of the pairs at the threshold until TARGET of all pairs is reached.
-START, TARGET = 0.9, 0.995
+#: Prefixes are shortened until a pair at the threshold is found with this probability; each pair above it is found with a greater one.
+TARGET = 0.995
 #: A pair whose signatures agree in fewer than this share of the functions is not verified; at the threshold that is 4 deviations off.
 AGREE = SHARE - 4 * (SHARE * (1 - SHARE) / FUNCTIONS) ** 0.5
 #: Buckets of more members are split over several tasks.
@@ -83,6 +83,11 @@ def recall(share: float, depth: int) -> float:
     return 1 - (1 - share**depth) ** TREES
 
 
+def prefix(share: float = SHARE) -> int:
+    """Greatest prefix length that finds a pair of this share with probability TARGET."""
+    return max([d for d in range(1, DEPTH + 1) if recall(share, d) >= TARGET] or [1])
+
+
 def bucket_pairs(docs: DataFrame, depth: int) -> DataFrame:
     """Distinct (a, b), a < b, of documents that share the first `depth` values of the prefix in one tree at least.
 
@@ -120,21 +125,14 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def similar(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(membership (document_id, d), links (a, b, share)): documents with equal sequences are one class d, links join classes.
 
-    Prefixes start long and are shortened a step at a time. After each step the pairs found estimate how many there are: a pair of
-    share s was found with the known probability recall(s, depth), so it stands for 1 / recall of its kind.
+    The prefix is as long as the threshold allows, whatever the other pairs are: a mean over all pairs would let many close copies
+    hide the pairs that are missed near the threshold.
     """
     every = stored(signatures(texts(pages), "document_id"), "signatures")
     code = F.xxhash64("class_a", "class_b", F.size("shingles"))
     member = stored(every.select("document_id", code.alias("d")), "members")
     docs = stored(every.groupBy(code.alias("d")).agg(F.first(F.struct("shingles", "sig")).alias("x")).select("d", "x.*", F.size("x.shingles").alias("n")), "classes")
-    depth = max([d for d in range(1, DEPTH + 1) if recall(SHARE, d) >= START] or [1])
-    while True:
-        links = stored(verified(bucket_pairs(docs, depth), docs), "links")
-        p = F.lit(1.0) - F.pow(F.lit(1.0) - F.pow("share", F.lit(depth)), F.lit(TREES))
-        seen, all_ = links.agg(F.count("*"), F.sum(1 / p)).first()
-        if depth == 1 or (seen or 0) >= TARGET * (all_ or 0.0):
-            return member, links
-        depth -= 1
+    return member, stored(verified(bucket_pairs(docs, prefix()), docs), "links")
 
 
 def found(pages: DataFrame) -> DataFrame:

@@ -185,6 +185,10 @@ def test_automaton():
 # 5
 
 
+def test_recall_at_the_threshold():
+    assert neardup.recall(neardup.SHARE, neardup.prefix()) >= neardup.TARGET > neardup.recall(neardup.SHARE, neardup.prefix() + 1)
+
+
 def test_near_duplicates_against_brute_force(spark):
     r = random.Random(9)
     rows = []
