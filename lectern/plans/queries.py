@@ -67,7 +67,7 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
 
 
 def _rag_metrics(s: SparkSession, d: str) -> DataFrame:
-    """Of each flashcard question of the query set: rank of the first retrieved chunk that holds a content word pair of its answer."""
+    """How many questions of the query set there are, have citations, and are answered with high and with medium confidence. No answer or rank is read."""
     q = _questions(s, d)
     a = _answers(s, d)
     return q.join(a, "question_id").agg(F.count("*").alias("questions"), F.count("citations").alias("answered"), F.count_if(F.col("confidence") == "high").alias("high"), F.count_if(F.col("confidence") == "medium").alias("medium"))
