@@ -7,22 +7,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytewords import Scan, slices
 from lectern.llm.splits import subject_key
-from lectern.runtime import small, stored
+from lectern.runtime import small, stored, written
 
 #: TESTDATA.md's statement of the problem: words, and the share of the longer text's words that may be edited (1 / EDITS).
 LEAST_WORDS, EDITS = 15, 5
-#: Longest piece of an evaluation text, in words; longer texts have pieces of up to twice the even length.
-PIECE = 8
+#: Longest piece of an evaluation text, in words; texts of more than CUT words are cut stretch by stretch, each with its share of the pieces.
+PIECE, CUT = 8, 512
 #: Buckets of the counts of words and of word pairs in the training side; they only steer where texts are cut.
 WORD_BUCKETS, PAIR_BUCKETS = 1 << 16, 1 << 18
-#: Bits of the filter of all pieces, at most; evaluation texts beyond it are searched in further blocks. Bits a piece; places that are
-#: one entry of the filter; tasks that fill it.
-FILTER_BITS, BITS_A_PIECE, PLACES, FILLERS = 1 << 28, 60, 8, 4
+#: Filter of all pieces: bits an entry, bits set for each, bits of a part at most, bits of the parts that a task holds at once.
+BITS_AN_ENTRY, PROBES, PART_BITS, HELD_BITS = 20, 3, 1 << 25, 1 << 28
+#: Words of training texts that a task hashes before it goes through the parts of a filter that it can't hold at once.
+CHUNK = 1 << 21
+#: A text of more copies is one text until pairs are known. A piece of more evaluation texts, and a class of more copies, is spread over tasks.
+COPIES, HOT = 4, 1000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -34,10 +38,10 @@ def role(split: Column) -> Column:
 
 
 def segment_words(segments: DataFrame, specs: DataFrame) -> DataFrame:
-    """(segment_id, side, w, low, high): word hashes of the segments of train (0), val (1) and test (2) with LEAST_WORDS words and more.
+    """(segment_id, side, w, low, high, a, b): word hashes of the segments of train (0), val (1) and test (2) with LEAST_WORDS words and more.
 
-    low, high: a bit for each word's hash modulo 128. A row that repeats a segment_id stays until pairs are made distinct. NULL texts, ids
-    and splits are left out.
+    low, high: a bit for each word's hash modulo 128; a, b: the same for equal word sequences. A row that repeats a segment_id stays until
+    pairs are made distinct. NULL texts, ids and splits are left out.
     """
     split = specs.where("spec_id is not null").groupBy("spec_id").agg(F.max(role(F.col("split"))).alias("side")).where("side is not null")
     split = split.select("spec_id", F.when(F.col("side") == "train", 0).when(F.col("side") == "val", 1).otherwise(2).alias("side"))
@@ -56,14 +60,31 @@ def segment_words(segments: DataFrame, specs: DataFrame) -> DataFrame:
             spot = (w.view(np.uint64) >> np.uint64(40)) & np.uint64(127)
             one = np.left_shift(np.uint64(1), spot & np.uint64(63))
             low, high = (np.bitwise_or.reduceat(np.where(spot >> np.uint64(6) == i, one, np.uint64(0)), first).view(np.int64) for i in (0, 1))
+            place = (np.arange(len(w)) - np.repeat(first, n[rows])).astype(np.uint64)
+            mixed = (w.view(np.uint64) ^ (place * np.uint64(0xC2B2AE3D27D4EB4F))) * _M
+            mixed ^= mixed >> np.uint64(31)
+            codes = [np.add.reduceat(mixed * f ^ (mixed >> np.uint64(17)), first).view(np.int64) for f in (_M, np.uint64(0xD6E8FEB86659FD93))]
             yield pa.RecordBatch.from_arrays([
                 b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)),
-                pa.ListArray.from_arrays(pa.array(np.append(first, len(w)).astype(np.int32)), pa.array(w)), pa.array(low), pa.array(high),
-            ], names=["segment_id", "side", "w", "low", "high"])
+                pa.ListArray.from_arrays(pa.array(np.append(first, len(w)).astype(np.int32)), pa.array(w)), *map(pa.array, (low, high, *codes)),
+            ], names=["segment_id", "side", "w", "low", "high", "a", "b"])
 
     read = segments.where("segment_id is not null and text is not null").select("segment_id", "spec_id", "text")
     joined = read.join(small(split, 24), "spec_id").select("segment_id", "side", "text")
-    return joined.mapInArrow(scan, f"segment_id {kind}, side int, w array<long>, low long, high long")
+    return joined.mapInArrow(scan, f"segment_id {kind}, side int, w array<long>, low long, high long, a long, b long")
+
+
+def copied(words: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(words with one segment for each text of more than COPIES copies on one side, (rep, segment_id, copies) of these texts or None)."""
+    held = (F.col("side") > 0).alias("held")
+    many = words.groupBy(held, "a", "b").agg(F.min("segment_id").alias("rep"), F.count("*").alias("copies")).where(F.col("copies") > COPIES)
+    many = stored(many, "copies")
+    n = many.count()
+    if not n:
+        return words, None
+    joined = words.withColumn("held", F.col("side") > 0).join(small(many, 40, n), ["held", "a", "b"], "left")
+    member = joined.where("rep is not null").select("rep", "segment_id", "copies").distinct()
+    return joined.where("rep is null or rep = segment_id").select(*words.columns), stored(member, "members")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,20 +119,31 @@ def counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return total[:WORD_BUCKETS], total[WORD_BUCKETS:]
 
 
+def edits_of(n: Column) -> Column:
+    return F.floor(F.floor(n * EDITS / (EDITS - 1)) / EDITS)
+
+
 def edits(n: int) -> int:
     """Most edits that a text of n words and any partner may be apart: the partner has n * EDITS / (EDITS - 1) words at most."""
     return (n * EDITS // (EDITS - 1)) // EDITS
 
 
-def longest(n: int) -> int:
-    return max(PIECE, 2 * math.ceil(n / (edits(n) + 1)))
-
-
 def cuts(w: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """Starts of the edits + 1 pieces of texts of equal length (a row each), with the end: of all ways to cut, the one whose pieces are
-    expected least often in the training side, by a chain of word pairs. Any text within the edits leaves one piece whole."""
+    expected least often in the training side, by a chain of word pairs. Any text within the edits leaves one piece whole.
+
+    Texts of more than CUT words are cut stretch by stretch, so that the tables are of bounded size; the number of pieces is the same.
+    """
+    n = w.shape[1]
+    pieces, parts = edits(n) + 1, math.ceil(n / CUT)
+    ends, share = [n * i // parts for i in range(parts + 1)], [pieces * i // parts for i in range(parts + 1)]
+    out = [_cuts(w[:, a:b], q - p, word, pair)[:, :-1] + a for a, b, p, q in zip(ends, ends[1:], share, share[1:])]
+    return np.concatenate([*out, np.full((len(w), 1), n)], axis=1)
+
+
+def _cuts(w: np.ndarray, pieces: int, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
     rows, n = w.shape
-    pieces, most = edits(n) + 1, longest(n)
+    most = max(PIECE, math.ceil(n / pieces))
     one = np.log(word[(w >> np.uint64(20)) % np.uint64(WORD_BUCKETS)] + 0.1)
     two = np.log(pair[_pair(w[:, :-1], w[:, 1:]) % np.uint64(PAIR_BUCKETS)] + 0.1) - one[:, :-1]
     sums = np.concatenate([np.zeros((rows, 1)), np.cumsum(np.minimum(two, 0.0), axis=1)], axis=1)
@@ -119,7 +151,7 @@ def cuts(w: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
     cost = [None] + [np.exp(one[:, : n - l + 1] + sums[:, l - 1 :] - sums[:, : n - l + 1]) for l in range(1, most + 1)]
     best = np.full((rows, n + 1), np.inf)
     best[:, 0] = 0
-    back = np.zeros((pieces, rows, n + 1), np.int16)
+    back = np.zeros((pieces, rows, n + 1), np.int8)
     for p in range(pieces):
         now = np.full((rows, n + 1), np.inf)
         for l in range(1, most + 1):
@@ -150,7 +182,7 @@ def _hashes(w: np.ndarray, most: int) -> list[np.ndarray]:
 
 
 def eval_pieces(held: DataFrame, word: np.ndarray, pair: np.ndarray) -> DataFrame:
-    """(h, eval_id, pos, n, low, high): the pieces of the evaluation texts."""
+    """(h, eval_id, spot, i, low, high): the pieces of the evaluation texts; spot is the text's number of words times 2^32 and the place of piece i."""
     kind = dict(held.dtypes)["segment_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,88 +202,140 @@ def eval_pieces(held: DataFrame, word: np.ndarray, pair: np.ndarray) -> DataFram
                         on = np.flatnonzero(length > j)
                         x = (h[on] ^ w[row[on], start[on] + j]) * _M
                         h[on] = x ^ (x >> np.uint64(31))
+                    at = b.column(0).take(pa.array(part[row]))
+                    spot, index = np.int64(size) << 32 | start, np.tile(np.arange(pieces, dtype=np.int32), len(part))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(h.view(np.int64)), b.column(0).take(pa.array(part[row])), pa.array(start.astype(np.int32)),
-                        pa.array(np.full(len(start), size, np.int32)), b.column(2).take(pa.array(part[row])), b.column(3).take(pa.array(part[row])),
-                    ], names=["h", "eval_id", "pos", "n", "low", "high"])
+                        pa.array(h.view(np.int64)), at, pa.array(spot), pa.array(index), b.column(2).take(pa.array(part[row])), b.column(3).take(pa.array(part[row])),
+                    ], names=["h", "eval_id", "spot", "i", "low", "high"])
 
-    return held.select("segment_id", "w", "low", "high").mapInArrow(cut, f"h long, eval_id {kind}, pos int, n int, low long, high long")
+    return held.select("segment_id", "w", "low", "high").mapInArrow(cut, f"h long, eval_id {kind}, spot long, i int, low long, high long")
 
 
-def _spots(h: np.ndarray, place: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a piece at a range of places."""
-    key = (h ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * _M
-    return ((key >> np.uint64(11)) % np.uint64(bits)).astype(np.int64), (((key ^ (key >> np.uint64(29))) * _M >> np.uint64(13)) % np.uint64(bits)).astype(np.int64)
+def _bits(h: np.ndarray, place: np.ndarray, right: bool, bits: int) -> Iterator[np.ndarray]:
+    """The PROBES bits, in the filter part of its hash, of a piece at a place that is counted from the left or the right end of the text."""
+    key = (h ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(right))) * _M
+    for _ in range(PROBES):
+        key ^= key >> np.uint64(29)
+        key = key * np.uint64(0xD6E8FEB86659FD93)
+        yield ((key >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def piece_filter(pieces: DataFrame, bits: int) -> np.ndarray:
-    """Two bits for every piece and every range of places where a training text may hold it. FILLERS tasks send their bits, bits / 8 bytes each."""
+class Filter:
+    """All pieces at all places where a training text may hold them, in parts by ranges of the hash, each a row of a table in the shared folder.
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits >> 3, np.uint8)
-        for b in batches:
-            h, pos, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().astype(np.int64)
-            k = (n * EDITS // (EDITS - 1)) // EDITS
-            low, high = np.maximum(pos - k, 0) // PLACES, (pos + k) // PLACES
-            for d in range(int((high - low).max(initial=-1)) + 1):
-                on = low + d <= high
-                for spot in _spots(h[on], (low + d)[on], bits):
-                    np.bitwise_or.at(own, spot >> 3, np.left_shift(1, spot & 7).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["own"])
-
-    own = np.zeros(bits >> 3, np.uint8)
-    for part in pieces.select("h", "pos", "n").coalesce(FILLERS).mapInArrow(mark, "own binary").toLocalIterator():
-        own |= np.frombuffer(bytes(part.own), np.uint8)
-    return own
-
-
-def train_pieces(train: DataFrame, own: np.ndarray, most: int) -> DataFrame:
-    """(h, train_id, spot, tlow, thigh): the stretches of the training texts that may be a piece of an evaluation text; spot is the text's
-    number of words times 2^32 and the stretch's place."""
+    If piece i (from 0) of the edits + 1 pieces is the first with no more than i edits up to its end, it stands whole in the partner, the
+    pieces before it have i edits, those behind it the rest at most. So its place moves by i at most from the left end of the text and by
+    edits - i from the right end; the nearer end is entered.
+    """
+
+    def __init__(self, pieces: DataFrame, held_bits: int = HELD_BITS):
+        k, i = edits_of(F.shiftright("spot", 32)), F.col("i")
+        entries = pieces.agg(F.sum(2 * F.least(i, k - i) + 1)).first()[0] or 1
+        self.parts = 1 << max(2, math.ceil(math.log2(entries * BITS_AN_ENTRY / PART_BITS)))
+        self.bits = 1 << max(10, math.ceil(math.log2(entries * BITS_AN_ENTRY / self.parts)))
+        self.at_once = max(1, held_bits // self.bits)
+        parts, bits = self.parts, self.bits
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: dict[int, np.ndarray] = {}
+            for b in batches:
+                every, h, spot, index = (b.column(c).to_numpy() for c in range(4))
+                for part in np.unique(every):
+                    on = every == part
+                    bit = own.setdefault(int(part), np.zeros(bits, bool))
+                    x, n, pos, left = h[on].view(np.uint64), spot[on] >> 32, spot[on] & 0xFFFFFFFF, index[on].astype(np.int64)
+                    rest = (n * EDITS // (EDITS - 1)) // EDITS - left
+                    for right in (False, True):
+                        near = np.flatnonzero((left > rest) == right)
+                        reach, place = np.minimum(left, rest)[near], np.where(right, n - pos, pos)[near]
+                        for d in range(-int(reach.max(initial=0)), int(reach.max(initial=0)) + 1):
+                            go = np.flatnonzero((abs(d) <= reach) & (place + d >= 0))
+                            for s in _bits(x[near][go], place[go] + d, right, bits):
+                                bit[s] = True
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in own.values()], pa.binary())], names=["part", "bit"])
+
+        part = F.pmod(F.shiftrightunsigned("h", 64 - int(math.log2(parts))), F.lit(parts)).cast("int").alias("part")
+        marked = pieces.select(part, "h", "spot", "i").repartition(parts, "part").mapInArrow(mark, "part int, bit binary")
+        self.path = written(marked, "filter")
+
+    def load(self, low: int) -> np.ndarray:
+        """The bytes of the parts from `low` on that are held at once."""
+        out = np.zeros((self.at_once, self.bits >> 3), np.uint8)
+        for part, bit in zip(*pq.read_table(self.path, filters=[("part", ">=", low), ("part", "<", low + self.at_once)]).columns):
+            out[part.as_py() - low] = np.frombuffer(bit.as_buffer(), np.uint8)
+        return out.ravel()
+
+
+def train_pieces(train: DataFrame, own: Filter, most: int = PIECE) -> DataFrame:
+    """(h, train_id, tspot, tlow, thigh): the stretches of the training texts that may be a piece of an evaluation text, in one pass over the texts.
+
+    tspot is the text's number of words times 2^32 and the stretch's place. A task that can't hold the filter hashes CHUNK words, then goes
+    through the parts.
+    """
     kind = dict(train.dtypes)["segment_id"]
-    bits = len(own) << 3
-    share = train.sparkSession.sparkContext.broadcast(own)
+    rounds, shift = range(0, own.parts, own.at_once), np.uint64(64 - int(math.log2(own.parts)))
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = share.value
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, words = [], 0
         for b in batches:
+            held.append(b)
+            words += len(_flat(b.column(1))[0])
+            if len(rounds) == 1 or words >= CHUNK:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, words = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bit = own.load(0) if len(rounds) == 1 else None
+        for b in (t.to_batches()[0] for t in chunks(batches) if t.num_rows):
             w, n = _flat(b.column(1))
             if not len(w):
                 continue
             row = np.repeat(np.arange(len(n)), n)
-            first = np.cumsum(n) - n
-            place = np.arange(len(w)) - first[row]
-            for l, h in enumerate(_hashes(w, most), 1):
-                one, two = _spots(h, (place[: len(h)]) // PLACES, bits)
-                on = ((own[one >> 3] >> (one & 7).astype(np.uint8)) & 1) & (row[: len(h)] == row[l - 1 :])
-                at = np.flatnonzero(on)
-                at = at[(own[two[at] >> 3] >> (two[at] & 7).astype(np.uint8)) & 1 == 1]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(h[at].view(np.int64)), b.column(0).take(pa.array(row[at])), pa.array(n[row[at]].astype(np.int64) << 32 | place[at]), b.column(2).take(pa.array(row[at])), b.column(3).take(pa.array(row[at])),
-                    ], names=["h", "train_id", "spot", "tlow", "thigh"])
-
-    return train.select("segment_id", "w", "low", "high").mapInArrow(probe, f"h long, train_id {kind}, spot long, tlow long, thigh long")
-
-
-def candidates(words: DataFrame) -> DataFrame:
-    """Distinct (eval_id, train_id) that share a piece at places that the edits allow, with fitting lengths and words."""
+            place = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+            every = [(l, h, np.flatnonzero(row[: len(h)] == row[l - 1 :])) for l, h in enumerate(_hashes(w, most), 1)]
+            for low in rounds:
+                now = own.load(low) if bit is None else bit
+                for _, h, inside in every:
+                    at = inside if bit is not None else inside[(h[inside] >> shift) // np.uint64(own.at_once) == low // own.at_once]
+                    base = ((h[at] >> shift).astype(np.int64) - low) * own.bits
+                    hit = np.zeros(len(at), bool)
+                    for right in (False, True):
+                        on = np.arange(len(at))
+                        spots = _bits(h[at], n[row[at]] - place[at] if right else place[at], right, own.bits)
+                        for s in spots:
+                            s = s[on] + base[on]
+                            on = on[(now[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1]
+                        hit[on] = True
+                    at = at[hit]
+                    if len(at):
+                        own_row = pa.array(row[at])
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(h[at].view(np.int64)), b.column(0).take(own_row), pa.array(n[row[at]].astype(np.int64) << 32 | place[at]), b.column(2).take(own_row), b.column(3).take(own_row),
+                        ], names=["h", "train_id", "tspot", "tlow", "thigh"])
+
+    return train.select("segment_id", "w", "low", "high").mapInArrow(probe, f"h long, train_id {kind}, tspot long, tlow long, thigh long")
+
+
+def candidates(words: DataFrame, held_bits: int = HELD_BITS) -> DataFrame:
+    """Distinct (eval_id, train_id) that share a piece at places that the edits allow, with fitting lengths and words.
+
+    The evaluation side of a piece of more than HOT evaluation texts is spread over tasks, the training side repeated for each.
+    """
     held, train = words.where("side > 0"), words.where("side = 0")
-    word, pair = counts(train)
-    pieces = stored(eval_pieces(held, word, pair), "pieces")
-    number = pieces.count()
-    most = longest(int(held.agg(F.max(F.size("w"))).first()[0] or LEAST_WORDS))
-    blocks = max(1, math.ceil(number * BITS_A_PIECE / FILTER_BITS))
-    bits = min(FILTER_BITS, 1 << max(16, math.ceil(math.log2(max(1, number * BITS_A_PIECE / blocks)))))
-    out = None
-    m, tpos = F.shiftright("spot", 32), F.col("spot").bitwiseAND((1 << 32) - 1)
-    k = F.floor(F.greatest(F.col("n"), m) / EDITS)
-    fits = (F.abs(F.col("n") - m) <= k) & (F.abs(F.col("pos") - tpos) <= k) & (F.bit_count(F.col("low").bitwiseXOR(F.col("tlow"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("thigh"))) <= 2 * k)
-    for i in range(blocks):
-        own = pieces if blocks == 1 else pieces.where(F.pmod(F.xxhash64("eval_id"), F.lit(blocks)) == i)
-        hit = own.join(train_pieces(train, piece_filter(own, bits), most), "h").where(fits).select("eval_id", "train_id").distinct()
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    pieces = stored(eval_pieces(held, *counts(train)), "pieces")
+    hot = stored(pieces.groupBy("h").agg(F.ceil(F.count("*") / HOT).cast("int").alias("spread")).where("spread > 1"), "hot-pieces")
+    hot = small(hot, 16)
+    one = F.coalesce("spread", F.lit(1))
+    left = pieces.join(hot, "h", "left").withColumn("salt", F.pmod(F.xxhash64("eval_id"), one).cast("int")).drop("spread")
+    right = train_pieces(train, Filter(pieces, held_bits)).join(hot, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("spread")
+    n, m, low = F.shiftright("spot", 32), F.shiftright("tspot", 32), F.lit(0xFFFFFFFF).cast("long")
+    pos, tpos = F.col("spot").bitwiseAND(low), F.col("tspot").bitwiseAND(low)
+    k, i = F.floor(F.greatest(n, m) / EDITS), F.col("i")
+    fits = (F.abs(n - m) <= k) & (F.abs(pos - tpos) <= i) & (F.abs((n - pos) - (m - tpos)) <= k - i)
+    fits &= F.bit_count(F.col("low").bitwiseXOR(F.col("tlow"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("thigh"))) <= 2 * k
+    return left.join(right, ["h", "salt"]).where(fits).select("eval_id", "train_id").distinct()
 
 
 def distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -300,20 +384,35 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return small(pairs, 16, n).join(x, "eval_id").join(y, "train_id").select("eval_id", "train_id", "x", "y").mapInArrow(check, f"eval_id {kind}, train_id {kind}, edits int, longer int")
 
 
-def overlaps(segments: DataFrame, specs: DataFrame) -> DataFrame:
-    """(eval_id, train_id, edits, longer): all pairs of an evaluation and a training segment within the threshold."""
-    words = stored(segment_words(segments, specs), "segment-words")
-    return verified(stored(candidates(words), "candidates"), words)
+def overlaps(segments: DataFrame, specs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """((eval_id, train_id, edits, longer): all pairs of an evaluation and a training text within the threshold, the copies of texts that
+    have many). A text of more than COPIES copies on its side stands for all of them."""
+    words, member = copied(stored(segment_words(segments, specs), "segment-words"))
+    return verified(stored(candidates(words), "candidates"), words), member
+
+
+def spread(pairs: DataFrame, member: DataFrame | None, key: str) -> DataFrame:
+    """Pairs with the id in `key` replaced by each copy of its text; copies of a text are spread over tasks, HOT to each."""
+    if member is None:
+        return pairs
+    parts = F.ceil(F.col("copies") / HOT).cast("int")
+    size = member.groupBy(F.col("rep").alias(key)).agg(F.max(parts).alias("parts"))
+    every = member.select(F.col("rep").alias(key), F.pmod(F.xxhash64("segment_id"), parts).cast("int").alias("salt"), "segment_id")
+    salted = pairs.join(small(size, 16), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return salted.join(every, [key, "salt"], "left").withColumn(key, F.coalesce("segment_id", key)).select(*pairs.columns)
 
 
 def found(segments: DataFrame, specs: DataFrame) -> DataFrame:
     """(segment_id_a, segment_id_b), the smaller id first. Texts under LEAST_WORDS words, without split or NULL have no pairs."""
-    return overlaps(segments, specs).select(F.least("eval_id", "train_id").alias("segment_id_a"), F.greatest("eval_id", "train_id").alias("segment_id_b")).distinct()
+    pairs, member = overlaps(segments, specs)
+    pairs = spread(spread(pairs.select("eval_id", "train_id"), member, "eval_id"), member, "train_id")
+    return pairs.select(F.least("eval_id", "train_id").alias("segment_id_a"), F.greatest("eval_id", "train_id").alias("segment_id_b")).distinct()
 
 
 def report(segments: DataFrame, specs: DataFrame) -> DataFrame:
     """(split, subject, segments, leaked, exact): evaluation segments of LEAST_WORDS words and more that come back in train, per split and subject."""
-    hit = overlaps(segments, specs).groupBy(F.col("eval_id").alias("segment_id")).agg(F.min("edits").alias("edits"))
+    pairs, member = overlaps(segments, specs)
+    hit = spread(pairs.groupBy("eval_id").agg(F.min("edits").alias("edits")), member, "eval_id").groupBy(F.col("eval_id").alias("segment_id")).agg(F.min("edits").alias("edits"))
     split = specs.where("spec_id is not null").groupBy("spec_id").agg(F.max(role(F.col("split"))).alias("split")).where("split in ('val', 'test')")
     own = segments.where("segment_id is not null").groupBy("segment_id").agg(F.max(F.struct("spec_id", "subject")).alias("x")).select("segment_id", "x.*")
     both = own.join(small(split, 24), "spec_id").join(hit, "segment_id", "left")

@@ -110,6 +110,30 @@ def test_overlap_against_brute_force(spark):
     assert got == want and len(want) > 50
 
 
+def test_overlap_in_parts_and_copies(spark, monkeypatch):
+    r = random.Random(6)
+    base = [sentence(r, 20) for _ in range(12)]
+    rows = [(i, i // 12 % 2, base[i % 12] if i % 7 else " ".join(W(base[i % 12])[:-2] + ["new", "end"])) for i in range(240)]
+    specs = spark.createDataFrame([(0, "train"), (1, "test")], "spec_id long, split string")
+    df = spark.createDataFrame(rows, "segment_id long, spec_id long, text string")
+    want = {(min(a, b), max(a, b)) for a, s, t in rows for b, q, u in rows if s == 0 and q == 1 and distance(W(t), W(u)) * 5 <= 20}
+    df, bare = df.withColumn("subject", F.lit("x y")), overlap.segment_words(df, specs)
+    words = spark.createDataFrame(bare.collect(), bare.schema)
+    monkeypatch.setattr(overlap, "HOT", 3)
+    whole = {tuple(x) for x in overlap.candidates(words).collect()}
+    monkeypatch.setattr(overlap, "PART_BITS", 1 << 10)
+    assert {tuple(x) for x in overlap.candidates(words, 1 << 12).collect()} == whole and len(whole) > 100
+    assert {tuple(x) for x in overlap.found(df, specs).collect()} == want
+    rep = overlap.report(df, specs).collect()
+    assert sum(x.leaked for x in rep) == len({x for p in want for x in p if x // 12 % 2}) and sum(x.segments for x in rep) == 120
+
+
+def test_long_texts_are_cut_in_stretches():
+    w = np.random.default_rng(1).integers(0, 500, (2, 1601)).astype(np.uint64)
+    at = overlap.cuts(w, np.ones(overlap.WORD_BUCKETS), np.ones(overlap.PAIR_BUCKETS))
+    assert at.shape == (2, overlap.edits(1601) + 2) and (np.diff(at, axis=1) > 0).all() and np.diff(at, axis=1).max() <= overlap.PIECE and (at[:, 0] == 0).all() and (at[:, -1] == 1601).all()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 5), min_size=15, max_size=30), st.lists(st.integers(0, 5), min_size=15, max_size=30))
 def test_banded_distance(a, b):
