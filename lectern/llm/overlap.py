@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.bytewords import Scan, slices
@@ -19,8 +20,8 @@ from lectern.runtime import small, stored, written
 LEAST_WORDS, EDITS = 15, 5
 #: Longest piece of an evaluation text, in words; texts of more than CUT words are cut stretch by stretch, each with its share of the pieces.
 PIECE, CUT = 8, 512
-#: Buckets of the counts of words and of word pairs in the training side; they only steer where texts are cut.
-WORD_BUCKETS, PAIR_BUCKETS = 1 << 16, 1 << 18
+#: Buckets of the counts of words, word pairs and runs of three words in the training side; they only steer where texts are cut.
+BUCKETS, SUMS = (1 << 16, 1 << 20, 1 << 22), 4
 #: Filter of all pieces: bits an entry, bits set for each, bits of a part at most, bits of the parts that a task holds at once.
 BITS_AN_ENTRY, PROBES, PART_BITS, HELD_BITS = 20, 3, 1 << 25, 1 << 28
 #: Words of training texts that a task hashes before it goes through the parts of a filter that it can't hold at once.
@@ -38,10 +39,10 @@ def role(split: Column) -> Column:
 
 
 def segment_words(segments: DataFrame, specs: DataFrame) -> DataFrame:
-    """(segment_id, side, w, low, high, a, b): word hashes of the segments of train (0), val (1) and test (2) with LEAST_WORDS words and more.
+    """(segment_id, side, w, a, b): word hashes of the segments of train (0), val (1) and test (2) with LEAST_WORDS words and more.
 
-    low, high: a bit for each word's hash modulo 128; a, b: the same for equal word sequences. A row that repeats a segment_id stays until
-    pairs are made distinct. NULL texts, ids and splits are left out.
+    a, b: the same for equal word sequences. A row that repeats a segment_id stays until pairs are made distinct. NULL texts, ids and splits
+    are left out.
     """
     split = specs.where("spec_id is not null").groupBy("spec_id").agg(F.max(role(F.col("split"))).alias("side")).where("side is not null")
     split = split.select("spec_id", F.when(F.col("side") == "train", 0).when(F.col("side") == "val", 1).otherwise(2).alias("side"))
@@ -57,21 +58,18 @@ def segment_words(segments: DataFrame, specs: DataFrame) -> DataFrame:
             if not len(rows):
                 continue
             first = np.cumsum(n[rows]) - n[rows]
-            spot = (w.view(np.uint64) >> np.uint64(40)) & np.uint64(127)
-            one = np.left_shift(np.uint64(1), spot & np.uint64(63))
-            low, high = (np.bitwise_or.reduceat(np.where(spot >> np.uint64(6) == i, one, np.uint64(0)), first).view(np.int64) for i in (0, 1))
             place = (np.arange(len(w)) - np.repeat(first, n[rows])).astype(np.uint64)
             mixed = (w.view(np.uint64) ^ (place * np.uint64(0xC2B2AE3D27D4EB4F))) * _M
             mixed ^= mixed >> np.uint64(31)
             codes = [np.add.reduceat(mixed * f ^ (mixed >> np.uint64(17)), first).view(np.int64) for f in (_M, np.uint64(0xD6E8FEB86659FD93))]
             yield pa.RecordBatch.from_arrays([
                 b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)),
-                pa.ListArray.from_arrays(pa.array(np.append(first, len(w)).astype(np.int32)), pa.array(w)), *map(pa.array, (low, high, *codes)),
-            ], names=["segment_id", "side", "w", "low", "high", "a", "b"])
+                pa.ListArray.from_arrays(pa.array(np.append(first, len(w)).astype(np.int32)), pa.array(w)), *map(pa.array, codes),
+            ], names=["segment_id", "side", "w", "a", "b"])
 
     read = segments.where("segment_id is not null and text is not null").select("segment_id", "spec_id", "text")
     joined = read.join(small(split, 24), "spec_id").select("segment_id", "side", "text")
-    return joined.mapInArrow(scan, f"segment_id {kind}, side int, w array<long>, low long, high long, a long, b long")
+    return joined.mapInArrow(scan, f"segment_id {kind}, side int, w array<long>, a long, b long")
 
 
 def copied(words: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -92,31 +90,52 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[o[0] : o[-1]].view(np.uint64), np.diff(o)
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (((a * _M) ^ b) * _M) >> np.uint64(24)
+def _runs(w: np.ndarray, l: int) -> np.ndarray:
+    """Bucket of each run of l words (l = 1, 2, 3), along the last axis."""
+    h = w
+    for j in range(1, l):
+        h = (h[..., :-1] * _M) ^ w[..., j:]
+    return (((h * _M) if l > 1 else h) >> np.uint64(20)) % np.uint64(BUCKETS[l - 1])
 
 
-def counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How often words and adjacent word pairs stand in the training side, by bucket of their hash: of fixed size whatever the data."""
+def counts(train: DataFrame) -> list[np.ndarray]:
+    """How often words, pairs and runs of three stand in the training side, by bucket of their hash: tables of fixed size whatever the data.
+
+    Each task counts its texts, SUMS tasks add the packed tables up, the driver adds theirs.
+    """
+    base = np.cumsum((0, *BUCKETS))
+
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["total"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(WORD_BUCKETS + PAIR_BUCKETS, np.int64)
+        total = np.zeros(base[-1], np.int64)
         for b in batches:
             w, n = _flat(b.column(0))
-            if not len(w):
-                continue
-            total[:WORD_BUCKETS] += np.bincount((w >> np.uint64(20)) % np.uint64(WORD_BUCKETS), minlength=WORD_BUCKETS)
-            inner = np.ones(len(w), bool)
-            inner[np.cumsum(n) - 1] = False
-            i = np.flatnonzero(inner)
-            total[WORD_BUCKETS:] += np.bincount(_pair(w[i], w[i + 1]) % np.uint64(PAIR_BUCKETS), minlength=PAIR_BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+            row = np.repeat(np.arange(len(n)), n)
+            for l in (1, 2, 3):
+                at = _runs(w, l)[row[: max(0, len(w) - l + 1)] == row[l - 1 :]].astype(np.int64)
+                np.add.at(total, at + base[l - 1], 1)
+        yield packed(total.astype(np.uint32))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(base[-1], np.float32)
+        for b in batches:
+            for x in b.column(0):
+                total += np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32)
+        yield packed(total)
 
-    table = train.select("w").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(WORD_BUCKETS + PAIR_BUCKETS, np.int64)
-    total[table.column("at").to_numpy()] = table.column("n").to_numpy()
-    return total[:WORD_BUCKETS], total[WORD_BUCKETS:]
+    total = np.zeros(base[-1], np.float32)
+    for x in train.select("w").mapInArrow(count, "total binary").repartition(SUMS).mapInArrow(add, "total binary").toLocalIterator():
+        total += np.frombuffer(zlib.decompress(x.total), np.float32)
+    return np.split(total, base[1:-1])
+
+
+def word_bits(w: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """Two columns of 64 bits: one for the hash modulo 128 of each word of a text. An edit changes two bits at most."""
+    spot = (w >> np.uint64(40)) & np.uint64(127)
+    one, first = np.left_shift(np.uint64(1), spot & np.uint64(63)), np.cumsum(n) - n
+    return [pa.array(np.bitwise_or.reduceat(np.where(spot >> np.uint64(6) == i, one, np.uint64(0)), first).view(np.int64)) for i in (0, 1)]
 
 
 def edits_of(n: Column) -> Column:
@@ -128,34 +147,35 @@ def edits(n: int) -> int:
     return (n * EDITS // (EDITS - 1)) // EDITS
 
 
-def cuts(w: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+def cuts(w: np.ndarray, seen: list[np.ndarray]) -> np.ndarray:
     """Starts of the edits + 1 pieces of texts of equal length (a row each), with the end: of all ways to cut, the one whose pieces are
-    expected least often in the training side, by a chain of word pairs. Any text within the edits leaves one piece whole.
+    expected least often at its places in the training side, by a chain of runs of three words. Any text within the edits leaves one piece whole.
 
     Texts of more than CUT words are cut stretch by stretch, so that the tables are of bounded size; the number of pieces is the same.
     """
     n = w.shape[1]
     pieces, parts = edits(n) + 1, math.ceil(n / CUT)
     ends, share = [n * i // parts for i in range(parts + 1)], [pieces * i // parts for i in range(parts + 1)]
-    out = [_cuts(w[:, a:b], q - p, word, pair)[:, :-1] + a for a, b, p, q in zip(ends, ends[1:], share, share[1:])]
+    out = [_cuts(w[:, a:b], q - p, p, pieces, seen)[:, :-1] + a for a, b, p, q in zip(ends, ends[1:], share, share[1:])]
     return np.concatenate([*out, np.full((len(w), 1), n)], axis=1)
 
 
-def _cuts(w: np.ndarray, pieces: int, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+def _cuts(w: np.ndarray, pieces: int, before: int, all_: int, seen: list[np.ndarray]) -> np.ndarray:
     rows, n = w.shape
     most = max(PIECE, math.ceil(n / pieces))
-    one = np.log(word[(w >> np.uint64(20)) % np.uint64(WORD_BUCKETS)] + 0.1)
-    two = np.log(pair[_pair(w[:, :-1], w[:, 1:]) % np.uint64(PAIR_BUCKETS)] + 0.1) - one[:, :-1]
-    sums = np.concatenate([np.zeros((rows, 1)), np.cumsum(np.minimum(two, 0.0), axis=1)], axis=1)
+    one, two, three = (np.log(seen[l - 1][_runs(w, l)] + 0.1) for l in (1, 2, 3))
+    # a further word makes a run so much rarer as it makes its last three words rarer than the two before it
+    sums = np.concatenate([np.zeros((rows, 2)), np.cumsum(np.minimum(three - two[:, :-1], 0.0), axis=1)], axis=1)
     # cost of a piece of length l from i: the expected number of times it stands in the training side
-    cost = [None] + [np.exp(one[:, : n - l + 1] + sums[:, l - 1 :] - sums[:, : n - l + 1]) for l in range(1, most + 1)]
+    cost = [None, np.exp(one), np.exp(two)] + [np.exp(two[:, : n - l + 1] + sums[:, l - 1 :] - sums[:, 1 : n - l + 2]) for l in range(3, most + 1)]
     best = np.full((rows, n + 1), np.inf)
     best[:, 0] = 0
     back = np.zeros((pieces, rows, n + 1), np.int8)
     for p in range(pieces):
+        places = 2 * min(p + before, all_ - 1 - p - before) + 1
         now = np.full((rows, n + 1), np.inf)
         for l in range(1, most + 1):
-            new = best[:, : n - l + 1] + cost[l]
+            new = best[:, : n - l + 1] + cost[l] * places
             better = new < now[:, l:]
             now[:, l:] = np.where(better, new, now[:, l:])
             back[p][:, l:] = np.where(better, l, back[p][:, l:])
@@ -181,19 +201,21 @@ def _hashes(w: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
-def eval_pieces(held: DataFrame, word: np.ndarray, pair: np.ndarray) -> DataFrame:
+def eval_pieces(held: DataFrame, seen: list[np.ndarray]) -> DataFrame:
     """(h, eval_id, spot, i, low, high): the pieces of the evaluation texts; spot is the text's number of words times 2^32 and the place of piece i."""
     kind = dict(held.dtypes)["segment_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, n = _flat(b.column(1))
-            first = np.cumsum(n) - n
+            if not len(flat):
+                continue
+            first, bits = np.cumsum(n) - n, word_bits(flat, n)
             for size in np.unique(n):
                 every = np.flatnonzero(n == size)
                 for part in np.array_split(every, math.ceil(len(every) * size / 50_000)):
                     w = flat[first[part][:, None] + np.arange(size)[None, :]]
-                    at = cuts(w, word, pair)
+                    at = cuts(w, seen)
                     pieces = at.shape[1] - 1
                     start, length = at[:, :-1].ravel(), np.diff(at, axis=1).ravel()
                     row = np.repeat(np.arange(len(part)), pieces)
@@ -205,10 +227,10 @@ def eval_pieces(held: DataFrame, word: np.ndarray, pair: np.ndarray) -> DataFram
                     at = b.column(0).take(pa.array(part[row]))
                     spot, index = np.int64(size) << 32 | start, np.tile(np.arange(pieces, dtype=np.int32), len(part))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(h.view(np.int64)), at, pa.array(spot), pa.array(index), b.column(2).take(pa.array(part[row])), b.column(3).take(pa.array(part[row])),
+                        pa.array(h.view(np.int64)), at, pa.array(spot), pa.array(index), *[x.take(pa.array(part[row])) for x in bits],
                     ], names=["h", "eval_id", "spot", "i", "low", "high"])
 
-    return held.select("segment_id", "w", "low", "high").mapInArrow(cut, f"h long, eval_id {kind}, spot long, i int, low long, high long")
+    return held.select("segment_id", "w").mapInArrow(cut, f"h long, eval_id {kind}, spot long, i int, low long, high long")
 
 
 def _bits(h: np.ndarray, place: np.ndarray, right: bool, bits: int) -> Iterator[np.ndarray]:
@@ -220,6 +242,12 @@ def _bits(h: np.ndarray, place: np.ndarray, right: bool, bits: int) -> Iterator[
         yield ((key >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and their counts of several such lists."""
+    value, at = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
+    return value, np.bincount(at, weights=np.concatenate([n for _, n in held]), minlength=len(value)).astype(np.int64)
+
+
 class Filter:
     """All pieces at all places where a training text may hold them, in parts by ranges of the hash, each a row of a table in the shared folder.
 
@@ -238,12 +266,17 @@ class Filter:
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: dict[int, np.ndarray] = {}
+            held: dict[int, list] = {}
             for b in batches:
-                every, h, spot, index = (b.column(c).to_numpy() for c in range(4))
+                h, spot, index = (b.column(c).to_numpy() for c in range(3))
+                every = h.view(np.uint64) >> np.uint64(64 - int(math.log2(parts)))
                 for part in np.unique(every):
                     on = every == part
                     bit = own.setdefault(int(part), np.zeros(bits, bool))
                     x, n, pos, left = h[on].view(np.uint64), spot[on] >> 32, spot[on] & 0xFFFFFFFF, index[on].astype(np.int64)
+                    held.setdefault(int(part), []).append(np.unique(x, return_counts=True))
+                    if len(held[int(part)]) > 63:
+                        held[int(part)] = [merged(held[int(part)])]
                     rest = (n * EDITS // (EDITS - 1)) // EDITS - left
                     for right in (False, True):
                         near = np.flatnonzero((left > rest) == right)
@@ -252,16 +285,24 @@ class Filter:
                             go = np.flatnonzero((abs(d) <= reach) & (place + d >= 0))
                             for s in _bits(x[near][go], place[go] + d, right, bits):
                                 bit[s] = True
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in own.values()], pa.binary())], names=["part", "bit"])
-
-        part = F.pmod(F.shiftrightunsigned("h", 64 - int(math.log2(parts))), F.lit(parts)).cast("int").alias("part")
-        marked = pieces.select(part, "h", "spot", "i").repartition(parts, "part").mapInArrow(mark, "part int, bit binary")
+            for part, bit in own.items():
+                piece, n = merged(held[part])
+                hot = [{"h": int(x), "spread": -(-int(c) // HOT)} for x, c in zip(piece[n > HOT].view(np.int64), n[n > HOT])]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bit, bitorder="little").tobytes()], pa.binary()), pa.array([hot], hot_type)], names=["part", "bit", "hot"])
+
+        hot_type = pa.list_(pa.struct([("h", pa.int64()), ("spread", pa.int32())]))
+        part = F.shiftrightunsigned("h", 64 - int(math.log2(parts)))
+        marked = pieces.select("h", "spot", "i").repartition(parts, part).mapInArrow(mark, "part int, bit binary, hot array<struct<h: long, spread: int>>")
         self.path = written(marked, "filter")
 
+    def hot(self, spark: SparkSession) -> DataFrame:
+        """(h, spread): pieces of more than HOT evaluation texts, and over how many tasks they are spread."""
+        return spark.read.parquet(self.path).select(F.inline("hot"))
+
     def load(self, low: int) -> np.ndarray:
         """The bytes of the parts from `low` on that are held at once."""
         out = np.zeros((self.at_once, self.bits >> 3), np.uint8)
-        for part, bit in zip(*pq.read_table(self.path, filters=[("part", ">=", low), ("part", "<", low + self.at_once)]).columns):
+        for part, bit in zip(*pq.read_table(self.path, columns=["part", "bit"], filters=[("part", ">=", low), ("part", "<", low + self.at_once)]).columns):
             out[part.as_py() - low] = np.frombuffer(bit.as_buffer(), np.uint8)
         return out.ravel()
 
@@ -292,7 +333,7 @@ def train_pieces(train: DataFrame, own: Filter, most: int = PIECE) -> DataFrame:
             w, n = _flat(b.column(1))
             if not len(w):
                 continue
-            row = np.repeat(np.arange(len(n)), n)
+            row, bits = np.repeat(np.arange(len(n)), n), word_bits(w, n)
             place = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
             every = [(l, h, np.flatnonzero(row[: len(h)] == row[l - 1 :])) for l, h in enumerate(_hashes(w, most), 1)]
             for low in rounds:
@@ -312,10 +353,10 @@ def train_pieces(train: DataFrame, own: Filter, most: int = PIECE) -> DataFrame:
                     if len(at):
                         own_row = pa.array(row[at])
                         yield pa.RecordBatch.from_arrays([
-                            pa.array(h[at].view(np.int64)), b.column(0).take(own_row), pa.array(n[row[at]].astype(np.int64) << 32 | place[at]), b.column(2).take(own_row), b.column(3).take(own_row),
+                            pa.array(h[at].view(np.int64)), b.column(0).take(own_row), pa.array(n[row[at]].astype(np.int64) << 32 | place[at]), *[x.take(own_row) for x in bits],
                         ], names=["h", "train_id", "tspot", "tlow", "thigh"])
 
-    return train.select("segment_id", "w", "low", "high").mapInArrow(probe, f"h long, train_id {kind}, tspot long, tlow long, thigh long")
+    return train.select("segment_id", "w").mapInArrow(probe, f"h long, train_id {kind}, tspot long, tlow long, thigh long")
 
 
 def candidates(words: DataFrame, held_bits: int = HELD_BITS) -> DataFrame:
@@ -324,12 +365,12 @@ def candidates(words: DataFrame, held_bits: int = HELD_BITS) -> DataFrame:
     The evaluation side of a piece of more than HOT evaluation texts is spread over tasks, the training side repeated for each.
     """
     held, train = words.where("side > 0"), words.where("side = 0")
-    pieces = stored(eval_pieces(held, *counts(train)), "pieces")
-    hot = stored(pieces.groupBy("h").agg(F.ceil(F.count("*") / HOT).cast("int").alias("spread")).where("spread > 1"), "hot-pieces")
-    hot = small(hot, 16)
+    pieces = stored(eval_pieces(held, counts(train)), "pieces")
+    own = Filter(pieces, held_bits)
+    hot = small(own.hot(words.sparkSession), 16)
     one = F.coalesce("spread", F.lit(1))
     left = pieces.join(hot, "h", "left").withColumn("salt", F.pmod(F.xxhash64("eval_id"), one).cast("int")).drop("spread")
-    right = train_pieces(train, Filter(pieces, held_bits)).join(hot, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("spread")
+    right = train_pieces(train, own).join(hot, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("spread")
     n, m, low = F.shiftright("spot", 32), F.shiftright("tspot", 32), F.lit(0xFFFFFFFF).cast("long")
     pos, tpos = F.col("spot").bitwiseAND(low), F.col("tspot").bitwiseAND(low)
     k, i = F.floor(F.greatest(n, m) / EDITS), F.col("i")

@@ -130,7 +130,7 @@ def test_overlap_in_parts_and_copies(spark, monkeypatch):
 
 def test_long_texts_are_cut_in_stretches():
     w = np.random.default_rng(1).integers(0, 500, (2, 1601)).astype(np.uint64)
-    at = overlap.cuts(w, np.ones(overlap.WORD_BUCKETS), np.ones(overlap.PAIR_BUCKETS))
+    at = overlap.cuts(w, [np.ones(n) for n in overlap.BUCKETS])
     assert at.shape == (2, overlap.edits(1601) + 2) and (np.diff(at, axis=1) > 0).all() and np.diff(at, axis=1).max() <= overlap.PIECE and (at[:, 0] == 0).all() and (at[:, -1] == 1601).all()
 
 
@@ -144,7 +144,7 @@ def test_banded_distance(a, b):
 
 def test_pieces_cover_the_text():
     w = np.random.default_rng(0).integers(0, 50, (7, 43)).astype(np.uint64)
-    at = overlap.cuts(w, np.ones(overlap.WORD_BUCKETS), np.ones(overlap.PAIR_BUCKETS))
+    at = overlap.cuts(w, [np.ones(n) for n in overlap.BUCKETS])
     assert at.shape == (7, overlap.edits(43) + 2) and (np.diff(at, axis=1) > 0).all() and (at[:, 0] == 0).all() and (at[:, -1] == 43).all()
 
 
