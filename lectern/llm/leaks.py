@@ -16,6 +16,8 @@ from lectern.runtime import stored
 RUN = 12
 #: Words are near if they are this far out of their place at most; a near match has NEAR_WORDS of the 2 RUN - 1 words around an anchor near.
 NEAR, NEAR_WORDS = 3, 15
+#: Terms of each run of an item, rarest first, whose lists are read: one finds every exact run, further ones what was edited at the rarest.
+RAREST = 2
 #: Items are taken in blocks of about so many characters, so that what a task holds of them is bounded.
 BLOCK_CHARS = 4_000_000
 
@@ -68,15 +70,16 @@ def postings(corpus: DataFrame, terms: np.ndarray, run: int = RUN) -> DataFrame:
 
 
 def anchors(items: dict[int, np.ndarray], df: dict[int, int], run: int = RUN) -> list[tuple[int, int, int, list[int]]]:
-    """(term, item_id, ipos, context): of every window of `run` words of an item the term that is rarest in the corpus, the first on ties.
+    """(term, item_id, ipos, context): of every window of `run` words of an item the RAREST terms that are rarest in the corpus, the first on ties.
 
-    A run of an item that stands in a document holds a whole window and so its anchor: starting from the rarest terms misses none.
+    A run of an item that stands in a document holds a whole window and so its anchors: starting from the rarest terms misses none. A window
+    whose rarest word was edited away in the document is found by the next.
     """
     out = []
     for item, h in items.items():
         n = np.array([df.get(int(x), 0) for x in h])
         padded = np.concatenate([np.zeros(run - 1, np.int64), h, np.zeros(run - 1, np.int64)])
-        at = sorted({i + int(np.argmin(n[i : i + run])) for i in range(len(h) - run + 1)})
+        at = sorted({i + int(j) for i in range(len(h) - run + 1) for j in np.argsort(np.where(n[i : i + run] == 0, n.max() + 1, n[i : i + run]), kind="stable")[:RAREST]})
         out += [(int(h[p]), item, p, padded[p : p + 2 * run - 1].tolist()) for p in at if n[p]]
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,44 +14,37 @@ from pyspark.sql import functions as F
 
 from lectern.runtime import ranked, stored
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-TOKENIZER = "byte_bpe_50k.tiktoken"
+#: Vocabulary file of the public tokenizer that counts tokens; every function that counts takes it as a parameter.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary's tokenizer splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Output shards (a power of two), blocks a shard, seed of all draws.
 SHARDS, BLOCKS, SEED = 16, 64, 7
-#: Characters that are tokenized at once.
+#: Characters that are tokenized at once, or up to the next single blank between two other characters: the pattern parts a text there, so that
+#: the tokens are those of the whole text.
 PIECE = 100_000
+_PART = re.compile(r"(?s)(.{%d}.*?\S)(?= \S)|.+" % (PIECE - 1))
 
 
 def source_key(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"[^\p{L}\p{N}]+", "_")
 
 
-def sizes(documents: DataFrame, folder: str = TOKENIZERS, name: str = TOKENIZER) -> DataFrame:
+def sizes(documents: DataFrame, vocabulary: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens): each document once, whole texts; NULL texts have 0 tokens, documents without id or source are left out."""
     kind = dict(documents.dtypes)["doc_id"]
+    documents.sparkSession.sparkContext.addFile(vocabulary)  # the executors get it from the driver
+    name = os.path.basename(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(os.path.join(folder, name), "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoder = tiktoken.Encoding("counting", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
-            n = []
-            for t in b.column(2):
-                t = t.as_py() or ""
-                if len(t) <= PIECE:
-                    n.append(len(encoder.encode_ordinary(t)))
-                    continue
-                at = total = 0
-                while at < len(t):  # very long texts in parts that end before a blank
-                    end = t.rfind(" ", at + 1, at + PIECE) if at + PIECE < len(t) else len(t)
-                    end = end if end > at else min(at + PIECE, len(t))
-                    total += len(encoder.encode_ordinary(t[at:end]))
-                    at = end
-                n.append(total)
+            n = [sum(len(encoder.encode_ordinary(x.group())) for x in _PART.finditer(t or "")) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "tokens"])
 
     read = documents.where("doc_id is not null").select("doc_id", source_key(F.col("source")).alias("source"), "text").where("source is not null and source <> ''")
@@ -95,9 +89,10 @@ def mixture(documents: DataFrame, targets: DataFrame, shards: int = SHARDS) -> D
     quotas = plan(totals, [(r.s, float(r.a or 0), int(r.b or 0)) for r in wanted])
     spark = documents.sparkSession
     passes = [(s, i, q["rest"] if i == q["whole"] else float("inf")) for s, q in sorted(quotas.items()) for i in range(q["whole"] + (q["rest"] > 0))]
+    rows = size.count()
     block = max(1.0, sum(q["quota"] for q in quotas.values()) / (shards * BLOCKS))
     each = F.broadcast(spark.createDataFrame(passes, "source string, repeat int, budget double"))
-    used = ranked(size.join(each, "source"), ["source", "repeat"], F.xxhash64("doc_id", "repeat"), F.col("tokens")).where(F.col("before") + F.col("tokens") / 2 <= F.col("budget"))
+    used = ranked(size.join(each, "source"), ["source", "repeat"], F.xxhash64("doc_id", "repeat"), F.col("tokens"), rows).where(F.col("before") + F.col("tokens") / 2 <= F.col("budget"))
     used = stored(used.select("doc_id", "source", "repeat", "tokens", F.floor(F.col("before") / F.lit(block)).cast("int").alias("block")), "used")
     # blocks: at most shards * BLOCKS and one for each pass
     every = sorted((r.source, r.repeat, r.block) for r in used.select("source", "repeat", "block").distinct().collect())
@@ -111,7 +106,7 @@ def mixture(documents: DataFrame, targets: DataFrame, shards: int = SHARDS) -> D
         at += [(*x, int(np.searchsorted(ends, i, side="right"))) for i, x in enumerate(map(tuple, own))]
     home = F.broadcast(spark.createDataFrame([(s, int(r), int(b), h) for s, r, b, h in at], "source string, repeat int, block int, shard int"))
     placed = used.join(home, ["source", "repeat", "block"]).drop("block")
-    order = ranked(placed, ["shard"], F.xxhash64("shard", "repeat", "doc_id"), F.lit(1).cast("long"))
+    order = ranked(placed, ["shard"], F.xxhash64("shard", "repeat", "doc_id"), F.lit(1).cast("long"), rows)
     return order.select("shard", F.col("before").alias("position"), "doc_id", "source", "repeat", "tokens")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,37 +15,49 @@ from lectern.runtime import small, stored
 
 #: TESTDATA.md's statement of the problem: three-word sequences, more than half in both, at least 60 words.
 WORDS, SHARE, LEAST_WORDS = 3, 0.5, 60
-#: MinHash functions; prefix tries, each over DEPTH of the functions.
-FUNCTIONS, TREES, DEPTH = 128, 96, 6
-#: Prefixes are shortened until a pair at the threshold is found with this probability; each pair above it is found with a greater one.
-TARGET = 0.995
-#: A pair whose signatures agree in fewer than this share of the functions is not verified; at the threshold that is 4 deviations off.
-AGREE = SHARE - 4 * (SHARE * (1 - SHARE) / FUNCTIONS) ** 0.5
+#: The longest prefix of a trie. Prefixes are shortened, and the tries grow fewer, as long as that saves more rows than it adds candidates;
+#: at any length there are as many tries as find a pair at the threshold with probability TARGET, and pairs above it with a greater one.
+DEPTH, TARGET = 5, 0.995
+#: Words of 64 bits in a document's parity sketch.
+SKETCH = 16
+#: A candidate costs as much as so many rows of tries. Tries by which candidates are estimated.
+WORTH, PROBED = 10, 8
 #: Buckets of more members are split over several tasks.
 HOT = 1000
 
 
 def texts(pages: DataFrame) -> DataFrame:
-    """(document_id, text): the pages of a document in order, each page once."""
-    one = pages.where("document_id is not null").groupBy("document_id", "page_number").agg(F.max("text").alias("text"))
-    return one.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text")))).alias("p")).select("document_id", F.concat_ws("\n", "p.text").alias("text"))
+    """(document_id, text): the pages of a document in order, each page once; of a repeated page the greatest text counts."""
+    page = F.struct("page_number", F.coalesce("text", F.lit("")).alias("text"))
+    own = pages.where("document_id is not null").groupBy("document_id").agg(F.array_sort(F.collect_list(page)).alias("p"))
+    last = F.filter("p", lambda x, i: ~F.get("p", i + 1)["page_number"].eqNullSafe(x["page_number"]) | (i + 1 == F.size("p")))
+    return own.select("document_id", F.array_join(F.transform(last, lambda x: x["text"]), "\n").alias("text"))
 
 
-def functions(n: int = FUNCTIONS) -> tuple[np.ndarray, np.ndarray]:
+def tries(depth: int) -> int:
+    """How many tries find a pair at the threshold with probability TARGET by prefixes of this length."""
+    return math.ceil(math.log(1 - TARGET) / math.log(1 - SHARE**depth))
+
+
+def functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(1997)
     return r.integers(1, 1 << 62, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 62, n, dtype=np.uint64)
 
 
-def trees(n: int = FUNCTIONS) -> np.ndarray:
-    """Functions of each tree, in the order of its prefix."""
+#: MinHash functions, and those of each trie in the order of its prefix.
+FUNCTIONS = 128
+
+
+def trees(depth: int) -> np.ndarray:
     r = np.random.default_rng(2005)
-    return np.stack([r.permutation(n)[:DEPTH] for _ in range(TREES)])
+    return np.stack([r.permutation(FUNCTIONS)[:depth] for _ in range(tries(depth))])
 
 
 def signatures(documents: DataFrame, key: str, width: int = WORDS, least: int = LEAST_WORDS) -> DataFrame:
-    """(key, shingles, sig, class_a, class_b) of texts with at least `least` words: distinct word sequences of `width` words as hashes, MinHash values,
-    and two sums that are equal for equal sets. Whole texts; NULL texts have no words."""
-    mult, add = functions()
+    """(key, shingles, sig, sketch, class_a, class_b) of texts with at least `least` words: distinct word sequences of `width` words as hashes,
+    MinHash values, the parity of the sequences in each of 64 SKETCH bits, and two sums that are equal for equal sets. Whole texts; NULL texts
+    have no words."""
+    mult, add = functions(FUNCTIONS)
     kind = dict(documents.dtypes)[key]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,33 +83,48 @@ def signatures(documents: DataFrame, key: str, width: int = WORDS, least: int =
                 v ^= v >> np.uint64(32)
                 sig[:, f] = (np.minimum.reduceat(v * np.uint64(0xD6E8FEB86659FD93), first) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             ends = np.append(first, len(h))
+            bit = ((h * mult[1]) >> np.uint64(40)) % np.uint64(64 * SKETCH)
+            odd = np.unique(np.repeat(np.arange(len(first)), np.diff(ends)) * 64 * SKETCH + bit.astype(np.int64), return_counts=True)
+            odd = odd[0][odd[1] % 2 == 1]
+            sketch = np.zeros(len(first) * SKETCH, np.uint64)
+            np.bitwise_or.at(sketch, odd >> 6, np.left_shift(np.uint64(1), (odd & 63).astype(np.uint64)))
             yield pa.RecordBatch.from_arrays([
                 b.column(0).take(pa.array(row[first])), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64))),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * len(mult)), pa.array(sig.ravel())),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * SKETCH), pa.array(sketch.view(np.int64))),
                 pa.array(np.add.reduceat(h, first).view(np.int64)), pa.array(np.add.reduceat((h >> np.uint64(7)) * mult[0] ^ h, first).view(np.int64)),
-            ], names=[key, "shingles", "sig", "class_a", "class_b"])
+            ], names=[key, "shingles", "sig", "sketch", "class_a", "class_b"])
 
-    return documents.select(key, "text").mapInArrow(sign, f"{key} {kind}, shingles array<long>, sig array<int>, class_a long, class_b long")
+    return documents.select(key, "text").mapInArrow(sign, f"{key} {kind}, shingles array<long>, sig array<int>, sketch array<long>, class_a long, class_b long")
 
 
-def recall(share: float, depth: int) -> float:
-    return 1 - (1 - share**depth) ** TREES
+def nodes(docs: DataFrame, depth: int, most: int | None = None) -> DataFrame:
+    """(d, n, node): of each document its nodes at this depth, one a trie. In the sorted trie the documents under a node stand together."""
+    node = F.array(*[F.xxhash64(F.lit(t), *[F.element_at("sig", int(f) + 1) for f in own]) for t, own in enumerate(trees(depth)[:most])])
+    return docs.select("d", "n", F.explode(node).alias("node"))
 
 
-def prefix(share: float = SHARE) -> int:
-    """Greatest prefix length that finds a pair of this share with probability TARGET."""
-    return max([d for d in range(1, DEPTH + 1) if recall(share, d) >= TARGET] or [1])
+def depth_of(docs: DataFrame, documents: int) -> int:
+    """The prefix length: from DEPTH down, as long as the shorter prefix saves more rows of tries than its candidates cost. PROBED tries over
+    all documents tell how many pairs stand together under the nodes."""
+    best, cost = DEPTH, None
+    for depth in range(DEPTH, 0, -1):
+        size = nodes(docs, depth, PROBED).groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
+        pairs = size.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0
+        now = tries(depth) * documents + WORTH * pairs * tries(depth) / min(PROBED, tries(depth))
+        if cost is not None and now > cost:
+            break
+        best, cost = depth, now
+    return best
 
 
 def bucket_pairs(docs: DataFrame, depth: int) -> DataFrame:
-    """Distinct (a, b), a < b, of documents that share the first `depth` values of the prefix in one tree at least.
+    """Distinct (a, b), a < b, of documents that share the first `depth` values of the prefix in one trie at least.
 
-    In the sorted trie such documents stand together under one node; the node is the join key. A document's partner must be within
-    the size that the threshold allows. Nodes with more than HOT members are split: one side by a salt, the other repeated for each.
+    The node is the join key. A document's partner must be within the size that the threshold allows. Nodes with more than HOT members
+    are split: one side by a salt, the other repeated for each.
     """
-    order = trees()
-    nodes = F.array(*[F.xxhash64(F.lit(t), *[F.element_at("sig", int(f) + 1) for f in order[t][:depth]]) for t in range(TREES)])
-    under = docs.select("d", "n", F.explode(nodes).alias("node"))
+    under = nodes(docs, depth)
     size = under.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
     shared = under.join(size, "node").withColumn("parts", F.ceil(F.col("m") / HOT).cast("int"))
     left = shared.select("node", F.col("d").alias("a"), F.col("n").alias("na"), F.pmod(F.col("d"), F.col("parts").cast("long")).cast("int").alias("salt"))
@@ -106,33 +134,38 @@ def bucket_pairs(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, share): candidates whose signatures agree enough, with the exact share of common sequences, above SHARE."""
+    """(a, b, share): candidates with the exact share of common sequences, above SHARE.
+
+    A pair above SHARE differs in less than a share of (1 - SHARE) / (1 + SHARE) of the sizes' sum; no more bits of the parity sketches can
+    differ than sequences do, so a pair whose sketches say more is left out before the sequences are read. None is lost by that.
+    """
     pairs = stored(pairs, "candidates")
     n = pairs.count()
+    both = lambda p, m, *columns: _sides(p, docs, m, columns)
+    differ = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    likely = both(pairs, n, "sketch", "n").where(differ * (1 + SHARE) < (F.col("a_n") + F.col("b_n")) * (1 - SHARE)).select("a", "b")
+    likely = stored(likely, "likely")
+    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    out = both(likely, likely.count(), "shingles").withColumn("both", common)
+    return out.select("a", "b", (F.col("both") / (F.size("a_shingles") + F.size("b_shingles") - F.col("both"))).alias("share")).where(F.col("share") > SHARE)
+
+
+def _sides(pairs: DataFrame, docs: DataFrame, n: int, columns: tuple[str, ...]) -> DataFrame:
+    """Pairs (n of them) with the columns of either document, as a_ and b_."""
     ids = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
-    data = docs.join(small(ids, 16, 2 * n), "d", "left_semi").select("d", "sig")
-    x, y = data.select(F.col("d").alias("a"), F.col("sig").alias("sa")), data.select(F.col("d").alias("b"), F.col("sig").alias("sb"))
-    equal = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    likely = stored(small(pairs, 16, n).join(x, "a").join(y, "b").where(equal >= AGREE * FUNCTIONS).select("a", "b"), "likely")
-    m = likely.count()
-    ids = likely.select(F.col("a").alias("d")).union(likely.select("b")).distinct()
-    data = docs.join(small(ids, 16, 2 * m), "d", "left_semi").select("d", "shingles")
-    x, y = data.select(F.col("d").alias("a"), F.col("shingles").alias("ha")), data.select(F.col("d").alias("b"), F.col("shingles").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    return small(likely, 16, m).join(x, "a").join(y, "b").withColumn("both", both).select("a", "b", (F.col("both") / (F.size("ha") + F.size("hb") - F.col("both"))).alias("share")).where(F.col("share") > SHARE)
+    data = docs.join(small(ids, 16, 2 * n), "d", "left_semi")
+    x, y = (data.select(F.col("d").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in columns]) for k in "ab")
+    return small(pairs, 16, n).join(x, "a").join(y, "b")
 
 
 def similar(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(membership (document_id, d), links (a, b, share)): documents with equal sequences are one class d, links join classes.
-
-    The prefix is as long as the threshold allows, whatever the other pairs are: a mean over all pairs would let many close copies
-    hide the pairs that are missed near the threshold.
-    """
-    every = stored(signatures(texts(pages), "document_id"), "signatures")
-    code = F.xxhash64("class_a", "class_b", F.size("shingles"))
-    member = stored(every.select("document_id", code.alias("d")), "members")
-    docs = stored(every.groupBy(code.alias("d")).agg(F.first(F.struct("shingles", "sig")).alias("x")).select("d", "x.*", F.size("x.shingles").alias("n")), "classes")
-    return member, stored(verified(bucket_pairs(docs, prefix()), docs), "links")
+    """(membership (document_id, d), links (a, b, share)): documents with equal sequences are one class d, links join classes."""
+    every = stored(signatures(texts(pages), "document_id").withColumn("n", F.size("shingles")).withColumn("d", F.xxhash64("class_a", "class_b", "n")), "signatures")
+    member = every.select("document_id", "d")
+    # of documents with equal sequences one stands for all; the others are few, or a join by d
+    again = stored(member.groupBy("d").agg(F.min("document_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "copies")
+    docs = every.join(small(again, 80), "d", "left").where("first is null or first = document_id").select("d", "n", "sig", "sketch", "shingles")
+    return member, stored(verified(bucket_pairs(docs, depth_of(docs, docs.count())), docs), "links")
 
 
 def found(pages: DataFrame) -> DataFrame:

@@ -369,14 +369,15 @@ def candidates(words: DataFrame, held_bits: int = HELD_BITS) -> DataFrame:
     own = Filter(pieces, held_bits)
     hot = small(own.hot(words.sparkSession), 16)
     one = F.coalesce("spread", F.lit(1))
-    left = pieces.join(hot, "h", "left").withColumn("salt", F.pmod(F.xxhash64("eval_id"), one).cast("int")).drop("spread")
-    right = train_pieces(train, own).join(hot, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("spread")
+    salted = lambda salt: F.when(salt == 0, F.col("h")).otherwise(F.xxhash64("h", salt)).alias("h")
+    left = pieces.join(hot, "h", "left").select("*", F.pmod(F.xxhash64("eval_id"), one).cast("int").alias("salt")).select(salted(F.col("salt")), *[c for c in pieces.columns if c != "h"])
+    right = train_pieces(train, own).join(hot, "h", "left").select("*", F.explode(F.sequence(F.lit(0), one - 1)).alias("salt")).select(salted(F.col("salt")), "train_id", "tspot", "tlow", "thigh")
     n, m, low = F.shiftright("spot", 32), F.shiftright("tspot", 32), F.lit(0xFFFFFFFF).cast("long")
     pos, tpos = F.col("spot").bitwiseAND(low), F.col("tspot").bitwiseAND(low)
     k, i = F.floor(F.greatest(n, m) / EDITS), F.col("i")
     fits = (F.abs(n - m) <= k) & (F.abs(pos - tpos) <= i) & (F.abs((n - pos) - (m - tpos)) <= k - i)
     fits &= F.bit_count(F.col("low").bitwiseXOR(F.col("tlow"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("thigh"))) <= 2 * k
-    return left.join(right, ["h", "salt"]).where(fits).select("eval_id", "train_id").distinct()
+    return left.join(right, "h").where(fits).select("eval_id", "train_id").distinct()
 
 
 def distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

@@ -11,6 +11,7 @@ from lectern.runtime import table as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda s, d: splits.found(t(s, d, "doc_specs", "spec_id", "doc_id", "subject", "author")),
+    "p1_forest": lambda s, d: splits.links(t(s, d, "doc_specs", "spec_id", "doc_id", "subject", "author")),
     "p1_splits": lambda s, d: splits.assign(t(s, d, "doc_specs", "spec_id", "doc_id", "subject", "author"), t(s, d, "split_targets")),
     "p1_shares": lambda s, d: splits.report(t(s, d, "doc_specs", "spec_id", "doc_id", "subject", "author"), t(s, d, "split_targets")),
     "p2_found": lambda s, d: overlap.found(t(s, d, "segments", "segment_id", "spec_id", "text"), t(s, d, "doc_specs", "spec_id", "split")),

@@ -18,7 +18,7 @@ CONFUSIONS = [("c", "e"), ("f", "t"), ("b", "h"), ("rn", "m"), ("cl", "d"), ("ii
 #: A word is taken for what was printed if it stands so many times as often as the strange token. A place in a page that was not scanned
 #: counts as so many in scanned lines.
 RATIO = 2
-#: Lines from the top or bottom of a page that may be furniture.
+#: Furniture has fewer other lines than this between itself and the top or bottom of its page.
 EDGE = 2
 #: A mark of the copy stands at the edge of pages of so many documents, and of its occurrences this share is at an edge.
 MARKED, AT_EDGE = 2, 0.9
@@ -54,14 +54,9 @@ def anagram(word: Column) -> Column:
 
 
 def differences() -> list[tuple[int, int]]:
-    """(difference, cost): what one or two confusions, each of them either way round, add to the anagram hash of the word read.
-
-    The cost is least for one confusion as listed, then for one the other way round, then for two.
-    """
+    """(difference, cost): what no or one confusion, either way round, adds to the anagram hash of the word read; least for one as listed."""
     value = lambda s: sum((ord(c) % 1024) ** 5 for c in s)
-    one = [(sign * (value(m) - value(s)), cost) for s, m in CONFUSIONS for sign, cost in ((1, 2), (-1, 3))]
-    both = [(a + b, j + k) for i, (a, j) in enumerate(one) for b, k in one[i:]]
-    return sorted({d: cost for d, cost in sorted(one + both, key=lambda x: -x[1])}.items())
+    return [(0, 0)] + [(sign * (value(m) - value(s)), cost) for s, m in CONFUSIONS for sign, cost in ((1, 2), (-1, 3))]
 
 
 def plain_sign(token: Column) -> Column:
@@ -72,10 +67,24 @@ def plain_sign(token: Column) -> Column:
 
 
 def placed(ocr_lines: DataFrame) -> DataFrame:
-    """(document_id, page, line_no, text, top, bottom): each line once, with its place from both ends of its page. NULL keys are dropped."""
+    """(document_id, page, line_no, text, top, bottom, above, below): each line once, with its place from both ends of its page and the lines
+    further out that can't be furniture. NULL keys are dropped."""
     one = ocr_lines.where("document_id is not null and page is not null and line_no is not null").groupBy("document_id", "page", "line_no").agg(F.coalesce(F.max("text"), F.lit("")).alias("text"))
-    own = Window.partitionBy("document_id", "page")
-    return one.withColumn("top", F.row_number().over(own.orderBy("line_no"))).withColumn("bottom", F.row_number().over(own.orderBy(F.desc("line_no"))))
+    page = Window.partitionBy("document_id", "page")
+    down = page.orderBy("line_no")
+    body = (~(open_end(F.col("text")) | number(F.col("text")))).cast("int")
+    out = one.withColumn("body", body).withColumn("top", F.row_number().over(down)).withColumn("above", F.sum("body").over(down) - F.col("body"))
+    out = out.withColumn("bottom", F.count("*").over(page) - F.col("top") + 1).withColumn("below", F.sum("body").over(page) - F.col("above") - F.col("body"))
+    return out.drop("body")
+
+
+def open_end(text: Column) -> Column:
+    """A short line that ends in no mark: what running heads, feet and copy marks look like."""
+    return (F.length(F.trim(text)) < 70) & ~F.trim(text).rlike(r"[.,;:?!…\-¬\x{AD}‐]$")
+
+
+def number(text: Column) -> Column:
+    return (F.length(text) < 70) & F.trim(text).rlike(NUMBER)
 
 
 def headless(text: Column) -> Column:
@@ -87,23 +96,25 @@ def furniture(lines: DataFrame, titles: DataFrame) -> DataFrame:
     """(document_id, page, line_no) of page numbers, running heads and feet, and marks of the copy among the edge lines.
 
     A running head is, but for misread signs, the title of the document, one of its headings (lines that end in a colon), or the
-    outermost line of another page of the document too. A copy mark ends in three words that close edge lines of several documents and hardly any
+    outermost line of another page of the document too. Furniture lies at the edge: at most EDGE - 1 lines further out are none, however many
+    are. A copy mark ends in three words that close edge lines of several documents and hardly any
     line elsewhere.
     """
     bare = F.trim("text")
-    open_end = ~bare.rlike(r"[.,;:?!…\-¬\x{AD}‐]$") & (F.length(bare) < 70)
     end = F.array_join(F.slice(F.split(bare, r"\s+"), -3, 3), " ")
     cut = lines.withColumn("edge", (F.col("top") <= EDGE) | (F.col("bottom") <= EDGE)).withColumn("key", skeleton(headless(F.col("text"))))
     cut = cut.withColumn("suffix", F.when(F.size(F.split(bare, r"\s+")) >= 3, skeleton(end)))
     marks = cut.groupBy("suffix").agg(F.count_distinct(F.when(F.col("edge"), F.col("document_id"))).alias("docs"), F.avg(F.col("edge").cast("int")).alias("share")).where((F.col("docs") >= MARKED) & (F.col("share") >= AT_EDGE)).select("suffix").withColumn("mark", F.lit(True))
     heads = cut.where(bare.rlike(r":[\s~^_|=.,+\-/]*$") & (F.length(bare) < 70)).select("document_id", "key")
     named = titles.where("id is not null and title is not null").select(F.col("id").alias("document_id"), F.explode(F.array(skeleton(F.col("title")), skeleton(F.regexp_replace("title", r"\s+[-–(].*$", "")))).alias("key"))
-    again = cut.where(((F.col("top") == 1) | (F.col("bottom") == 1)) & open_end).groupBy("document_id", "key").agg(F.count_distinct("page").alias("pages")).where("pages > 1").select("document_id", "key")
+    again = cut.where(((F.col("top") == 1) | (F.col("bottom") == 1)) & open_end(F.col("text"))).groupBy("document_id", "key").agg(F.count_distinct("page").alias("pages")).where("pages > 1").select("document_id", "key")
     known = heads.union(named).union(again).where(F.length("key") >= 4).distinct().withColumn("head", F.lit(True))
-    edges = cut.where("edge").join(known, ["document_id", "key"], "left").join(small(marks, 60), "suffix", "left")
-    number = bare.rlike(NUMBER)
+    edges = cut.where((F.col("above") < EDGE) | (F.col("below") < EDGE)).join(known, ["document_id", "key"], "left").join(small(marks, 60), "suffix", "left")
     mark = F.coalesce("mark", F.lit(False)) & (F.size(F.split(bare, r"\s+")) <= 8)
-    return edges.where(number | open_end & (F.coalesce("head", F.lit(False)) | mark)).select("document_id", "page", "line_no")
+    likely = edges.where(number(F.col("text")) | open_end(F.col("text")) & (F.coalesce("head", F.lit(False)) | mark))
+    page = Window.partitionBy("document_id", "page").orderBy("line_no")
+    likely = likely.withColumn("above", F.col("top") - F.row_number().over(page)).withColumn("below", F.col("bottom") - 1 - F.count("*").over(page.rowsBetween(1, Window.unboundedFollowing)))
+    return likely.where((F.col("above") < EDGE) | (F.col("below") < EDGE)).select("document_id", "page", "line_no")
 
 
 def lexicon(pages: DataFrame) -> DataFrame:
@@ -117,22 +128,23 @@ def corrections(tokens: DataFrame, lexicon_: DataFrame) -> DataFrame:
     """(token, meant): for every distinct token that no unscanned page holds the word it may be a misreading of: words of unscanned
     pages before words that stand in scanned lines alone, then the least confusions, then the most frequent.
 
-    Signs are put back to letters first. Then words are joined on equal anagram hashes after one or two confusions; the skeletons
-    must agree, since an anagram alone says nothing about places. The word must stand RATIO times as often as the token.
+    Signs count as the letters they are read for in the anagram hash. Tokens and words are joined on equal hashes after at most one confusion
+    on either side, so two in all; the skeletons must agree, since an anagram alone says nothing about places. The word must
+    stand RATIO times as often as the token.
     """
     seen = tokens.where(F.col("token").rlike(r"\p{L}") & (F.length("token") > 1)).select(F.lower("token").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    every = stored(seen.join(lexicon_.select(F.col("word").alias("token"), "clean"), "token", "full"), "evidence")
-    strange = every.where("clean is null").select("token", "n").withColumn("plain", plain_sign(F.col("token")))
+    every = seen.join(lexicon_.select(F.col("word").alias("token"), "clean"), "token", "full").withColumn("plain", plain_sign(F.col("token")))
+    every = stored(every.withColumn("av", anagram(F.col("plain"))).withColumn("skeleton", skeleton(F.col("plain"))), "evidence")
     weight = F.coalesce("clean", F.lit(0)) * RATIO + F.coalesce("n", F.lit(0))
-    known = every.where(F.col("token").rlike(r"^[\p{L}-]+$") & (F.col("clean").isNotNull() | (F.col("n") >= RATIO))).select(F.col("token").alias("word"), weight.alias("weight"), F.col("clean").isNotNull().alias("sure"))
-    enough = F.col("weight") >= F.col("n") * RATIO
-    signs = strange.where("token <> plain").join(known, F.col("plain") == F.col("word")).where(enough).select("token", F.col("word").alias("meant"), F.lit(0).alias("cost"), "sure", "weight")
-    steps = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(c).alias("cost")) for d, c in differences()]))
-    moved = strange.withColumn("av", anagram(F.col("plain"))).select("token", "n", "plain", "av", steps.alias("s")).select("token", "n", "plain", (F.col("s.d") + F.col("av")).alias("av"), "s.cost")
-    hit = moved.join(known.withColumn("av", anagram(F.col("word"))), "av").where(enough & (F.col("token") != F.col("word")) & (skeleton(F.col("plain")) == skeleton(F.col("word")))).select("token", F.col("word").alias("meant"), "cost", "sure", "weight")
-    # a sign among letters is wrong even in a word that is found nowhere else; short codes such as H2O are left alone
-    rare = strange.where(F.col("token").rlike(r"^(?=(?:[^\p{L}]*\p{L}){4})\p{L}*(?:[@!]|(?<=\p{L})[01569](?=\p{L})|^[01569](?=\p{L}{3}))[\p{L}@!]*$")).select("token", F.col("plain").alias("meant"), F.lit(99).alias("cost"), F.lit(False).alias("sure"), F.lit(0).cast("long").alias("weight"))
-    return signs.union(hit).union(rare).groupBy("token").agg(F.max(F.struct("sure", -F.col("cost"), "weight", "meant")).alias("x")).select("token", F.col("x.meant").alias("meant"))
+    right = every.where(F.col("token").rlike(r"^[\p{L}-]+$") & (F.col("clean").isNotNull() | (F.col("n") >= RATIO)))
+    right = right.select(F.col("token").alias("word"), weight.alias("weight"), F.col("clean").isNotNull().alias("sure"), "skeleton", "av")
+    steps = lambda sign: F.inline(F.array(*[F.struct((F.col("av") + sign * d).alias("key"), F.lit(c).alias("cost")) for d, c in differences()]))
+    left = every.where("clean is null").select("token", "n", "plain", "skeleton", steps(1))
+    right = right.select("word", "weight", "sure", F.col("skeleton").alias("bone"), steps(-1)).withColumnRenamed("cost", "more")
+    hit = left.join(right, "key").where((F.col("skeleton") == F.col("bone")) & (F.col("token") != F.col("word")) & (F.col("weight") >= F.col("n") * RATIO))
+    cost = F.when(F.col("plain") == F.col("word"), 0).when(F.col("cost") + F.col("more") == 0, 6).otherwise(F.col("cost") + F.col("more"))
+    best = hit.groupBy("token").agg(F.max(F.struct("sure", (-cost).alias("cost"), "weight", F.col("word").alias("meant"))).alias("x"))
+    return best.select("token", F.col("x.meant").alias("meant"))
 
 
 def english(pages: DataFrame) -> DataFrame:
@@ -200,8 +212,11 @@ def repaired(ocr_lines: DataFrame, pages: DataFrame, titles: DataFrame) -> DataF
     """
     lines = analysed(ocr_lines, pages, titles).where("not furniture")
     clean = F.regexp_replace("text", r"(?<=^|\s)[~^_|=.:,+\-/]+(?=\s|$)\s*", "")
-    alone = lambda token: F.concat(F.lit(r"(?<![\p{L}\p{N}@])"), token, F.lit(r"(?![\p{L}\p{N}@])"))
-    right = F.aggregate("fixes", clean, lambda t, f: F.regexp_replace(F.regexp_replace(t, alone(f["token"]), f["meant"]), alone(F.initcap(f["token"])), F.initcap(f["meant"])))
+    # token by token, what stands between them as it is; a token's capitals stay
+    parts = F.regexp_extract_all(clean, F.lit(f"(?s){TOKEN}|."), F.lit(0))
+    put = lambda t: F.get(F.filter("fixes", lambda f: f["token"] == F.lower(t)), F.lit(0))["meant"]
+    cased = lambda t, m: F.when((t == F.upper(t)) & (F.regexp_count(t, F.lit(r"\p{Lu}")) > 1), F.upper(m)).when(F.left(t, F.lit(1)).rlike(r"\p{Lu}"), F.initcap(m)).otherwise(m)
+    right = F.when(F.size("fixes") == 0, clean).otherwise(F.array_join(F.transform(parts, lambda t: F.coalesce(cased(t, put(t)), t)), ""))
     width = F.max(F.length("text")).over(Window.partitionBy("document_id"))
     stop = F.col("text").rlike(r"[.!?:]\s*$") & (F.length("text") < 0.85 * width)
     glue = F.when(F.col("hyphen") | F.col("keeps"), "").when(stop, "\n\n").otherwise(" ")

@@ -11,8 +11,8 @@ from lectern.runtime import ranked, small, stored
 NO_AUTHOR = "anon anonymous author authors course department editor editors faculty na nobody none null staff team unknown various"
 #: Subjects without meaning.
 NO_SUBJECT = "na none null unknown nil tbd untitled misc"
-#: A group of more than a HEAVY-th of all records is dealt on its own; there are at most HEAVY such groups.
-HEAVY = 1000
+#: Groups of a size band are dealt in rounds of so many.
+ROUND = 200
 
 
 def plain(name: Column) -> Column:
@@ -94,21 +94,32 @@ def forest(edges: DataFrame, rounds: int = 60) -> tuple[DataFrame, DataFrame]:
     return tree.distinct(), root
 
 
+def tied(specs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ties of every record, spanning forest (u, v), root of every name), all written tables. Rows that repeat a spec_id add their ties to it."""
+    ties = stored(nodes(specs.where("spec_id is not null")), "ties")
+    pairs = ties.select(F.col("k")[0].alias("u"), F.explode("k").alias("v"))
+    edges = pairs.groupBy("u", "v").agg(F.count("*").alias("n"))
+    # the same spec_id under different keys ties them too
+    again = ties.groupBy("spec_id").agg(F.min(F.col("k")[0]).alias("u"), F.max(F.col("k")[0]).alias("v")).where("u <> v").select("u", "v", F.lit(1).cast("long").alias("n"))
+    tree, root = forest(edges.union(again))
+    return ties, stored(tree, "forest"), root
+
+
+def links(specs: DataFrame) -> DataFrame:
+    """(u, v): the spanning forest of subjects (s:), authors (a:) and records that name neither (r:); what it joins lands in one split."""
+    return tied(specs)[1]
+
+
 def groups(specs: DataFrame) -> DataFrame:
-    """(spec_id, group_key, root): one row per distinct spec_id. Rows that repeat a spec_id add their ties to it.
+    """(spec_id, group_key, root): one row per distinct spec_id.
 
     group_key is the smallest subject name of the group, or `record<spec_id>` where no record of the group names a subject.
     NULL spec_id is dropped; NULL, empty or meaningless subjects, doc_ids and authors tie nothing.
     """
-    tied = stored(nodes(specs.where("spec_id is not null")), "ties")
-    pairs = tied.select(F.col("k")[0].alias("u"), F.explode("k").alias("v"))
-    edges = pairs.groupBy("u", "v").agg(F.count("*").alias("n"))
-    # the same spec_id under different keys ties them too
-    again = tied.groupBy("spec_id").agg(F.min(F.col("k")[0]).alias("u"), F.max(F.col("k")[0]).alias("v")).where("u <> v").select("u", "v", F.lit(1).cast("long").alias("n"))
-    _, root = forest(edges.union(again))
+    ties, _, root = tied(specs)
     named = root.where(F.col("node").startswith("s:")).groupBy("root").agg(F.min(F.substring("node", 3, 1 << 20)).alias("name"))
     keyed = root.join(small(named, 160), "root", "left").select(F.col("node").alias("k0"), "root", F.coalesce("name", F.regexp_replace(F.regexp_replace("root", "^r:", "record"), r"[^\p{L}\p{N}]+", "")).alias("group_key"))
-    first = tied.groupBy("spec_id").agg(F.min(F.col("k")[0]).alias("k0"))
+    first = ties.groupBy("spec_id").agg(F.min(F.col("k")[0]).alias("k0"))
     return first.join(small(keyed, 240), "k0").select("spec_id", "group_key", "root")
 
 
@@ -116,40 +127,41 @@ def found(specs: DataFrame) -> DataFrame:
     return groups(specs).select("spec_id", "group_key")
 
 
+def dealing(open_: dict[str, float], cards: int = ROUND) -> list[str]:
+    """Splits of a round of groups: at each place the split that is furthest behind its share of the open records; ties by name."""
+    want = {k: max(v, 0.0) for k, v in open_.items()}
+    total = sum(want.values()) or 1.0
+    share, given, out = {k: v / total for k, v in want.items()}, dict.fromkeys(want, 0), []
+    for i in range(cards):
+        best = max(sorted(share), key=lambda k: share[k] * (i + 1) - given[k])
+        given[best] += 1
+        out.append(best)
+    return out
+
+
 def assign(specs: DataFrame, targets: DataFrame) -> DataFrame:
     """(spec_id, group_key, new_split): every group in one split, shares near the targets.
 
-    Groups that hold more than a HEAVY-th of all records, at most HEAVY of them, go largest first to the split that lacks most.
-    The rest is stratified by size band (powers of two) and dealt systematically: inside a band, in hash order, the running
-    count of records decides the split, by the shares that are still open.
+    Groups are stratified by size band (powers of two). From the largest band down, the groups of a band, in hash order, are dealt
+    systematically: the place in the round decides the split, by the shares that are still open, and what was dealt is taken off them, so that
+    small groups even out what large ones left. The driver sees one sum a band and split. Without targets new_split is NULL.
     """
     member = stored(groups(specs), "groups")
-    size = member.groupBy("group_key").agg(F.count("*").alias("n"))
-    total = member.count()
+    size = member.groupBy("group_key").agg(F.count("*").alias("n")).withColumn("band", F.floor(F.log2("n")).cast("int"))
+    order = ranked(size, ["band"], F.xxhash64("group_key"), F.lit(1).cast("long"))
+    order = stored(order.select("group_key", "n", "band", F.pmod("before", F.lit(ROUND)).cast("int").alias("place")), "dealt")
     want = {r.split: float(r.target_share) for r in targets.where("split is not null and target_share > 0").groupBy("split").agg(F.max("target_share").alias("target_share")).orderBy("split").collect()}
-    heavy = sorted(((r.n, r.group_key) for r in size.where(F.col("n") * HEAVY > total).collect()), key=lambda x: (-x[0], x[1]))
-    scale = sum(want.values()) or 1.0
+    held = {(r.band, r.place): r.n for r in order.groupBy("band", "place").agg(F.sum("n").alias("n")).collect()}  # at most ROUND a band
+    scale, total = sum(want.values()) or 1.0, sum(held.values())
     open_ = {k: v / scale * total for k, v in want.items()}
-    fixed = []
-    for n, key in heavy:
-        best = max(sorted(open_), key=lambda k: open_[k])
-        open_[best] -= n
-        fixed.append((key, best))
-    left = {k: max(v, 0.0) for k, v in open_.items()}
-    rest, acc, cuts = sum(left.values()) or 1.0, 0.0, []
-    for k in sorted(left):
-        acc += left[k] / rest
-        cuts.append((k, acc))
-    light = size.where(F.col("n") * HEAVY <= total).withColumn("band", F.floor(F.log2("n")).cast("int"))
-    dealt = ranked(light, ["band"], F.xxhash64("group_key"), F.col("n"))
-    # a step of a golden section spreads consecutive positions over all splits
-    place = F.pmod((F.col("before") + F.lit(0.5)) * F.lit(0.6180339887498949), F.lit(1.0))
-    split = F.lit(cuts[-1][0] if cuts else None)
-    for k, c in reversed(cuts[:-1]):
-        split = F.when(place < c, F.lit(k)).otherwise(split)
-    spark = specs.sparkSession
-    at = dealt.select("group_key", split.alias("new_split")).union(spark.createDataFrame(fixed, "group_key string, new_split string"))
-    return member.join(small(at, 120), "group_key").select("spec_id", "group_key", "new_split")
+    deal = []
+    for band in sorted({b for b, _ in held}, reverse=True):
+        for place, split in enumerate(dealing(open_) if open_ else []):
+            if (band, place) in held:
+                open_[split] -= held[band, place]
+                deal.append((band, place, split))
+    table = F.broadcast(specs.sparkSession.createDataFrame(deal, "band int, place int, new_split string"))
+    return member.join(small(order.join(table, ["band", "place"], "left").select("group_key", "new_split"), 120), "group_key").select("spec_id", "group_key", "new_split")
 
 
 def report(specs: DataFrame, targets: DataFrame) -> DataFrame:

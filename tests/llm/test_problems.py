@@ -77,6 +77,21 @@ def test_assignment_keeps_groups(spark):
     assert abs(share["train"] - 0.7) < 0.03 and abs(share["val"] - 0.15) < 0.03
 
 
+def test_systematic_dealing(spark):
+    assert splits.dealing({"train": 70, "val": 15, "test": 15}, 20).count("train") == 14
+    rows = [(i, f"big_x-{i}", None, None) for i in range(1000)] + [(2000 + i, f"s{i // 4}y-{i}", None, None) for i in range(2000)]
+    target = spark.createDataFrame([("train", 0.6), ("val", 0.2), ("test", 0.2)], "split string, target_share double")
+    a = splits.assign(spark.createDataFrame(rows, SPEC), target).toPandas()
+    assert (a.groupby("group_key").new_split.nunique() == 1).all() and a[a.group_key == "bigx"].new_split.iloc[0] == "train"
+    assert (abs(a.new_split.value_counts(normalize=True) - [0.6, 0.2, 0.2]) < 0.01).all()
+
+
+def test_forest_is_kept(spark):
+    rows = [(1, "alpha-1", "beta", "Smith, J."), (2, "gamma-1", None, "J. Smith"), (3, "delta-1", None, None)]
+    tree = [tuple(sorted(x)) for x in splits.links(spark.createDataFrame(rows, SPEC)).collect()]
+    assert len(tree) == 3 and {n for e in tree for n in e} == {"s:alpha", "s:beta", "s:gamma", "a:smith|j"}
+
+
 # 2
 
 
@@ -162,6 +177,33 @@ def test_levels(spark):
     assert levels.found(spark.createDataFrame([], "document_id string, page_number int, text string")).count() == 0
 
 
+def test_level_is_that_of_the_calibrated_grade(spark):
+    rows = [(f"d{i}", 100 + i, 10, 150 + i, 10 + i % 7, float(2 ** (i % 12)), i % 12 + 2.1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "document_id string, words long, sentences long, syllable_count long, long_words long, coverage_rank double, grade_formula double")
+    level = lambda df: {r.document_id: r.level for r in levels.calibrated(df).select("document_id", levels.level(F.col("grade")).alias("level")).collect()}
+    plain = level(docs)
+    assert plain == {f"d{i}": "elementary" if i % 12 < 4 else "secondary" if i % 12 < 10 else "university" for i in range(60)}
+    one = F.when(F.col("document_id") == "d0", 4000.0).otherwise(F.col("coverage_rank"))
+    shifted = level(docs.withColumn("coverage_rank", one))
+    assert plain["d0"] == "elementary" != shifted["d0"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aeiyzkle .!?\n5E", max_size=40), max_size=6))
+def test_syllables_and_sentences_like_patterns(texts):
+    scan = Scan(pa.array(texts, pa.string()))
+    words = [w for t in texts for w in re.findall(r"[^\W_]+", t.lower())]
+    n = [len(re.findall("[aeiouy]+", w)) for w in words]
+    assert levels.syllables(scan).tolist() == [max(1, k - (w.endswith("e") and w[-2:] not in ("le", "ee", "ye") and k > 1)) for w, k in zip(words, n)]
+    assert levels.sentences(scan, len(texts)).tolist() == [sum(bool(re.search("[a-zA-Z]{2}", s)) for s in re.split(r"[.!?]+(?=\s|$)", t)) for t in texts]
+
+
+def test_coverage_rank(spark):
+    rows = [("a", 1, "the " * 80 + " ".join(f"w{i}x" for i in range(40)) + "."), ("b", 1, "the " * 50 + "of " * 30 + "and " * 20 + ".")]
+    m = {r.document_id: r for r in levels.measured(spark.createDataFrame(rows, "document_id string, page_number int, text string")).collect()}
+    assert m["b"].coverage_rank == 2.0 and m["a"].coverage_rank > m["b"].coverage_rank and m["b"].words == 100 and m["b"].sentences == 1
+
+
 def test_solve():
     a = np.random.default_rng(1).normal(size=(50, 3))
     y = a @ [1.0, -2.0, 0.5]
@@ -178,6 +220,10 @@ def test_solve():
     ("How does heat move in a rod?", "“HOW DOES HEAT MOVE IN A ROD”", "copies_question"), ("How does heat move in a rod?", "The question is: how does heat move in a rod.", "copies_question"),
     ("How does heat move in a rod?", "How does heat move in a rod? It moves from the hot end to the cold end.", None),
     ("How does heat move in a rod?", "Die Wärme bewegt sich in dem Stab und wird von den Enden nicht gehalten.", "wrong_language"), ("Welche Rolle spielt die Wärme und wie?", "Die Wärme ist in dem Stab und geht nicht weg.", None),
+    ("How does heat move?", "No answer could be found in the pages provided.", "refusal"), ("How does heat move?", "No answer was found in Orburg until 1780, which explains the heat.", None),
+    ("How does heat move?", "The source passage says nothing that would let me answer.", "refusal"), ("How does heat move?", "My apologies - answering questions on heat is not something I can do.", "refusal"),
+    ("How does heat move?", "The answer of the reader lets the source pass, and nothing is lost.", None), ("How does heat move?", "Can a rod not answer? It does, I think.", None),
+    ("How does heat move in a rod?", "You asked: How does heat move in a rod?", "copies_question"), ("How does heat move in a rod?", "In short: it moves how a rod does in heat.", None),
     ("How does heat move?", "It moves from the hot end to the cold end (as in", "truncated"), ("How does heat move?", "It moves from the hot end to…", "truncated"), ("How does heat move?", "54 percent", None), ("How does heat move?", "1) hot end 2) cold end", None),
 ])
 def test_pairs(question, answer, want):
@@ -209,8 +255,11 @@ def test_automaton():
 # 5
 
 
-def test_recall_at_the_threshold():
-    assert neardup.recall(neardup.SHARE, neardup.prefix()) >= neardup.TARGET > neardup.recall(neardup.SHARE, neardup.prefix() + 1)
+@pytest.mark.parametrize("depth", range(1, neardup.DEPTH + 1))
+def test_recall_at_the_threshold(depth):
+    found = lambda tries: 1 - (1 - neardup.SHARE**depth) ** tries
+    assert found(neardup.tries(depth)) >= neardup.TARGET > found(neardup.tries(depth) - 1)
+    assert neardup.trees(depth).shape == (neardup.tries(depth), depth)
 
 
 def test_near_duplicates_against_brute_force(spark):
@@ -255,6 +304,13 @@ def test_pieces(parts, limit, over):
     assert words == text.split()
 
 
+def test_characters():
+    out = chunking.cut("x" * 95 + " end. " + "Next word", 350, 2, 40)
+    assert all(len(t) <= 40 for t, _, _ in out)
+    assert "".join(t if not o else t.split(" ", o)[-1] if " " in t else "" for t, n, o in out if n > o).replace(" ", "").startswith("x" * 20)
+    assert chunking.cut("a b c", 350, 2, 40) == [("a b c", 3, 0)]
+
+
 def test_boundaries_and_nulls(spark):
     text = "\n\n".join(" ".join(f"w{i}" for i in range(30)) + "." for _ in range(3))
     assert [n for _, n, _ in chunking.cut(text, 40, 5)][0] == 30
@@ -292,6 +348,23 @@ def test_confusions_both_ways(spark):
     assert lines == {3: {("cirde", "circle"), ("northem", "northern"), ("bam", "barn")}, 4: {("dean", "clean")}, 5: {("dearly", "clearly"), ("r0of", "roof")}, 7: {("c0in", "coin")}}
 
 
+def test_repair_by_tokens(spark):
+    clean = "The tail of the market and the vessel with the corn is not long. " * 6
+    read = ["Cf cf of cfg, TAIl 0f THE Rnarket and", "the vesscl; cornrn is the fail'", "tail of the market of"]
+    o = spark.createDataFrame([("d", 1, i + 1, t) for i, t in enumerate(read)], "document_id string, page int, line_no int, text string")
+    pages = spark.createDataFrame([("p1", "c", clean, "txt"), ("p3", "d", " ".join(read), "ocr")], "id string, document_id string, text string, source string")
+    text = scans.repaired(o, pages, spark.createDataFrame([("d", "Notes")], "id string, title string")).first().text
+    assert text.startswith("Cf cf of cfg, ") and "Market and the vessel; cornrn is the tail' tail" in text
+
+
+def test_deep_furniture(spark):
+    lines = ["Harbor Notes", "Chapter 1", "12", "Harbor Notes", "The vessel is in the harbor of the long,", "Harbor Notes", "old market by the river,", "and the vessel.", "Page 7"]
+    o = spark.createDataFrame([("d", 1, i + 1, t) for i, t in enumerate(lines)] + [("d", 2, 1, None)], "document_id string, page int, line_no int, text string")
+    pages = spark.createDataFrame([("p3", "d", "x", "ocr")], "id string, document_id string, text string, source string")
+    got = {r.line_no for r in scans.found(o, pages, spark.createDataFrame([("d", "Harbor Notes")], "id string, title string")).collect() if r.defect == "furniture"}
+    assert got == {1, 3, 4, 9}
+
+
 def test_rare_words(spark):
     read = ["The rnetamerite and the geosporiire stand with", "the geosporure and the geosporure but not the", "protocline or the protocllne with the neurotene.", "The neurofene is with the neurofene and the neurofene."]
     o = spark.createDataFrame([("d", 1, i + 1, t) for i, t in enumerate(["x x. ", "x x. ", *read, "x x. ", "x x. "])], "document_id string, page int, line_no int, text string")
@@ -336,9 +409,34 @@ def test_leaks_against_brute_force(spark):
     assert leaks.found(d.limit(0), q).count() == 0 and leaks.found(d, q.limit(0)).count() == 0
 
 
+def test_near_leaks(spark):
+    r = random.Random(8)
+    nouns = [f"{a}{b}" for a in NOUNS for b in "abcdefghij"]
+    items = [(i, " ".join(r.choice(nouns) for _ in range(40))) for i in range(30)]
+    docs = []
+    for i in range(200):
+        src, at = items[i % 30][1].split(), r.randrange(10)
+        part = src[at : at + 28]
+        for k in r.sample(range(28), 3):
+            part[k] = r.choice(nouns)
+        docs.append((i, " ".join([r.choice(nouns) for _ in range(30)] + part + [r.choice(nouns) for _ in range(30)])))
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.item_id, x.doc_id) for x in leaks.report(d, q).collect()}
+    want = {(i % 30, i) for i in range(200)}
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 5
+
+
 # 9
 
 
+def test_tokens_in_parts(spark, monkeypatch):
+    texts = [" ".join(f"word{i} x,\n\n  y" for i in range(200)), "a" * 3000, " " * 700 + "b  c d", None, ""]
+    d = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    whole = {r.doc_id: r.tokens for r in mixing.sizes(d).collect()}
+    monkeypatch.setattr(mixing, "_PART", re.compile(mixing._PART.pattern.replace(str(mixing.PIECE - 1), "99")))
+    assert {r.doc_id: r.tokens for r in mixing.sizes(d).collect()} == whole and whole[3] == whole[4] == 0 and whole[0] > 1000
+
+
 def test_tree_sums():
     c = np.array([100, 3, 57, 0])
     t = mixing.tree(c, 8)
