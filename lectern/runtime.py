@@ -79,20 +79,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def ranked(df: DataFrame, keys: list[str], spread: Column, weight: Column, buckets: int = 512) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], spread: Column, weight: Column, rows: int = 0) -> DataFrame:
     """Adds `before`: the weight of all rows of the same keys that come earlier in the order of spread (a bigint hash).
 
-    Two levels, so that one key may hold any share of the rows: sums by key and bucket of the hash, a running sum over at most
-    `buckets` rows a key, then a running sum inside each bucket. Equal hashes are ordered by the columns of df.
+    Two levels, so that one key may hold any share of the rows: sums by key and bucket of the hash, a running sum over the
+    buckets of a key, then a running sum inside each bucket. Of `rows` rows, where given, a bucket holds about a hundred thousand at most.
+    Equal hashes are ordered by the columns of df.
     """
     from pyspark.sql import Window
 
+    buckets = max(512, rows // 100_000)
     rest = [c for c in df.columns if c not in keys]
-    rows = df.withColumns({"_h": spread, "_w": weight}).withColumn("_b", F.pmod(F.shiftright("_h", 20), F.lit(buckets)).cast("int"))
-    sums = rows.groupBy(*keys, "_b").agg(F.sum("_w").alias("_s"))
+    spread_rows = df.withColumns({"_h": spread, "_w": weight}).withColumn("_b", F.pmod(F.shiftright("_h", 20), F.lit(buckets)).cast("int"))
+    sums = spread_rows.groupBy(*keys, "_b").agg(F.sum("_w").alias("_s"))
     first = sums.withColumn("_p", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_s")).drop("_s")
     inside = Window.partitionBy(*keys, "_b").orderBy("_h", *rest).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("_r", F.sum("_w").over(inside) - F.col("_w"))
+    out = spread_rows.withColumn("_r", F.sum("_w").over(inside) - F.col("_w"))
     on = [out[k].eqNullSafe(first[k]) for k in keys] + [out["_b"] == first["_b"]]
     cond = on[0]
     for c in on[1:]:
