@@ -1,5 +1,7 @@
 import json
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lectern.operators import editor, layout, notes
@@ -33,17 +35,45 @@ def text(t, *marks):
 
 
 def test_editor(spark):
-    doc = {"type": "doc", "blocks": [{"type": "paragraph", "id": "x", "content": [text("a", "underline", "bold", "bold"), text("b", "bold", "underline"), text("c")]}, {"type": "ordered_list", "id": "x", "start": 3, "items": [[{"type": "paragraph", "content": [text("one")]}], [{"type": "paragraph", "content": [text("two", "underline")]}]]}]}
+    doc = {"schema_version": 1, "blocks": [{"type": "paragraph", "id": "x", "content": [text("a", "underline", "bold", "bold"), text("b", "bold", "underline"), text("c")]}, {"type": "ordered_list", "id": "x", "start": 3, "items": [{"blocks": [{"type": "paragraph", "content": [text("one")]}]}, {"blocks": [{"type": "paragraph", "content": [text("two", "underline")]}]}]}]}
     bad = [None, "{", '{"blocks": [{"type": "table"}]}', json.dumps({"blocks": [{"type": "paragraph", "color": 1}]}), json.dumps({"blocks": [{"type": "paragraph", "content": [text("a\nb")]}]})]
     df = spark.createDataFrame([(0, json.dumps(doc)), *enumerate(bad, 1)], "k int, c string")
     got = {r.k: r for r in editor.checked(df, "k", "c").collect()}
     assert all(got[i].problem and got[i].content is None for i in range(1, 6)) and got[0].problem is None
     first = json.loads(got[0].content)["blocks"]
-    assert first[0]["content"] == [{"type": "text", "text": "ab", "marks": ["bold", "underline"]}, {"type": "text", "text": "c"}] and first[1]["id"] != "x"
+    assert first[0]["content"] == [{"type": "text", "text": "ab", "marks": ["bold", "underline"]}, {"type": "text", "text": "c", "marks": []}] and first[1]["id"] != "x"
     again = editor.checked(spark.createDataFrame([(0, got[0].content)], "k int, c string"), "k", "c").first()
     assert again.content_hash == got[0].content_hash
     rows = [(r.marker, r.text, r.underlined) for r in editor.block_rows(df, "k", "c").orderBy("k", "ord").collect()]
-    assert rows == [(None, "abc", "ab"), ("3.", "one", ""), ("4.", "two", "two")]
+    assert rows == [(None, "abc", "a b"), ("3.", "one", ""), ("4.", "two", "two")]
+
+
+BLOCK = st.deferred(lambda: st.one_of(
+    st.builds(lambda c, a: {"type": "paragraph", "align": a, "content": c}, st.lists(INLINE, max_size=3), st.sampled_from(editor.ALIGNS)),
+    st.builds(lambda c, n: {"type": "heading", "level": n, "content": c}, st.lists(INLINE, max_size=2), st.integers(1, 3)),
+    st.builds(lambda b: {"type": "blockquote", "blocks": b}, st.lists(BLOCK, min_size=1, max_size=2)),
+    st.builds(lambda k, i: {"type": k, "items": [{"blocks": b} for b in i]}, st.sampled_from(["bullet_list", "ordered_list"]), st.lists(st.lists(BLOCK, min_size=1, max_size=2), min_size=1, max_size=2)),
+))
+INLINE = st.one_of(st.just({"type": "hard_break"}), st.builds(lambda t, m, z: {"type": "text", "text": t, "marks": m} | ({"font_size": z} if z else {}), st.text("ab \t", min_size=1, max_size=4), st.lists(st.sampled_from(editor.MARKS), max_size=2), st.sampled_from([None, *editor.SIZES])))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(BLOCK, min_size=1, max_size=4))
+def test_documents_come_back_from_the_editor(blocks):
+    try:
+        doc = editor.normal(editor.parsed(json.dumps({"blocks": blocks})))
+    except editor.Refused as why:
+        assert "too deep" in str(why)
+        return
+    assert editor.from_editor(editor.to_editor(doc)) == doc == editor.normal(editor.parsed(editor.canonical(doc)))
+    ids = [b["id"] for _, _, b in editor.walk(doc["blocks"])] + [i["id"] for _, _, b in editor.walk(doc["blocks"]) for i in b.get("items", [])]
+    assert len(ids) == len(set(ids))
+
+
+def test_unknown_editor_nodes():
+    tree = {"content": [{"type": "table", "content": [{"type": "row", "content": [{"type": "text", "text": "a\nb"}]}]}, {"type": "bulletList", "content": []}, {"type": "heading", "attrs": {"level": 9, "blockId": "h"}}]}
+    got = editor.from_editor(tree, "")["blocks"]
+    assert [b["type"] for b in got] == ["paragraph", "paragraph", "heading"] and [n.get("text") for n in got[0]["content"]] == ["a", None, "b"] and got[2]["level"] == 3 and got[2]["id"] == "h"
 
 
 def test_wrapping(spark):
