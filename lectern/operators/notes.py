@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators.segments import distinct_segments, order, tree
-from lectern.operators.study import definitions, key_sentences
+from lectern.operators import editor
+from lectern.operators.study import definitions, key_sentences, phrases
 
 # Headings that ask for nothing.
 SKIP_ASSIGNMENT = r"(?iu)question|exercise|reference|bibliograph|source|conclusion|summary|self-test"
@@ -89,6 +90,122 @@ def objectives(segments: DataFrame) -> DataFrame:
     return h.withColumn("n", r).where("n <= 5").select("spec_id", F.col("n").alias("ord"), F.concat(F.lit("Explain "), F.lower(unnumbered(F.col("heading")))).alias("text"))
 
 
+def titles(segments: DataFrame) -> DataFrame:
+    """(spec_id, title): the text of the first TITLE; empty without one."""
+    first = F.min(F.when(F.col("label") == "TITLE", F.struct("order_index", "segment_id", "text")))
+    return distinct_segments(segments).groupBy("spec_id").agg(first.alias("x")).select("spec_id", F.coalesce("x.text", F.lit("")).alias("title"))
+
+
+def assignment(segments: DataFrame) -> DataFrame:
+    """(spec_id, part, ord, text): introduction (two key sentences of the first paragraph), objectives, examples, conclusion, references; what is
+    missing is made from the title. The main sections are notes(segments, "smart") but for headings that ask for nothing."""
+    t, own = tree(segments), titles(segments)
+    flow = Window.partitionBy("spec_id").orderBy("order_index", "segment_id")
+    back = Window.partitionBy("spec_id").orderBy(F.desc("order_index"), F.desc("segment_id"))
+    par = t.where("label = 'PARAGRAPH'").withColumn("a", F.row_number().over(flow)).withColumn("b", F.row_number().over(back)).where("a = 1 or b = 1").select("segment_id", "a", "b")
+    best = key_sentences(t, 2).join(par, "segment_id").join(t.select("segment_id", "spec_id"), "segment_id")
+    said = lambda rows, part: rows.groupBy("spec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("s")).withColumn("part", F.lit(part))
+    last = key_sentences(t, 1).join(par, "segment_id").join(t.select("segment_id", "spec_id"), "segment_id").where("b = 1")
+    one = lambda part, text: own.join(text, "spec_id", "left").select("spec_id", F.lit(part).alias("part"), F.lit(1).cast("long").alias("ord"), "title", "s")
+    intro = one("introduction", said(best.where("a = 1"), "x")).select("spec_id", "part", "ord", F.coalesce("s", F.concat(F.lit("This assignment discusses "), F.col("title"), F.lit("."))).alias("text"))
+    asked = objectives(segments).select("spec_id", F.lit("objective").alias("part"), F.col("ord").cast("long").alias("ord"), "text")
+    none = own.join(asked.select("spec_id").distinct(), "spec_id", "left_anti").select("spec_id", F.lit("objective"), F.lit(1).cast("long"), F.concat(F.lit("Understand "), F.col("title")))
+    ends = t.where("label = 'CONCLUSION'").groupBy("spec_id").agg(F.min(F.struct("order_index", "segment_id", "text")).alias("x")).select("spec_id", F.col("x.text").alias("c"))
+    conclusion = one("conclusion", said(last, "x")).join(ends, "spec_id", "left").select("spec_id", "part", "ord", F.coalesce("c", "s", F.lit("")).alias("text"))
+    rest = t.where("label in ('EXAMPLE', 'REFERENCE')").withColumn("ord", F.row_number().over(Window.partitionBy("spec_id", "label").orderBy("order_index", "segment_id")).cast("long"))
+    rest = rest.select("spec_id", F.lower("label").alias("part"), "ord", F.when(F.col("label") == "EXAMPLE", T.strip_cue(F.col("text"))).otherwise(F.col("text")).alias("text"))
+    return intro.union(asked).union(none).union(conclusion).union(rest)
+
+
+_ROW = ("spec_id", "seq", "at", "kind", "level", "align", "lines")
+
+
+def _row(rows: DataFrame, seq: Column, at: Column, kind: Column, lines: Column, level: Column | None = None, align: Column | None = None) -> DataFrame:
+    nothing = F.lit(None)
+    return rows.select("spec_id", seq.cast("long").alias("seq"), at.cast("long").alias("at"), kind.alias("kind"), (nothing if level is None else level).cast("int").alias("level"),
+                       (nothing if align is None else align).cast("string").alias("align"), lines.alias("lines"))
+
+
+def _sections(segments: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
+    """(headings, blocks) of notes as rows of editor.compose, with the heading's text: sections without blocks and parts are left out."""
+    n = notes(segments, mode)
+    seq, text, term = F.col("section_seq"), T.clean_markup(F.col("text")), T.clean_markup(F.col("term"))
+    each = F.transform(F.split("text", "\n"), T.clean_markup)
+    kind = F.when(F.col("type") == "bullets", "bullet_list").when(F.col("type") == "numbered", "ordered_list").otherwise("paragraph")
+    cue = lambda name, pattern: F.when(text.rlike(pattern), text).otherwise(F.concat(F.lit(f"{name}: "), text))
+    one = F.when((F.col("type") == "definition") & (term != ""), F.concat(term, F.lit(": "), text)).when(F.col("type") == "example", cue("Example", r"(?i)^(example|e\.g\.)")).when(
+        F.col("type") == "key_point", cue("Key point", "(?i)^(important|note|key point|remember)"))
+    blocks = _row(n, seq, F.col("block"), kind, F.when(one.isNotNull(), F.array(one)).otherwise(each), None, F.when(F.col("type") == "formula", "center"))
+    h = headings(segments)
+    nxt = F.lead("level").over(Window.partitionBy("spec_id").orderBy("ord"))
+    h = h.withColumn("parent", (F.col("level") == 1) & (F.coalesce(nxt, F.lit(0)) == 2)).withColumnRenamed("ord", "section_seq")
+    full = n.select("spec_id", "section_seq").distinct().withColumn("full", F.lit(True))
+    h = h.join(full, ["spec_id", "section_seq"], "full").where("coalesce(full, false) or coalesce(parent, false)")
+    name = F.when(seq == 0, "Introduction").when(F.trim(F.coalesce("heading", F.lit(""))) == "", "Notes").otherwise(F.col("heading"))
+    heads = _row(h, seq, F.lit(0), F.lit("heading"), F.array(T.clean_markup(name)), F.least(F.coalesce("level", F.lit(1)) + 1, F.lit(3)))
+    return heads, blocks
+
+
+def _titled(segments: DataFrame, other: str, suffix: str = "") -> tuple[DataFrame, DataFrame]:
+    own = titles(segments).select("spec_id", F.coalesce(F.nullif(T.clean_markup(F.concat("title", F.lit(suffix))), F.lit("")), F.lit(other)).alias("title"))
+    return own, _row(own, F.lit(-1), F.lit(0), F.lit("heading"), F.array("title"), F.lit(1))
+
+
+def documents(segments: DataFrame, mode: str = "smart") -> DataFrame:
+    """(spec_id, content): editable documents: notes (clean, smart, simple), assignment, exam, or preserve, which keeps all text and its order."""
+    flow = Window.partitionBy("spec_id").orderBy("order_index", "segment_id")
+    part = lambda seq, name: (lambda rows: _row(rows.select("spec_id").distinct(), F.lit(seq), F.lit(0), F.lit("heading"), F.array(F.lit(name)), F.lit(2)))
+    listed = lambda rows, seq, kind: _row(rows.groupBy("spec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: T.clean_markup(x["text"])).alias("l")), F.lit(seq), F.lit(1), F.lit(kind), F.col("l"))
+    each = lambda rows, seq, lines, align=None: _row(rows, F.lit(seq), F.col("ord"), F.lit("paragraph"), lines, None, align)
+    clean = F.array(T.clean_markup(F.col("text")))
+    if mode in MODES:
+        own, rows = _titled(segments, "Notes")
+        for r in _sections(segments, mode):
+            rows = rows.unionByName(r)
+    elif mode == "assignment":
+        own, rows = _titled(segments, "Assignment")
+        a = assignment(segments).where(T.clean_markup(F.col("text")) != "")
+        of = lambda name: a.where(F.col("part") == name)
+        rows = rows.unionByName(part(0, "Introduction")(own)).unionByName(each(of("introduction"), 0, clean)).unionByName(part(1, "Objectives")(of("objective"))).unionByName(listed(of("objective"), 1, "ordered_list"))
+        heads, blocks = _sections(segments, "smart")
+        heads = heads.where(~F.col("lines")[0].rlike(SKIP_ASSIGNMENT))
+        kept = blocks.join(heads.select("spec_id", "seq"), ["spec_id", "seq"], "left_semi")
+        for r in (heads, kept):
+            rows = rows.unionByName(r.withColumn("seq", F.col("seq") + 10))
+        for k, (name, title) in enumerate((("example", "Examples"), ("conclusion", "Conclusion"), ("reference", "References"))):
+            rows = rows.unionByName(part((1 << 40) + k, title)(of(name))).unionByName(each(of(name), (1 << 40) + k, clean))
+    elif mode == "exam":
+        own, rows = _titled(segments, "Exam Revision", " — Exam Revision")
+        e = exam(segments)
+        of = lambda name: e.where(F.col("part") == name)
+        formula = tree(segments).where("label = 'FORMULA'").select("spec_id", F.row_number().over(flow).alias("ord"), "text", F.concat(F.lit("Formula from page "), F.col("page").cast("string"), F.lit(".")).alias("meaning"))
+        named = F.array(F.concat(T.clean_markup(F.col("name")), F.lit(": "), T.clean_markup(F.col("text"))))
+        rows = rows.unionByName(part(0, "Key Definitions")(of("definition"))).unionByName(each(of("definition"), 0, named)).unionByName(part(1, "Formulas")(formula))
+        rows = rows.unionByName(each(formula.withColumn("ord", F.col("ord") * 2), 1, clean, F.lit("center"))).unionByName(each(formula.withColumn("ord", F.col("ord") * 2 + 1), 1, F.array("meaning")))
+        concepts = phrases(segments).select("spec_id", F.col("rank").alias("ord"), F.lower("phrase").alias("text"))
+        rows = rows.unionByName(part(2, "Key Concepts")(concepts)).unionByName(listed(concepts, 2, "bullet_list")).unionByName(part(3, "Important Questions")(of("question"))).unionByName(listed(of("question"), 3, "ordered_list"))
+    else:
+        own, rows = titles(segments), _row(titles(segments), F.lit(-1), F.lit(0), F.lit("heading"), F.array("title"), F.lit(1))
+        bullet = r"^\s*[•●▪◦\-–*]\s+"
+        t = tree(segments).withColumn("b", F.col("text").rlike(bullet))
+        inside = Window.partitionBy("spec_id", "section_seq").orderBy("order_index", "segment_id")
+        t = t.withColumn("n", F.sum(F.when(F.col("b") & F.coalesce(F.lag("b").over(inside), F.lit(False)), 0).otherwise(1)).over(inside))
+        g = t.groupBy("spec_id", "section_seq", "n", "b").agg(F.array_sort(F.collect_list(F.struct("order_index", "segment_id", "text", "label"))).alias("l"))
+        lines = F.transform("l", lambda x: F.regexp_replace(x["text"], bullet, ""))
+        rows = rows.unionByName(_row(g, F.col("section_seq"), F.col("n"), F.when(F.col("b"), "bullet_list").otherwise("paragraph"), F.when(F.col("b"), lines).otherwise(F.transform("l", lambda x: x["text"])), None, F.when(F.col("l")[0]["label"] == "FORMULA", "center")))
+        h = headings(segments)
+        rows = rows.unionByName(_row(h, F.col("ord"), F.lit(0), F.lit("heading"), F.array("heading"), F.col("level") + 1))
+    flat = F.transform("lines", lambda x: F.regexp_replace(x, r"[\r\n]+", " "))
+    return editor.compose(rows.withColumn("lines", flat), "spec_id", ["seq", "at"], own)
+
+
+def joined_parts(parts: DataFrame) -> DataFrame:
+    """(spec_id, section_seq, ...) of notes made part by part, parts(spec_id, part, section_seq, block, ...): sections numbered on through the parts."""
+    size = parts.groupBy("spec_id", "part").agg((F.max("section_seq") + 1).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("spec_id").orderBy("part")) - F.col("_n")
+    return parts.join(size.withColumn("_before", before), ["spec_id", "part"]).withColumn("section_seq", F.col("section_seq") + F.col("_before")).drop("_n", "_before", "part")
+
+
 def outline(segments: DataFrame, limit: int = 400_000) -> DataFrame:
     """(spec_id, text): headings and items with label and page, a line each, cut at `limit` characters."""
     h = distinct_segments(segments)

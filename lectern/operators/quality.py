@@ -49,3 +49,35 @@ def lonely_lines(segments: DataFrame, headings: tuple[str, ...] = ("HEADING", "S
 def page_metrics(boxes: DataFrame) -> DataFrame:
     """(document_id, page, lines, fill_ratio, min_height): lines, share of the page's height between first and last line, smallest line."""
     return boxes.groupBy("document_id", "page").agg(F.count("*").alias("lines"), F.round((F.max("y1") - F.min("y0")) / F.max("page_height"), 6).alias("fill_ratio"), F.min("height").alias("min_height"))
+
+
+def underline_faults(glyphs: DataFrame, strokes: DataFrame, slack: float = 0.01) -> DataFrame:
+    """(page, line_id, x1): strokes drawn under a glyph that isn't marked as underlined: joined by line, then by range. glyphs(page, line_id, x,
+    advance, underline, marker), strokes(page, line_id, x1, x2)."""
+    g = glyphs.where("not marker and not underline").select("page", "line_id", "x", "advance")
+    inside = (F.col("x") >= F.col("x1") - slack) & (F.col("x") + F.col("advance") <= F.col("x2") + slack)
+    return strokes.join(g, ["page", "line_id"]).where(inside).select("page", "line_id", "x1").distinct()
+
+
+def layout_issues(lines: DataFrame, tokens: DataFrame, least: float = 9.0) -> DataFrame:
+    """(document_id, code, page): faults of laid-out documents: EMPTY_PAGE (no line with text), ORPHAN_HEADING (the last line of a page that another
+    follows is a heading), WIDOW_LINE (the first line of a page ends a block of more lines and nothing of it follows), TEXT_TOO_SMALL, CONTENT_CHANGED
+    (other words than the document's).
+
+    lines(document_id, page, line, kind: heading, text or empty, text, size, block, last: whether it ends its block), tokens(document_id, expected).
+    """
+    own, page = Window.partitionBy("document_id"), Window.partitionBy("document_id", "page")
+    flow = page.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = lines.where("kind <> 'empty'").withColumn("end", F.last("line").over(flow)).withColumn("begin", F.first("line").over(flow)).withColumn("pages", F.max("page").over(own))
+    s = s.withColumn("before", F.lag("block").over(own.orderBy("page", "line")))
+    issue = lambda rows, code: rows.select("document_id", F.lit(code).alias("code"), "page").distinct()
+    empty = lines.groupBy("document_id", "page").agg(F.count_if(F.col("kind") != "empty").alias("n")).where("n = 0")
+    said = lines.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), lambda x: x["text"]).alias("l"))
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    changed = tokens.join(said, "document_id", "left").where(~split(F.array_join(F.coalesce("l", F.array().cast("array<string>")), " ")).eqNullSafe(split(F.coalesce("expected", F.lit("")))))
+    out = [issue(empty, "EMPTY_PAGE"), issue(s.where("kind = 'heading' and line = end and page < pages"), "ORPHAN_HEADING"), issue(s.where("line = begin and last and before = block and page > 1"), "WIDOW_LINE"),
+           issue(s.where(F.col("size") < least), "TEXT_TOO_SMALL"), changed.select("document_id", F.lit("CONTENT_CHANGED").alias("code"), F.lit(None).cast(dict(lines.dtypes)["page"]).alias("page"))]
+    every = out[0]
+    for rows in out[1:]:
+        every = every.unionByName(rows)
+    return every

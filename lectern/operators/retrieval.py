@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.runtime import small
 
 #: BM25 constants; candidates a ranking gives to the fusion; fusion constant; results; least cosine that counts as evidence alone.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -13,12 +14,19 @@ CANDIDATES, RRF, TOP, LEAST_DENSE = 20, 60, 5, 0.15
 LEAST_OVERLAP = 0.34
 
 
+def asked_chunks(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """Chunks of the documents that questions name; nothing is exploded of others."""
+    ids = questions.select("document_id").where("document_id is not null").distinct()
+    return chunks.join(small(ids, 80), "document_id", "left_semi")
+
+
 def bm25(chunks: DataFrame, questions: DataFrame, top: int = CANDIDATES) -> DataFrame:
     """(question_id, chunk_id, bm25, rank): chunks of the question's own document by BM25, scores above 0, best first, ties by chunk id.
 
     chunks(document_id, chunk_id, text); questions(question_id, document_id, question). The corpus of a question is its document;
     a negative idf becomes EPSILON times the document's mean idf. A term that a question repeats counts each time.
     """
+    chunks = asked_chunks(chunks, questions)
     terms = chunks.select("document_id", "chunk_id", T.search_terms(F.col("text")).alias("w"))
     size = terms.groupBy("document_id").agg(F.count("*").alias("chunks"), F.avg(F.size("w").cast("double")).alias("avg_len"))
     tf = terms.select("document_id", "chunk_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("document_id", "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
@@ -66,6 +74,7 @@ def _grams(g: int) -> Column:
 
 def dense(chunks: DataFrame, questions: DataFrame, top: int = CANDIDATES) -> DataFrame:
     """(question_id, chunk_id, dense, rank): chunks of the question's document by cosine of hashed vectors."""
+    chunks = asked_chunks(chunks, questions)
     q = embed(questions, "question_id", "question").join(questions.select("question_id", "document_id"), "question_id").withColumnRenamed("value", "a")
     c = embed(chunks, "chunk_id", "text").join(chunks.select("chunk_id", "document_id"), "chunk_id").withColumnRenamed("value", "b")
     score = q.join(c, ["document_id", "place"]).groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("dense"))
@@ -142,3 +151,36 @@ def answers(questions: DataFrame, retrieved: DataFrame) -> DataFrame:
     out = questions.select("question_id").join(said, "question_id", "left")
     level = F.when(F.col("top") >= 0.6, "high").when(F.col("top") >= 0.45, "medium").otherwise("low")
     return out.select("question_id", F.array_join(F.transform("l", lambda x: x["unit"]), " ").alias("answer"), F.array_join(F.array_distinct(F.transform("l", lambda x: x["chunk_id"])), ",").alias("citations"), level.alias("confidence"))
+
+
+def aliases(retrieved: DataFrame) -> DataFrame:
+    """retrieved(question_id, chunk_id, rank) with `alias`: c1, c2, ... by rank."""
+    n = F.row_number().over(Window.partitionBy("question_id").orderBy("rank", "chunk_id"))
+    return retrieved.withColumn("alias", F.concat(F.lit("c"), n.cast("string")))
+
+
+def cited(answers_: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """(question_id, answer, chunk_ids, grounded): of answers(question_id, answer, citations array of aliases) the citations that name a retrieved
+    chunk, as chunk ids in order; an answer without any is NULL."""
+    known = aliases(retrieved).groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("alias", F.col("chunk_id").cast("string")))).alias("m"))
+    ids = F.filter(F.transform("citations", lambda c: F.try_element_at("m", c)), lambda x: x.isNotNull())
+    rows = answers_.join(known, "question_id", "left").withColumn("ids", F.coalesce(ids, F.array().cast("array<string>")))
+    good = F.col("answer").isNotNull() & (F.col("answer") != "") & (F.size("ids") > 0)
+    return rows.select("question_id", F.when(good, F.col("answer")).alias("answer"), F.array_join(F.when(good, F.col("ids")).otherwise(F.array().cast("array<string>")), ",").alias("chunk_ids"), good.alias("grounded"))
+
+
+def retrieval_metrics(asked: DataFrame, retrieved: DataFrame, answered: DataFrame) -> DataFrame:
+    """One row: n_questions, n_answerable, recall_at_1, recall_at_5, mrr, evidence_rate, refusal_rate, false_refusals.
+
+    asked(question_id, evidence): NULL evidence means that the question can't be answered. The rank of a question is that of the first retrieved chunk
+    (question_id, rank, text) that holds the evidence, case ignored. evidence_rate: answerable questions whose answer holds it;
+    refusal_rate: unanswerable ones without an answer; false_refusals: answerable ones without.
+    """
+    has = lambda text: F.contains(F.lower(text), F.lower("evidence"))
+    hit = retrieved.join(asked.where("evidence is not null"), "question_id").where(has(F.col("text"))).groupBy("question_id").agg(F.min("rank").alias("rank"))
+    rows = asked.join(hit, "question_id", "left").join(answered.select("question_id", "answer"), "question_id", "left")
+    can, refused = F.col("evidence").isNotNull(), F.col("answer").isNull()
+    share = lambda x, of: F.round(F.avg(F.when(of, F.coalesce(x.cast("double"), F.lit(0.0)))), 4)
+    return rows.agg(
+        F.count("*").alias("n_questions"), F.count_if(can).alias("n_answerable"), share(F.col("rank") == 1, can).alias("recall_at_1"), share((F.col("rank") <= TOP), can).alias("recall_at_5"),
+        share(1.0 / F.col("rank"), can).alias("mrr"), share(has(F.col("answer")), can).alias("evidence_rate"), share(refused, ~can).alias("refusal_rate"), F.count_if(can & refused).alias("false_refusals"))

@@ -100,21 +100,25 @@ def rule_labels(segments: DataFrame) -> DataFrame:
     return features(segments).select("segment_id", "spec_id", rule.alias("rule"))
 
 
+def marked(segments: DataFrame) -> DataFrame:
+    """Segments in reading order with _title, _top, _sub (what opens the document, a section, a part), _h1 and section_seq (how many sections, and
+    sections and parts, have begun). The first TITLE names the document, later ones and HEADING open a section, SUBHEADING one below it."""
+    flow = order()
+    s = distinct_segments(segments).withColumn("label", F.coalesce("label", F.lit("PARAGRAPH")))
+    first = F.sum((F.col("label") == "TITLE").cast("int")).over(flow)
+    s = s.withColumn("_title", (F.col("label") == "TITLE") & (first == 1))
+    s = s.withColumn("_top", ~F.col("_title") & F.col("label").isin("TITLE", "HEADING")).withColumn("_sub", F.col("label") == "SUBHEADING")
+    return s.withColumn("_h1", F.sum(F.col("_top").cast("int")).over(flow)).withColumn("section_seq", F.sum((F.col("_top") | F.col("_sub")).cast("int")).over(flow))
+
+
 def tree(segments: DataFrame) -> DataFrame:
     """(segment_id, spec_id, order_index, page, label, text, title, h1, h2, section_seq, section_path): the items of the section tree.
 
-    Walking the tree equals reading order, so running counts of headings replace it: the first TITLE names the document, later ones
-    and HEADING open a section, SUBHEADING one below it. NULL labels are PARAGRAPH.
+    Walking the tree equals reading order, so running counts of headings replace it. NULL labels are PARAGRAPH.
     """
     flow = order()
-    s = distinct_segments(segments).withColumn("label", F.coalesce("label", F.lit("PARAGRAPH")))
-    first = F.sum((F.col("label") == "TITLE").cast("int")).over(flow)
-    s = s.withColumn("_title", (F.col("label") == "TITLE") & (first == 1))
-    top = ~F.col("_title") & F.col("label").isin("TITLE", "HEADING")
-    s = s.withColumn("_top", top).withColumn("_sub", F.col("label") == "SUBHEADING")
-    s = s.withColumn("_h1", F.sum(F.col("_top").cast("int")).over(flow)).withColumn("section_seq", F.sum((F.col("_top") | F.col("_sub")).cast("int")).over(flow))
     under = Window.partitionBy("spec_id", "_h1").orderBy("order_index", "segment_id")
-    s = s.withColumns({
+    s = marked(segments).withColumns({
         "title": F.first(F.when(F.col("_title"), F.col("text")), ignorenulls=True).over(Window.partitionBy("spec_id").orderBy("order_index", "segment_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         "h1": F.last(F.when(F.col("_top"), F.col("text")), ignorenulls=True).over(flow), "h2": F.last(F.when(F.col("_sub"), F.col("text")), ignorenulls=True).over(under),
     })
@@ -123,9 +127,15 @@ def tree(segments: DataFrame) -> DataFrame:
 
 
 def section_pages(segments: DataFrame) -> DataFrame:
-    """(spec_id, h1, section, pages, items): sorted distinct pages of the items of each top section, those of its parts included."""
-    return tree(segments).groupBy("spec_id", F.coalesce("h1", F.lit("")).alias("h1")).agg(
-        F.array_join(F.array_sort(F.collect_set(F.col("page"))), ",").alias("pages"), F.count("*").alias("items"))
+    """(spec_id, level, section_seq, heading, pages, items): sorted distinct pages of each section: of its heading, its items and, for level 1, its
+    parts. Items ahead of the first section have none."""
+    s = marked(segments)
+    item = (~F.col("_title") & ~F.col("_top") & ~F.col("_sub")).cast("int")
+    held = [F.array_join(F.array_sort(F.collect_set("page")), ",").alias("pages"), F.sum(item).alias("items")]
+    head = lambda mark: F.max(F.when(F.col(mark), F.col("text"))).alias("heading")
+    top = s.where("_h1 > 0").groupBy("spec_id", "_h1").agg(F.min("section_seq").alias("section_seq"), head("_top"), *held).select("spec_id", F.lit(1).alias("level"), "section_seq", "heading", "pages", "items")
+    sub = s.groupBy("spec_id", "section_seq").agg(head("_sub"), *held, F.max("_sub").alias("own")).where("own")
+    return top.unionByName(sub.select("spec_id", F.lit(2).alias("level"), "section_seq", "heading", "pages", "items"))
 
 
 def units(segments: DataFrame) -> DataFrame:
@@ -148,11 +158,8 @@ def chunks(segments: DataFrame, target: int = TARGET, overlap: int = OVERLAP) ->
     runs = units(segments).withColumn("_m", moved).withColumn("run", F.sum("_m").over(flow))
     each = runs.groupBy("spec_id", "run", "section_path", "prefix").agg(F.array_sort(F.collect_list(F.struct("order_index", "segment_id", "pos", F.struct("unit", "page", "n").alias("u")))).alias("l"))
     each = each.withColumn("l", F.transform("l", lambda x: x["u"]))
-    unit = "struct<unit:string,page:bigint,n:int>"
-    types = dict(runs.dtypes)
-    unit = f"struct<unit:string,page:{types['page']},n:int>"
-    start = F.struct(F.array().cast(f"array<array<{unit}>>").alias("done"), F.array().cast(f"array<{unit}>").alias("cur"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, u: s + u["n"])
+    unit = f"struct<unit:string,page:{dict(runs.dtypes)['page']},n:int>"
+    start = F.struct(F.array().cast(f"array<array<{unit}>>").alias("done"), F.array().cast(f"array<{unit}>").alias("cur"), F.lit(0).alias("total"))
 
     def carry(cur: Column) -> Column:
         kept = F.aggregate(F.reverse(cur), F.struct(F.array().cast(f"array<{unit}>").alias("a"), F.lit(0).alias("t"), F.lit(True).alias("on")), lambda s, u: F.when(
@@ -160,9 +167,11 @@ def chunks(segments: DataFrame, target: int = TARGET, overlap: int = OVERLAP) ->
         return kept["a"]
 
     def step(s: Column, u: Column) -> Column:
-        full = (F.size(s["cur"]) > 0) & (total(s["cur"]) + u["n"] > target)
-        return F.when(full, F.struct(F.concat(s["done"], F.array(s["cur"])).alias("done"), F.concat(carry(s["cur"]), F.array(u)).alias("cur"))).otherwise(
-            F.struct(s["done"].alias("done"), F.concat(s["cur"], F.array(u)).alias("cur")))
+        full = (F.size(s["cur"]) > 0) & (s["total"] + u["n"] > target)
+        rest = carry(s["cur"])
+        left = F.aggregate(rest, F.lit(0), lambda n, x: n + x["n"])  # of `overlap` tokens at most
+        return F.when(full, F.struct(F.concat(s["done"], F.array(s["cur"])).alias("done"), F.concat(rest, F.array(u)).alias("cur"), (left + u["n"]).alias("total"))).otherwise(
+            F.struct(s["done"].alias("done"), F.concat(s["cur"], F.array(u)).alias("cur"), (s["total"] + u["n"]).alias("total")))
 
     packed = F.aggregate("l", start, step, lambda s: F.concat(s["done"], F.array(s["cur"])))
     out = each.select("spec_id", "run", "section_path", "prefix", F.posexplode(packed).alias("part", "u"))
@@ -179,6 +188,22 @@ def question_answers(segments: DataFrame) -> DataFrame:
     return t.where("label = 'QUESTION' and next = 'ANSWER'").select("spec_id", F.col("segment_id").alias("question_id"), "answer_id", T.strip_cue(F.col("text")).alias("question"), T.strip_cue(F.col("answer")).alias("answer"))
 
 
+def classification_summary(pairs: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """(metric, value): n, accuracy, macro and weighted precision, recall and f1 of (label, predicted) rows over a fixed list of labels."""
+    r = classification_report(pairs, labels)
+    n = F.sum("support")
+    held = {"n": n.cast("double"), "accuracy": F.sum("hits") / n}
+    for m in ("precision", "recall", "f1"):
+        held |= {f"macro_{m}": F.avg(m), f"weighted_{m}": F.sum(F.col(m) * F.col("support")) / n}
+    one = r.agg(*[F.round(F.coalesce(v, F.lit(0.0)), 4).alias(k) for k, v in held.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in held])))
+
+
+def best_model(scores: DataFrame) -> DataFrame:
+    """(model, score) with the best score of scores(ord, model, score); the first on ties."""
+    return scores.agg(F.max_by(F.struct("model", "score"), F.struct("score", -F.col("ord"))).alias("x")).select("x.*")
+
+
 def classification_report(pairs: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """(label, support, predicted, hits, precision, recall, f1) of (label, predicted) rows, over a fixed list of labels; 0 where undefined."""
     rows = [(x,) for x in labels or LABELS]

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -13,11 +18,19 @@ WORDS_A_MINUTE = 200
 
 
 def once(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Each record once: rows that repeat a key are the same record. The text is left out of the shuffle by taking its greatest value."""
+    """Each record once: rows that repeat a key are the same record. Their greatest values count."""
     rest = [c for c in documents.columns if c != key]
     return documents.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("x")).select(key, "x.*")
 
 
+def syllables(words: Column) -> Column:
+    """Syllables of all words of a text (lower case, a blank between two) by counts over the whole text, not word by word: vowel groups, one for
+    each word without any, less each silent final e behind another group."""
+    text = F.regexp_replace(words, r"'+(?= |$)", "")
+    n = lambda p: F.regexp_count(text, F.lit(p))
+    return n("[aeiouy]+") + n(r"(?<![^ ])[^aeiouy ]+(?![^ ])") - n(r"(?<![^ ])[^ ]*[aeiouy][^aeiouy ]+[^ ]*(?<![ley])e(?![^ ])")
+
+
 def document_stats(documents: DataFrame) -> DataFrame:
     """(doc_id, characters, words, sentences, avg_sentence_length, reading_time_min, language, flesch_reading_ease, flesch_kincaid_grade).
 
@@ -28,18 +41,18 @@ def document_stats(documents: DataFrame) -> DataFrame:
     base = documents.where("doc_id is not null").select("doc_id", F.length(text).alias("characters"), T.tokens(F.col("text")).alias("w"), F.size(T.sentences(F.col("text"))).alias("sentences"),
                                                         F.transform(T.tokens(F.left(text, F.lit(LANGUAGE_CHARS))), F.lower).alias("head"))
     lexical = F.filter("w", lambda w: ~w.rlike(r"^\d"))
-    got = base.select("doc_id", "characters", "sentences", F.size("w").alias("words"), F.size(lexical).alias("lexical"), F.aggregate(lexical, F.lit(0), lambda s, w: s + T.syllables(F.lower(w))).alias("syllables"),
+    got = base.select("doc_id", "characters", "sentences", F.size("w").alias("words"), F.size(lexical).alias("lexical"), syllables(F.lower(F.array_join(lexical, " "))).alias("syllables"),
                       F.size("head").alias("head"), F.size(F.filter("head", T.is_stop)).alias("stops"))
     wps, spw = F.col("lexical") / F.col("sentences"), F.col("syllables") / F.col("lexical")
     scored = (F.col("words") > 30) & (F.col("sentences") > 0) & (F.col("lexical") > 0)
     english = (F.col("head") >= LANGUAGE_WORDS) & (F.col("stops") > LANGUAGE_SHARE * F.col("head"))
     return got.select(
         "doc_id", "characters", "words", "sentences",
-        F.round(F.when(F.col("sentences") > 0, F.col("words") / F.col("sentences")).otherwise(0.0), 6).alias("avg_sentence_length"),
-        F.round(F.col("words") / WORDS_A_MINUTE, 6).alias("reading_time_min"),
+        F.round(F.when(F.col("sentences") > 0, F.col("words") / F.col("sentences")).otherwise(0.0), 1).alias("avg_sentence_length"),
+        F.round(F.col("words") / WORDS_A_MINUTE, 1).alias("reading_time_min"),
         F.when(english, "en").otherwise("unknown").alias("language"),
-        F.round(F.when(scored, 206.835 - 1.015 * wps - 84.6 * spw), 6).alias("flesch_reading_ease"),
-        F.round(F.when(scored, 0.39 * wps + 11.8 * spw - 15.59), 6).alias("flesch_kincaid_grade"),
+        F.round(F.when(scored, 206.835 - 1.015 * wps - 84.6 * spw), 1).alias("flesch_reading_ease"),
+        F.round(F.when(scored, 0.39 * wps + 11.8 * spw - 15.59), 1).alias("flesch_kincaid_grade"),
     ).distinct()
 
 
@@ -65,6 +78,23 @@ def injections(documents: DataFrame) -> DataFrame:
     return once(documents.select("doc_id", "text")).select("doc_id", F.inline(hits)).where("n > 0")
 
 
+def injection_spans(documents: DataFrame, around: int = 40, most: int = 10) -> DataFrame:
+    """(doc_id, n, span): the first `most` matches, pattern by pattern, with `around` characters on either side and blanks for line feeds. Only texts
+    that match at all go through Python."""
+    any_ = reduce(lambda a, b: a | b, [F.col("text").rlike("(?iu)" + p) for p in T.INJECTIONS])
+    kind = dict(documents.dtypes)["doc_id"]
+
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for d, t in zip(pdf.doc_id, pdf.text):
+                found = [t[max(0, m.start() - around) : m.end() + around].replace("\n", " ") for p in T.INJECTIONS for m in re.finditer(p, t, re.I)]
+                rows += [(d, i, x) for i, x in enumerate(found[:most])]
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "span"])
+
+    return once(documents.select("doc_id", "text").where(any_)).mapInPandas(spans, f"doc_id {kind}, n int, span string")
+
+
 def label_counts(rows: DataFrame, label: str) -> DataFrame:
     return rows.groupBy(label).agg(F.count("*").alias("n"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators.segments import question_answers, tree
+from lectern.runtime import folded
 
 
 def document_frequency(items: DataFrame) -> DataFrame:
@@ -14,8 +15,8 @@ def document_frequency(items: DataFrame) -> DataFrame:
     return items.select("spec_id", F.explode(F.array_distinct(T.content_words(F.col("text")))).alias("word")).groupBy("spec_id", "word").agg(F.count("*").alias("df"))
 
 
-def key_sentences(items: DataFrame) -> DataFrame:
-    """(segment_id, pos, sentence): of paragraphs the best sentence, two of more than 40 words, in their order.
+def key_sentences(items: DataFrame, most: int | None = None) -> DataFrame:
+    """(segment_id, pos, sentence): of paragraphs the best sentence, two of more than 40 words (or the best `most`), in their order.
 
     A sentence scores the sum of ln(1 + df) of its distinct content words over the root of its number of content words.
     """
@@ -25,7 +26,7 @@ def key_sentences(items: DataFrame) -> DataFrame:
     score = words.join(document_frequency(items), ["spec_id", "word"]).groupBy("segment_id", "pos", "k").agg(F.sum(F.log1p("df")).alias("s"))
     scored = rows.join(score.select("segment_id", "pos", F.round(F.col("s") / F.sqrt("k"), 6).alias("score")), ["segment_id", "pos"], "left")
     own = Window.partitionBy("segment_id").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "pos")
-    best = scored.withColumn("r", F.row_number().over(own)).where(F.col("r") <= F.when(F.col("n") > 40, 2).otherwise(1))
+    best = scored.withColumn("r", F.row_number().over(own)).where(F.col("r") <= (F.lit(most) if most else F.when(F.col("n") > 40, 2).otherwise(1)))
     return best.select("segment_id", "pos", "sentence")
 
 
@@ -41,26 +42,27 @@ def definitions(segments: DataFrame) -> DataFrame:
 
 
 def flashcards(segments: DataFrame, count: int = 10) -> DataFrame:
-    """(spec_id, ord, question, answer, difficulty): definitions, question-answer pairs, formulas, important points, in that order,
+    """(spec_id, ord, question, answer, difficulty, source_pages): definitions, question-answer pairs, formulas, important points, in that order,
     first of each question (case ignored), the first `count` of a document."""
+    one = lambda *pages: F.array_join(F.array_sort(F.array_distinct(F.array(*pages))), ",").alias("source_pages")
     d = definitions(segments)
     term = F.when(F.substring("term", 2, 1).rlike(r"^\p{Ll}"), F.lower("term")).otherwise(F.col("term"))
-    cards = d.select("spec_id", F.lit(0).alias("source"), F.col("ord").cast("long").alias("at"), F.concat(F.lit("What is "), term, F.lit("?")).alias("question"), F.col("definition").alias("answer"), T.difficulty(F.col("definition")).alias("difficulty"))
+    cards = d.select("spec_id", F.lit(0).alias("source"), F.col("ord").cast("long").alias("at"), F.concat(F.lit("What is "), term, F.lit("?")).alias("question"), F.col("definition").alias("answer"), T.difficulty(F.col("definition")).alias("difficulty"), one("page"))
     t = tree(segments)
-    place = t.select(F.col("segment_id").alias("question_id"), "order_index")
-    qa = question_answers(segments).join(place, "question_id").select("spec_id", F.lit(1), F.col("order_index").cast("long"), "question", "answer", T.difficulty(F.col("answer")))
+    place, behind = t.select(F.col("segment_id").alias("question_id"), "order_index", F.col("page").alias("p")), t.select(F.col("segment_id").alias("answer_id"), F.col("page").alias("q"))
+    qa = question_answers(segments).join(place, "question_id").join(behind, "answer_id").select("spec_id", F.lit(1), F.col("order_index").cast("long"), "question", "answer", T.difficulty(F.col("answer")), one("p", "q"))
     formula = t.where((F.col("label") == "FORMULA") & F.col("text").contains("=")).withColumn("lhs", F.trim(F.substring_index("text", "=", 1))).where("lhs <> ''")
-    formula = formula.select("spec_id", F.lit(2), F.col("order_index").cast("long"), F.concat(F.lit("Write the formula for "), F.col("lhs"), F.lit(".")), "text", F.lit("medium"))
-    point = t.where("label = 'IMPORTANT_POINT'").select("spec_id", F.lit(3), F.col("order_index").cast("long"), F.lit("What is an important point to remember from this topic?"), T.strip_cue(F.col("text")), F.lit("easy"))
+    formula = formula.select("spec_id", F.lit(2), F.col("order_index").cast("long"), F.concat(F.lit("Write the formula for "), F.col("lhs"), F.lit(".")), "text", F.lit("medium"), one("page"))
+    point = t.where("label = 'IMPORTANT_POINT'").select("spec_id", F.lit(3), F.col("order_index").cast("long"), F.lit("What is an important point to remember from this topic?"), T.strip_cue(F.col("text")), F.lit("easy"), one("page"))
     every = cards.union(qa).union(formula).union(point)
     first = Window.partitionBy("spec_id", F.lower("question")).orderBy("source", "at", "answer")
     flow = Window.partitionBy("spec_id").orderBy("source", "at", "answer")
     kept = every.withColumn("_r", F.row_number().over(first)).where("_r = 1").withColumn("ord", F.row_number().over(flow)).where(F.col("ord") <= count)
-    return kept.select("spec_id", "ord", "question", "answer", "difficulty")
+    return kept.select("spec_id", "ord", "question", "answer", "difficulty", "source_pages")
 
 
 def multiple_choice(segments: DataFrame) -> DataFrame:
-    """(spec_id, ord, term, options, correct_index): for four definitions and more, each with the next three, in a ring, as distractors;
+    """(spec_id, ord, term, options, correct_index, question, explanation, difficulty, source_pages): for four definitions and more, each with the next three, in a ring, as distractors;
     the right one stands at ord mod 4."""
     d = definitions(segments)
     ring = Window.partitionBy("spec_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -69,11 +71,55 @@ def multiple_choice(segments: DataFrame) -> DataFrame:
     own = Window.partitionBy("spec_id").orderBy("ord")
     all_ = d.withColumn("n", n).withColumn("head", head).where("n >= 4")
     nxt = lambda k: F.coalesce(F.lead("definition", k).over(own), F.element_at("head", (F.col("ord") + k - F.col("n") + 1).cast("int")))
-    ready = all_.select("spec_id", "ord", "term", "definition", nxt(1).alias("a"), nxt(2).alias("b"), nxt(3).alias("c"), (F.col("ord") % 4).alias("correct_index"))
+    ready = all_.select("spec_id", "ord", "term", "definition", nxt(1).alias("a"), nxt(2).alias("b"), nxt(3).alias("c"), (F.col("ord") % 4).alias("correct_index"), F.col("page").cast("string").alias("source_pages"))
     other = F.array("a", "b", "c")
     i = F.col("correct_index").cast("int")
     options = F.concat(F.slice(other, 1, i), F.array("definition"), F.slice(other, i + 1, F.lit(3) - i))
-    return ready.select("spec_id", "ord", "term", F.array_join(options, " | ").alias("options"), "correct_index")
+    return ready.select("spec_id", "ord", "term", F.array_join(options, " | ").alias("options"), "correct_index", F.concat(F.lit("Which statement best describes "), F.col("term"), F.lit("?")).alias("question"),
+                        F.concat(F.lit("The document defines "), F.col("term"), F.lit(" as: "), F.col("definition")).alias("explanation"), F.lit("medium").alias("difficulty"), "source_pages")
+
+
+def phrases(segments: DataFrame, top: int = 12) -> DataFrame:
+    """(spec_id, rank, phrase): the most frequent words of four letters and more of each document that are no function words, first seen first on
+    ties; spelled as at their first place."""
+    at = F.struct("order_index", "segment_id", "pos", "word")
+    words = tree(segments).select("spec_id", "order_index", "segment_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "word")).where((F.length("word") > 3) & ~T.is_stop(F.lower("word")))
+    counts = words.groupBy("spec_id", F.lower("word").alias("low")).agg(F.count("*").alias("n"), F.min(at).alias("first"))
+    own = Window.partitionBy("spec_id").orderBy(F.desc("n"), "first")
+    return counts.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= top).select("spec_id", "rank", F.col("first.word").alias("phrase"))
+
+
+def quiz(segments: DataFrame, phrases: DataFrame, count: int = 5) -> DataFrame:
+    """(spec_id, ord, question, options, correct_index, explanation, difficulty, source_pages): the first `count` questions of a document: multiple
+    choice, then key sentences with a blank for the first of the document's phrases that they hold.
+
+    phrases(spec_id, rank, phrase). A phrase is asked once; a sentence needs three other phrases that it doesn't hold as distractors; there are
+    twice `count` questions at most before the cut. What is asked depends on what was, so the sentences of a document are folded in order.
+    """
+    choice = multiple_choice(segments).select("spec_id", "ord", "question", "options", "correct_index", "explanation", "difficulty", "source_pages")
+    t = tree(segments).where("label in ('PARAGRAPH', 'CONCLUSION')")
+    best = key_sentences(tree(segments), 1).join(t.select("segment_id", "spec_id", "order_index", "page"), "segment_id")
+    own = phrases.groupBy("spec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda x: x["phrase"]).alias("phrases")).where(F.size("phrases") >= 4)
+    held = choice.groupBy("spec_id").agg(F.count("*").alias("held"))
+    rows = best.join(own, "spec_id").join(held, "spec_id", "left").select("spec_id", "order_index", "segment_id", "page", "sentence", "phrases", F.coalesce("held", F.lit(0)).alias("held"))
+
+    def step(s: dict, r: tuple) -> list[tuple]:
+        n, low = r.held + s["n"], r.sentence.lower()
+        hit = next((p for p in r.phrases if p.lower() in low and p.lower() not in s["used"]), None) if n < 2 * count else None
+        if hit is None:
+            return []
+        s["used"].add(hit.lower())
+        others = [p for p in r.phrases if p.lower() != hit.lower() and p.lower() not in low][:3]
+        if len(others) < 3:
+            return []
+        s["n"] += 1
+        at = low.index(hit.lower())
+        options = others[: n % 4] + [hit] + others[n % 4 :]
+        return [(r.spec_id, n, f"Fill in the blank: {r.sentence[:at]}_____{r.sentence[at + len(hit):]}", " | ".join(options), n % 4, f"The original sentence reads: {r.sentence}", "hard", str(r.page))]
+
+    kind = dict(segments.dtypes)["spec_id"]
+    cloze = folded(rows, "spec_id", ["order_index", "segment_id"], lambda: {"n": 0, "used": set()}, step, f"spec_id {kind}, ord long, question string, options string, correct_index long, explanation string, difficulty string, source_pages string")
+    return choice.select(*[F.col(c).cast(t).alias(c) for c, t in cloze.dtypes]).unionByName(cloze).where(F.col("ord") < count)
 
 
 def quiz_problems(items: DataFrame, pages: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """The core queries in plain SQL, written from what the operators mean; regular expressions without look-around."""
 
-_STOP = (
-    "'the','of','and','to','a','in','is','that','it','for','as','with','was','on','are','be','by','this','an','which','or','from','at','can','not','have','has','we','they','their','its','these','used',"
-    "'into','also','more','than','such','other','what','why','how','who','whom','when','where','which','does','did','do','is','was','were'"
-)
+from lectern.functions import text as T
+from lectern.plans.fixtures import FIXTURES
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _DOC = "doc AS (SELECT doc_id, max(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)"
 _TOKEN = r"regexp_extract_all(coalesce({0}, ''), '[A-Za-z][A-Za-z''\-]*|\d+(?:\.\d+)?')"
 _SENT = r"list_filter(list_transform(string_split(regexp_replace(coalesce({0}, ''), '([.!?])\s+([A-Z0-9\"''(])', '\1' || chr(30) || '\2', 'g'), chr(30)), lambda x: trim(x, ' ')), lambda x: x <> '')"
@@ -69,16 +69,10 @@ _RULE = """CASE WHEN is_first = 1 AND font_ratio >= 1.3 THEN 'TITLE'
 _RULED = f"{_FEATURES}, full_ AS (SELECT segment_id, spec_id, {_FEATURE_LIST} FROM feat WINDOW f AS (PARTITION BY spec_id ORDER BY order_index, segment_id)), ruled AS (SELECT segment_id, spec_id, {_RULE} AS rule FROM full_)"
 _PAIRED = f"{_RULED}, pair AS (SELECT s.label, r.rule AS predicted FROM ruled r JOIN seg s USING (segment_id) WHERE s.label IS NOT NULL)"
 
-_CUE = r"(?i)^\s*(definition|example|e\.g\.|for example|for instance|important|note|remember|key point|nb|answer|ans|solution|model answer|a\d+\.|q\d+[.:]?|question\s*\d*[.:]?|\d+[.)])\s*[:\-–.,]?\s*"
+_CUE = T.CUE.replace("(?iu)", "(?i)")
 _STRIP = f"trim(regexp_replace({{0}}, '{_CUE}', ''), ' ')"
 
-_DEFS = [
-    r"(?i)^(?:definition\s*[:\-–]\s*)?([^:.;]{2,60}?)\s+(?:is defined as|refers to|is called|is known as|means)\s+(.+)$",
-    r"(?i)^(?:definition|key term)\s*[:\-–]\s*([^:]{2,60}?)\s*[:\-–]\s*(.+)$",
-    r"(?i)^(?:definition\s*[:\-–]\s*)([^:.;]{2,60}?)\s+(?:is|are)\s+(.+)$",
-    r"^([A-Z][^:.;]{1,50}?)\s*[:\-–]\s*((?:a|an|the)\s.+)$",
-    r"(?i)^((?:the |an |a )?[^:.;,]{2,50}?)\s+(?:is|are)\s+((?:a|an|the)\s.+)$",
-]
+_DEFS = [p.replace("(?iu)", "(?i)") for p in T.DEFINITIONS]
 
 
 def _definition() -> str:
@@ -133,9 +127,9 @@ ORACLES: dict[str, str] = {
     "doc_stats": rf"""WITH {_DOC}, t AS (SELECT doc_id, coalesce(text, '') AS text, {_TOKEN.format('text')} AS w, len({_SENT.format('text')}) AS s, list_transform({_TOKEN.format('left(text, 20000)')}, lambda x: lower(x)) AS head FROM doc),
       c AS (SELECT doc_id, length(text) AS ch, len(w) AS n, s, len(list_filter(w, lambda x: NOT regexp_matches(x, '^\d'))) AS k, coalesce(list_sum(list_transform(list_filter(w, lambda x: NOT regexp_matches(x, '^\d')), lambda x: {_SYL.format('lower(x)')})), 0) AS y,
         len(head) AS hn, len(list_filter(head, lambda x: x IN ({_STOP}))) AS st FROM t)
-      SELECT doc_id, ch AS characters, n AS words, s AS sentences, round(CASE WHEN s > 0 THEN n / s ELSE 0.0 END, 6) AS avg_sentence_length, round(n / 200, 6) AS reading_time_min,
+      SELECT doc_id, ch AS characters, n AS words, s AS sentences, round(CASE WHEN s > 0 THEN n / s ELSE 0.0 END, 1) AS avg_sentence_length, round(n / 200, 1) AS reading_time_min,
         CASE WHEN hn >= 20 AND st > 0.15 * hn THEN 'en' ELSE 'unknown' END AS language,
-        round(CASE WHEN n > 30 AND s > 0 AND k > 0 THEN 206.835 - 1.015 * (k / s) - 84.6 * (y / k) END, 6) AS flesch_reading_ease, round(CASE WHEN n > 30 AND s > 0 AND k > 0 THEN 0.39 * (k / s) + 11.8 * (y / k) - 15.59 END, 6) AS flesch_kincaid_grade FROM c""",
+        round(CASE WHEN n > 30 AND s > 0 AND k > 0 THEN 206.835 - 1.015 * (k / s) - 84.6 * (y / k) END, 1) AS flesch_reading_ease, round(CASE WHEN n > 30 AND s > 0 AND k > 0 THEN 0.39 * (k / s) + 11.8 * (y / k) - 15.59 END, 1) AS flesch_kincaid_grade FROM c""",
     "vocabulary_syllables": rf"""WITH {_DOC}, w AS (SELECT lower(unnest({_TOKEN.format('text')})) AS word FROM doc)
       SELECT word, {_SYL.format('word')} AS syllables, count(*) AS n FROM w WHERE NOT regexp_matches(word, '^\d') GROUP BY word""",
     "keyphrases": rf"""WITH {_DOC}, w AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, lower(unnest(l)) AS word FROM (SELECT doc_id, {_TOKEN.format('text')} AS l FROM doc)),
@@ -160,9 +154,12 @@ ORACLES: dict[str, str] = {
       SELECT label, support, predicted, hits, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM r""",
     "confusion_matrix": f"WITH {_PAIRED} SELECT label, predicted, count(*) AS n FROM pair GROUP BY ALL",
     "split_counts": f"""WITH {_SEGMENT}, sp AS (SELECT spec_id, max(lower(trim(split))) AS split FROM doc_specs GROUP BY 1)
-      SELECT coalesce(split, 'none') AS split, count(*) AS segments, count(DISTINCT spec_id) AS documents FROM seg JOIN sp USING (spec_id) GROUP BY 1""",
+      SELECT coalesce(split, 'train') AS split, count(*) AS segments, count(DISTINCT spec_id) AS documents FROM seg LEFT JOIN sp USING (spec_id) GROUP BY 1""",
     "section_tree": f"WITH {_TREE} SELECT segment_id, spec_id, order_index, page, lab AS label, title, h1, h2, section_seq, concat_ws(' > ', h1, h2) AS section_path FROM tree",
-    "section_pages": f"WITH {_TREE} SELECT spec_id, coalesce(h1, '') AS h1, array_to_string(list_sort(list_distinct(list(page))), ',') AS pages, count(*) AS items FROM tree GROUP BY 1, 2",
+    "section_pages": f"""WITH {_TREE},
+      t1 AS (SELECT spec_id, 1 AS level, min(section_seq) AS section_seq, max(CASE WHEN top THEN text END) AS heading, list(page) AS l, count(*) FILTER (WHERE NOT is_title AND NOT top AND NOT sub) AS items FROM place WHERE at1 IS NOT NULL GROUP BY spec_id, at1),
+      t2 AS (SELECT spec_id, 2 AS level, section_seq, max(CASE WHEN sub THEN text END) AS heading, list(page) AS l, count(*) FILTER (WHERE NOT is_title AND NOT top AND NOT sub) AS items FROM place GROUP BY spec_id, section_seq HAVING bool_or(sub))
+      SELECT spec_id, level, section_seq, heading, array_to_string(list_sort(list_distinct(l)), ',') AS pages, items FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2)""",
     "question_answers": f"""WITH {_TREE}, n AS (SELECT *, lead(lab) OVER f AS nl, lead(text) OVER f AS nt, lead(segment_id) OVER f AS ns FROM tree WINDOW f AS (PARTITION BY spec_id, section_seq ORDER BY i))
       SELECT spec_id, segment_id AS question_id, ns AS answer_id, {_STRIP.format('text')} AS question, {_STRIP.format('nt')} AS answer FROM n WHERE lab = 'QUESTION' AND nl = 'ANSWER'""",
     "doc_freq": f"WITH {_TREE} SELECT spec_id, word, count(*) AS df FROM (SELECT spec_id, unnest(list_distinct({_CONTENT.format('text')})) AS word FROM tree) GROUP BY ALL",
@@ -174,8 +171,8 @@ ORACLES: dict[str, str] = {
       SELECT segment_id, pos, sentence FROM r WHERE r <= k""",
     "definitions": f"WITH {_DEFINED} SELECT * FROM defs",
     "quiz_choices": f"""WITH {_DEFINED}, n AS (SELECT *, count(*) OVER (PARTITION BY spec_id) AS n FROM defs), q AS (SELECT * FROM n WHERE n >= 4),
-      o AS (SELECT q.spec_id, q.ord, q.term, q.definition AS d, q.ord % 4 AS ci, list(x.definition ORDER BY (x.ord - q.ord + q.n) % q.n) AS l FROM q JOIN q x ON x.spec_id = q.spec_id AND (x.ord - q.ord + q.n) % q.n BETWEEN 1 AND 3 GROUP BY ALL)
-      SELECT spec_id, ord, term, array_to_string(list_concat(list_concat(l[1:ci], [d]), l[ci + 1:3]), ' | ') AS options, ci AS correct_index FROM o""",
+      o AS (SELECT q.spec_id, q.ord, q.term, q.definition AS d, q.page, q.ord % 4 AS ci, list(x.definition ORDER BY (x.ord - q.ord + q.n) % q.n) AS l FROM q JOIN q x ON x.spec_id = q.spec_id AND (x.ord - q.ord + q.n) % q.n BETWEEN 1 AND 3 GROUP BY ALL)
+      SELECT spec_id, ord, term, array_to_string(list_concat(list_concat(l[1:ci], [d]), l[ci + 1:3]), ' | ') AS options, ci AS correct_index, 'Which statement best describes ' || term || '?' AS question, 'The document defines ' || term || ' as: ' || d AS explanation, 'medium' AS difficulty, CAST(page AS VARCHAR) AS source_pages FROM o""",
     "quiz_problems": """WITH q AS (SELECT item_id, any_value(document_id) AS document_id, any_value(coalesce(options, [])) AS o, any_value(correct_index) AS ci, any_value(coalesce(source_pages, [])) AS sp FROM study_items WHERE item_kind = 'quiz' AND item_id IS NOT NULL GROUP BY 1),
       n AS (SELECT document_id, max(page_number) AS n FROM document_pages GROUP BY 1)
       SELECT item_id, len(o) = 4 AND len(list_distinct(list_transform(o, lambda x: lower(x)))) = 4 AS options_ok, coalesce(ci BETWEEN 0 AND 3, false) AS index_ok,
@@ -233,13 +230,13 @@ ORACLES |= {
     "outlines": f"""WITH {_SEGMENT}, o AS (SELECT spec_id, left(string_agg(CASE WHEN label IN ('TITLE', 'HEADING') THEN '# ' WHEN label = 'SUBHEADING' THEN '## ' ELSE '[' || coalesce(label, 'PARAGRAPH') || ' p.' || coalesce(CAST(page AS VARCHAR), '?') || '] ' END || text, chr(10) ORDER BY order_index, segment_id), 400000) AS t FROM seg GROUP BY 1)
       SELECT spec_id, length(t) AS characters, sha256(t) AS digest FROM o""",
     "flashcards": f"""WITH {_DEFINED},
-      qa AS (SELECT *, lead(lab) OVER f AS nl, lead(text) OVER f AS nt FROM tree WINDOW f AS (PARTITION BY spec_id, section_seq ORDER BY i)),
-      al AS (SELECT spec_id, 0 AS source, ord AS at_, 'What is ' || CASE WHEN regexp_matches(substr(term, 2, 1), '^\\p{{Ll}}') THEN lower(term) ELSE term END || '?' AS question, definition AS answer, {_DIFFICULTY.format('definition')} AS difficulty FROM defs
-        UNION ALL SELECT spec_id, 1, order_index, {_STRIP.format('text')}, {_STRIP.format('nt')}, {_DIFFICULTY.format(_STRIP.format('nt'))} FROM qa WHERE lab = 'QUESTION' AND nl = 'ANSWER'
-        UNION ALL SELECT spec_id, 2, order_index, 'Write the formula for ' || trim(split_part(text, '=', 1)) || '.', text, 'medium' FROM tree WHERE lab = 'FORMULA' AND contains(text, '=') AND trim(split_part(text, '=', 1)) <> ''
-        UNION ALL SELECT spec_id, 3, order_index, 'What is an important point to remember from this topic?', {_STRIP.format('text')}, 'easy' FROM tree WHERE lab = 'IMPORTANT_POINT'),
+      qa AS (SELECT *, lead(lab) OVER f AS nl, lead(text) OVER f AS nt, lead(page) OVER f AS np FROM tree WINDOW f AS (PARTITION BY spec_id, section_seq ORDER BY i)),
+      al AS (SELECT spec_id, 0 AS source, ord AS at_, 'What is ' || CASE WHEN regexp_matches(substr(term, 2, 1), '^\\p{{Ll}}') THEN lower(term) ELSE term END || '?' AS question, definition AS answer, {_DIFFICULTY.format('definition')} AS difficulty, CAST(page AS VARCHAR) AS source_pages FROM defs
+        UNION ALL SELECT spec_id, 1, order_index, {_STRIP.format('text')}, {_STRIP.format('nt')}, {_DIFFICULTY.format(_STRIP.format('nt'))}, array_to_string(list_sort(list_distinct([page, np])), ',') FROM qa WHERE lab = 'QUESTION' AND nl = 'ANSWER'
+        UNION ALL SELECT spec_id, 2, order_index, 'Write the formula for ' || trim(split_part(text, '=', 1)) || '.', text, 'medium', CAST(page AS VARCHAR) FROM tree WHERE lab = 'FORMULA' AND contains(text, '=') AND trim(split_part(text, '=', 1)) <> ''
+        UNION ALL SELECT spec_id, 3, order_index, 'What is an important point to remember from this topic?', {_STRIP.format('text')}, 'easy', CAST(page AS VARCHAR) FROM tree WHERE lab = 'IMPORTANT_POINT'),
       un AS (SELECT *, row_number() OVER (PARTITION BY spec_id, lower(question) ORDER BY source, at_, answer) AS r FROM al), nu AS (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY source, at_, answer) AS ord FROM un WHERE r = 1)
-      SELECT spec_id, ord, question, answer, difficulty FROM nu WHERE ord <= 10""",
+      SELECT spec_id, ord, question, answer, difficulty, source_pages FROM nu WHERE ord <= 10""",
     "merged_segments": rf"""WITH {_KEPT}, lead_ AS {_LEAD.format('kept')},
       pr AS (SELECT k.*, lead_gap, lag(k.page) OVER f AS pp, lag(text) OVER f AS pt, lag(fs) OVER f AS pf, lag(x0) OVER f AS px0, lag(x1) OVER f AS px1, lag(y0) OVER f AS py0, lag(y1) OVER f AS py1 FROM kept k JOIN lead_ USING (document_id) WINDOW f AS (PARTITION BY k.document_id ORDER BY k.page, k.line_no)),
       br AS (SELECT *, CASE WHEN pp IS NULL OR pp <> page OR pt = '' OR abs(pf - fs) > 0.6 OR regexp_matches(text, '(?i)^\s*(?:[•●▪◦\-–*]\s+|\(?\d{{1,3}}[.)]\s+|\(?[a-z][.)]\s+|q\d+[.:)]|step\s*\d+|\[\d+\]|answer\s*[:.]|definition\s*[:.]|example\s*[:.]|note\s*[:.]|important\s*[:.])')
@@ -258,3 +255,23 @@ ORACLES |= {
         CASE WHEN lab = 'DEFINITION' THEN coalesce(d[2], y) WHEN lab IN ('EXAMPLE', 'IMPORTANT_POINT') THEN y WHEN lab = 'PROCEDURE' THEN CASE WHEN len(st) >= 2 THEN array_to_string(list_transform(st, lambda s: upper(left(s, 1)) || substr(s, 2)), chr(10)) ELSE x END ELSE x END AS text
       FROM f WHERE x <> '' """,
 }
+# written apart, so that what is folded in order here is a recursion there
+ORACLES |= {
+    "rate_limited": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL),
+      r AS (SELECT event_id, user_id, i, [us] AS held, true AS allowed, CAST(NULL AS BIGINT) AS retry_after FROM e WHERE i = 1
+      UNION ALL SELECT event_id, user_id, i, CASE WHEN len(f) < 3 THEN list_append(f, us) ELSE f END, len(f) < 3, CASE WHEN len(f) >= 3 THEN greatest(1, (f[1] + 86400000000 - us) // 1000000 + 1) END
+        FROM (SELECT e.*, list_filter(r.held, lambda x: e.us - x <= 86400000000) AS f FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+      SELECT event_id, user_id, allowed, retry_after FROM r""",
+    "autosaves": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY user_id) AS k FROM events WHERE user_id IS NOT NULL),
+      r AS (SELECT user_id, i, k, us AS first_, us AS last, 1 AS n, CAST(NULL AS BIGINT) AS s1, CAST(NULL AS BIGINT) AS n1, CAST(NULL AS BIGINT) AS s2, CAST(NULL AS BIGINT) AS n2 FROM e WHERE i = 1
+      UNION ALL SELECT user_id, i, k, CASE WHEN b2 THEN NULL ELSE f END, us, CASE WHEN b2 THEN 0 ELSE m END, CASE WHEN b1 THEN last + 21600000000 END, CASE WHEN b1 THEN n END, CASE WHEN b2 THEN us END, CASE WHEN b2 THEN m END FROM (
+        SELECT *, us - f >= 86400000000 AS b2 FROM (SELECT *, CASE WHEN b1 OR first_ IS NULL THEN us ELSE first_ END AS f, CASE WHEN b1 THEN 1 ELSE n + 1 END AS m FROM (
+          SELECT e.user_id, e.i, e.k, e.us, r.first_, r.last, r.n, r.n > 0 AND e.us - r.last >= 21600000000 AS b1 FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))))
+      SELECT user_id, s1 AS saved_us, n1 AS edits FROM r WHERE s1 IS NOT NULL UNION ALL SELECT user_id, s2, n2 FROM r WHERE s2 IS NOT NULL UNION ALL SELECT user_id, last + 21600000000, n FROM r WHERE i = k AND n > 0""",
+    "document_phrases": f"""WITH {_TREE}, w AS (SELECT spec_id, order_index, segment_id, generate_subscripts(l, 1) AS pos, unnest(l) AS word FROM (SELECT spec_id, order_index, segment_id, {_TOKEN.format('text')} AS l FROM tree)),
+      c AS (SELECT spec_id, lower(word) AS low, count(*) AS n, min((order_index, segment_id, pos)) AS f, arg_min(word, (order_index, segment_id, pos)) AS phrase FROM w WHERE lower(word) NOT IN ({_STOP}) AND length(word) > 3 GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY n DESC, f) AS rank FROM c) SELECT spec_id, rank, phrase FROM r WHERE rank <= 12""",
+} | {k: f.sql() for k, f in FIXTURES.items()}
+_REPORT = ORACLES["classification_report"]
+ORACLES["classification_summary"] = f"""WITH q AS ({_REPORT}), v AS (SELECT CAST(sum(support) AS DOUBLE) AS n, sum(hits) / sum(support) AS accuracy, avg(precision) AS macro_precision, sum(precision * support) / sum(support) AS weighted_precision, avg(recall) AS macro_recall,
+  sum(recall * support) / sum(support) AS weighted_recall, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1 FROM q) SELECT metric, round(value, 4) AS value FROM (UNPIVOT v ON COLUMNS(*) INTO NAME metric VALUE value)"""

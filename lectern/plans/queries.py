@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import editor, layout, lines, model, notes, quality, retrieval, segments, stats, store, study
 from lectern.runtime import table
+from lectern.plans.fixtures import FIXTURES
 from lectern.streaming import events
 
 SEGMENT = ("segment_id", "spec_id", "order_index", "text", "page", "x0", "y0", "font_size", "is_bold", "is_italic", "line_count", "gap_before", "source", "label")
@@ -66,13 +67,6 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
     return retrieval.answers(_questions(s, d), top.join(_chunks(s, d), "chunk_id").select("question_id", "chunk_id", "rank", "text"))
 
 
-def _rag_metrics(s: SparkSession, d: str) -> DataFrame:
-    """How many questions of the query set there are, have citations, and are answered with high and with medium confidence. No answer or rank is read."""
-    q = _questions(s, d)
-    a = _answers(s, d)
-    return q.join(a, "question_id").agg(F.count("*").alias("questions"), F.count("citations").alias("answered"), F.count_if(F.col("confidence") == "high").alias("high"), F.count_if(F.col("confidence") == "medium").alias("medium"))
-
-
 def _nearest(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "embeddings", "vec_id", "embedding").where("embedding is not null").groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
     return retrieval.nearest(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))
@@ -105,7 +99,7 @@ def _analysis_stats(s: SparkSession, d: str) -> DataFrame:
 
 def _split_counts(s: SparkSession, d: str) -> DataFrame:
     spec = table(s, d, "doc_specs", "spec_id", "split").where("spec_id is not null").groupBy("spec_id").agg(F.max(F.lower(F.trim("split"))).alias("split"))
-    return segments.distinct_segments(table(s, d, "segments", "segment_id", "spec_id", "text")).join(spec, "spec_id").groupBy(F.coalesce("split", F.lit("none")).alias("split")).agg(F.count("*").alias("segments"), F.count_distinct("spec_id").alias("documents"))
+    return segments.distinct_segments(table(s, d, "segments", "segment_id", "spec_id", "text")).join(spec, "spec_id", "left").groupBy(F.coalesce("split", F.lit("train")).alias("split")).agg(F.count("*").alias("segments"), F.count_distinct("spec_id").alias("documents"))
 
 
 def _confusion(s: SparkSession, d: str) -> DataFrame:
@@ -147,8 +141,8 @@ def _classified(s: SparkSession, d: str) -> DataFrame:
     return model.evaluated(table(s, d, "segments", *SEGMENT), table(s, d, "doc_specs", "spec_id", "split"))
 
 
-def _editable(s: SparkSession, d: str) -> DataFrame:
-    return editor.from_notes(notes.notes(_tree(s, d), "clean"))
+def _editable(s: SparkSession, d: str, mode: str = "clean") -> DataFrame:
+    return notes.documents(_tree(s, d), mode)
 
 
 def _laid_out(s: SparkSession, d: str) -> DataFrame:
@@ -175,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_labels": lambda s, d: segments.rule_labels(table(s, d, "segments", *SEGMENT)),
     "label_counts": lambda s, d: stats.label_counts(segments.distinct_segments(table(s, d, "segments", "segment_id", "spec_id", "text", "label")), "label"),
     "classification_report": lambda s, d: segments.classification_report(_labelled(s, d)),
+    "classification_summary": lambda s, d: segments.classification_summary(_labelled(s, d)),
     "confusion_matrix": _confusion,
     "split_counts": _split_counts,
     "section_tree": lambda s, d: segments.tree(_tree(s, d)).drop("text"),
@@ -186,6 +181,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "definitions": lambda s, d: study.definitions(_tree(s, d)),
     "flashcards": lambda s, d: study.flashcards(_tree(s, d)),
     "quiz_choices": lambda s, d: study.multiple_choice(_tree(s, d)),
+    "quiz": lambda s, d: study.quiz(_tree(s, d), study.phrases(_tree(s, d))),
+    "document_phrases": lambda s, d: study.phrases(_tree(s, d)),
     "quiz_problems": lambda s, d: study.quiz_problems(table(s, d, "study_items", "item_id", "item_kind", "document_id", "options", "correct_index", "source_pages"), table(s, d, "document_pages", "document_id", "page_number")),
     "notes_clean": lambda s, d: notes.notes(_tree(s, d), "clean"),
     "notes_smart": lambda s, d: notes.notes(_tree(s, d), "smart"),
@@ -197,12 +194,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classified": _classified,
     "editor_documents": lambda s, d: editor.checked(_editable(s, d), "spec_id", "content").select("spec_id", "problem", "content_hash"),
     "editor_blocks": lambda s, d: editor.block_rows(_editable(s, d), "spec_id", "content"),
+    "editor_counts": lambda s, d: editor.counts(_editable(s, d), "spec_id", "content"),
+    "editor_kept": lambda s, d: editor.editor_form(_editable(s, d, "smart"), "spec_id", "content").select("spec_id", "kept"),
+    "assignment_documents": lambda s, d: editor.checked(_editable(s, d, "assignment"), "spec_id", "content").select("spec_id", "problem", "content_hash"),
+    "exam_documents": lambda s, d: editor.checked(_editable(s, d, "exam"), "spec_id", "content").select("spec_id", "problem", "content_hash"),
+    "preserved_blocks": lambda s, d: editor.block_rows(_editable(s, d, "preserve"), "spec_id", "content").select("spec_id", "ord", "type", "level", "align", "marker", "text"),
+    "assignment_parts": lambda s, d: notes.assignment(_tree(s, d)),
     "page_layout": _laid_out,
     "bm25_topk": _bm25_top,
     "dense_topk": _nearest,
     "hybrid_retrieve": _hybrid,
     "extractive_answers": _answers,
-    "answer_summary": _rag_metrics,
     "list_documents": _listed,
     "latest_documents": lambda s, d: _uploads(s, d).select("id", "title", "status", "page_count", "updated_at"),
     "upload_codes": _upload_codes,
@@ -220,4 +222,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tumbling_counts": lambda s, d: events.tumbling(table(s, d, "events", "ts", "event_type", "value"), "1 day"),
     "rollup_lines": _rolled,
     "last_before": _last_before,
-}
+} | {k: (lambda s, d, f=f: f.apply(s)) for k, f in FIXTURES.items()}

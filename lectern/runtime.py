@@ -7,7 +7,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,33 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None, limit: int = B
     return F.broadcast(df) if n * row_bytes <= limit else df
 
 
+def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, tuple], list[tuple]], schema: str, finish: Callable[[object, object], list[tuple]] | None = None) -> DataFrame:
+    """The rows that step(state, row) gives for the rows of each key in order, and finish(key, state) behind the last; state is start() at first
+    and changed in place. NULL keys are dropped.
+
+    One shuffle and a sort; a task streams through its keys batch by batch and holds the state of one key, however many rows it has.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = state = None
+        begun = False
+        for pdf in batches:
+            out: list[tuple] = []
+            for row in pdf.itertuples(index=False):
+                k = getattr(row, key)
+                if not begun or k != own:
+                    if begun and finish:
+                        out += finish(own, state)
+                    own, state, begun = k, start(), True
+                out += step(state, row)
+            yield pd.DataFrame(out, columns=names)
+        if begun and finish:
+            yield pd.DataFrame(finish(own, state), columns=names)
+
+    return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def words(text: Column) -> Column:
     """Maximal runs of letters and digits, lower case. NULL gives an empty array."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -21,8 +21,8 @@ def extension(name: Column) -> Column:
 
 
 def safe_name(name: Column) -> Column:
-    """Last part of a path, odd signs as underscores, 200 characters at most. Compatibility forms are composed by composed()."""
-    last = F.element_at(F.split(F.coalesce(name, F.lit("")), r"[\\/]"), -1)
+    """Last part of a path in compatibility composition (NFKC), odd signs as underscores, 200 characters at most."""
+    last = F.element_at(F.split(composed(F.coalesce(name, F.lit("")), "NFKC"), r"[\\/]"), -1)
     return F.left(F.trim(F.regexp_replace(last, r"(?U)[^\w.\- ()]+", "_")), F.lit(200))
 
 
@@ -34,14 +34,22 @@ def reject_code(name: Column, size: Column, pages: Column, most: int = MAX_BYTES
     )
 
 
-def composed(text: Column) -> Column:
-    """Canonical composition; only texts that hold combining marks go through Python."""
+def composed(text: Column, form: str = "NFC") -> Column:
+    """Canonical (NFC) or compatibility (NFKC) composition. Only texts with a sign that it can change go through Python: none below U+0300 for
+    NFC, none below U+00A0 for NFKC."""
 
     @F.pandas_udf("string")
-    def nfc(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: unicodedata.normalize("NFC", t) if isinstance(t, str) else None)
+    def compose(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: unicodedata.normalize(form, t) if isinstance(t, str) else None)
 
-    return F.when(text.rlike(r"\p{M}"), nfc(text)).otherwise(text)
+    changes = r"[^\x00-\x{2FF}]" if form == "NFC" else r"[^\x00-\x{9F}]"
+    return F.when(text.rlike(changes), compose(text)).otherwise(text)
+
+
+def stored_name(content: Column, name: Column) -> Column:
+    """struct(sha256, file): the digest of the content, and a file name made of it and the extension, so that no upload can name a path."""
+    digest = F.sha2(content, 256)
+    return F.struct(digest.alias("sha256"), F.concat_ws(".", digest, F.nullif(extension(name), F.lit(""))).alias("file"))
 
 
 def validated(files: DataFrame) -> DataFrame:
@@ -97,24 +105,67 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, text string")
 
 
+# Nominal sizes of headings by level, of a title and of body text; a line's height in sizes.
+HEADING_SIZES, TITLE_SIZE, BODY_SIZE, LEADING = {1: 16.0, 2: 14.0, 3: 12.0}, 20.0, 11.0, 1.6
+
+
 def paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, n, style, text) of the paragraphs of docx files, read from the archive's XML."""
+    """(path, n, style, text, size, is_bold, is_italic, y) of the lines of docx files: paragraphs, those of lists with a bullet, then the rows of
+    tables with | between their cells. size is the style's, y the sum of the heights of the lines above."""
+    from pyspark.sql import Window
+
+    rows = _docx(spark.read.format("binaryFile").load(path))
+    above = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("y", F.round(F.coalesce(F.sum(F.col("size") * LEADING).over(above), F.lit(0.0)), 4))
+
+
+def _docx(files: DataFrame) -> DataFrame:
     from xml.etree import ElementTree
 
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
+    def said(node: object) -> str:
+        return "".join(t.text or "" for t in node.iter(f"{w}t"))
+
+    def most(par: object, mark: str) -> bool:
+        runs = [(len(said(r)), r.find(f"{w}rPr/{w}{mark}")) for r in par.iter(f"{w}r")]
+        return 2 * sum(n for n, m in runs if m is not None and m.get(f"{w}val") not in ("0", "false")) > sum(n for n, _ in runs)
+
+    def lines(body: object) -> Iterator[tuple]:
+        for par in body.findall(f"{w}p"):
+            style = par.find(f"{w}pPr/{w}pStyle")
+            name = style.get(f"{w}val") if style is not None else None
+            level = int(name[-1]) if name and name[:-1].lower() == "heading" and name[-1].isdigit() else 0
+            size = TITLE_SIZE if (name or "").lower() == "title" else HEADING_SIZES.get(level, BODY_SIZE)
+            listed = par.find(f"{w}pPr/{w}numPr") is not None or (name or "").lower().startswith("list")
+            yield name, ("• " if listed else "") + said(par), size, bool(level) or most(par, "b"), most(par, "i")
+        for row in body.iter(f"{w}tr"):
+            yield None, " | ".join(said(c) for c in row.findall(f"{w}tc")), BODY_SIZE, False, False
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for p, c in zip(pdf.path, pdf.content):
                 with zipfile.ZipFile(io.BytesIO(bytes(c))) as z:
-                    body = ElementTree.fromstring(z.read("word/document.xml"))
-                for n, par in enumerate(body.iter(f"{w}p")):
-                    style = par.find(f"{w}pPr/{w}pStyle")
-                    rows.append((p, n, style.get(f"{w}val") if style is not None else None, "".join(t.text or "" for t in par.iter(f"{w}t"))))
-            yield pd.DataFrame(rows, columns=["path", "n", "style", "text"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, n long, style string, text string")
+                    body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
+                rows += [(p, n, *line) for n, line in enumerate(lines(body) if body is not None else [])]
+            yield pd.DataFrame(rows, columns=["path", "n", "style", "text", "size", "is_bold", "is_italic"])
+
+    return files.select("path", "content").mapInPandas(read, "path string, n long, style string, text string, size double, is_bold boolean, is_italic boolean")
+
+
+def extracted(spark: SparkSession, path: str) -> DataFrame:
+    """(path, kind, n, text, code): lines of every file under `path` by its kind: text files line by line, docx by paragraph. A file that is refused, or of
+    a kind without a reader here (pdf), has one row with its code and NULL text."""
+    glob = lambda kind: spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(path)
+    every = spark.read.format("binaryFile").load(path)
+    codes = validated(every).select("path", extension(F.col("path")).alias("kind"), "code")
+    codes = codes.withColumn("code", F.when((F.col("code") == "ok") & (F.col("kind") == "pdf"), "NO_READER").otherwise(F.col("code")))
+    good = codes.where("code = 'ok'").select("path")
+    txt = texts(spark, path).join(good, "path", "left_semi").where(extension(F.col("path")) == "txt").select("path", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    docx = _docx(glob("docx").join(good, "path", "left_semi")).select("path", F.col("n").cast("int").alias("n"), "text")
+    rows = txt.unionByName(docx).withColumn("kind", extension(F.col("path"))).withColumn("code", F.lit("ok"))
+    return rows.select("path", "kind", "n", "text", "code").unionByName(codes.where("code <> 'ok'").select("path", "kind", F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("text"), "code"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

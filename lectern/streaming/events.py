@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.runtime import folded
+
 
 def timed(events: DataFrame) -> DataFrame:
     """ts as an instant (UTC): watermarks and window arithmetic need it."""
@@ -33,14 +36,26 @@ def admit(times: list[float], limit: int, seconds: float) -> list[bool]:
     return out
 
 
+def _wait(first: int, now: int, seconds: float) -> int:
+    """Whole seconds, at least 1, until the first admitted event is `seconds` old."""
+    return max(1, int((first + seconds * 1e6 - now) // 1e6) + 1)
+
+
 def rate_limited(events: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """(event_id, user_id, allowed). What passes depends on what passed before, so each user is folded in time order."""
+    """(event_id, user_id, allowed, retry_after): what passes depends on what passed before, so each user's events are folded in time order.
+    retry_after: whole seconds, at least 1, until a refused event would pass; NULL for one that passed."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "event_id"])
-        return pd.DataFrame({"event_id": pdf.event_id, "user_id": pdf.user_id, "allowed": admit((pdf.us / 1e6).tolist(), limit, seconds)})
+    def step(held: deque, r: tuple) -> list[tuple]:
+        while held and r.us - held[0] > seconds * 1e6:
+            held.popleft()
+        ok = len(held) < limit
+        if ok:
+            held.append(r.us)
+        return [(r.event_id, r.user_id, ok, None if ok else _wait(held[0], r.us, seconds) if held else None)]
 
-    return timed(events).select("event_id", "user_id", F.unix_micros("ts").alias("us")).groupBy("user_id").applyInPandas(fold, "event_id long, user_id long, allowed boolean")
+    rows = timed(events).select("event_id", "user_id", F.unix_micros("ts").alias("us"))
+    out = folded(rows, "user_id", ["us", "event_id"], deque, step, "event_id long, user_id long, allowed boolean, retry_after double")
+    return out.withColumn("retry_after", F.col("retry_after").cast("long"))
 
 
 def rate_limited_stream(events: DataFrame, limit: int, seconds: float) -> DataFrame:
@@ -50,17 +65,18 @@ def rate_limited_stream(events: DataFrame, limit: int, seconds: float) -> DataFr
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        out = []
+        out, wait = [], []
         for us in pdf.us:
             held = [h for h in held if us - h <= seconds * 1e6]
             out.append(len(held) < limit)
+            wait.append(None if out[-1] else _wait(held[0], us, seconds) if held else None)
             if out[-1]:
                 held.append(int(us))
         state.update((held,))
-        yield pd.DataFrame({"event_id": pdf.event_id, "user_id": pdf.user_id, "allowed": out})
+        yield pd.DataFrame({"event_id": pdf.event_id, "user_id": pdf.user_id, "allowed": out, "retry_after": pd.Series(wait, dtype="Int64", index=pdf.index)})
 
     rows = timed(events).select("event_id", "user_id", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean, retry_after long", "held array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def sessions(events: DataFrame, gap: str) -> DataFrame:
@@ -81,21 +97,40 @@ def autosaves(edits: DataFrame, debounce: float = 1.5, longest: float = 10.0) ->
     """(user_id, saved_us, edits): saves of a debounced editor. A save runs `debounce` seconds after the last edit; an edit that comes
     `longest` seconds or more after the first unsaved one saves at once. The wait is looked at on an edit only."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        first = last = None
-        n = 0
-        for us in sorted(pdf.us):
-            if n and us - last >= debounce * 1e6:
-                out.append((last + int(debounce * 1e6), n))
-                first, n = None, 0
-            first = us if first is None else first
-            last, n = us, n + 1
-            if us - first >= longest * 1e6:
-                out.append((us, n))
-                first, n = None, 0
-        if n:
-            out.append((last + int(debounce * 1e6), n))
-        return pd.DataFrame({"user_id": [pdf.user_id.iloc[0]] * len(out), "saved_us": [a for a, _ in out], "edits": [b for _, b in out]})
-
-    return timed(edits).select("user_id", F.unix_micros("ts").alias("us")).groupBy("user_id").applyInPandas(fold, "user_id long, saved_us long, edits long")
+    def step(s: dict, r: tuple) -> list[tuple]:
+        out = []
+        if s["n"] and r.us - s["last"] >= debounce * 1e6:
+            out.append((r.user_id, s["last"] + int(debounce * 1e6), s["n"]))
+            s["first"], s["n"] = None, 0
+        s["first"] = r.us if s["first"] is None else s["first"]
+        s["last"], s["n"] = r.us, s["n"] + 1
+        if r.us - s["first"] >= longest * 1e6:
+            out.append((r.user_id, r.us, s["n"]))
+            s["first"], s["n"] = None, 0
+        return out
+
+    def finish(user: int, s: dict) -> list[tuple]:
+        return [(user, s["last"] + int(debounce * 1e6), s["n"])] if s["n"] else []
+
+    rows = timed(edits).select("user_id", F.unix_micros("ts").alias("us"))
+    return folded(rows, "user_id", ["us"], lambda: {"first": None, "last": None, "n": 0}, step, "user_id long, saved_us long, edits long", finish)
+
+
+def saving(attempts: DataFrame, first_wait: float = 1.0, longest_wait: float = 30.0) -> DataFrame:
+    """(document_id, at_us, sent, wait): what becomes of each attempt to save, attempts(document_id, at_us, status: ok, conflict or error).
+
+    After an error the next attempt waits first_wait seconds, twice as long after each further one, longest_wait at most; attempts that
+    come earlier are not sent. A success ends the waiting, a conflict stops all saving of the document.
+    """
+
+    def step(s: dict, r: tuple) -> list[tuple]:
+        sent = not s["stopped"] and r.at_us >= s["free"]
+        if sent and r.status == "error":
+            s["wait"] = min(longest_wait, s["wait"] * 2 if s["wait"] else first_wait)
+            s["free"] = r.at_us + int(s["wait"] * 1e6)
+        elif sent:
+            s["wait"], s["free"], s["stopped"] = 0.0, 0, r.status == "conflict"
+        return [(r.document_id, r.at_us, sent, s["wait"])]
+
+    kind = dict(attempts.dtypes)["document_id"]
+    return folded(attempts.select("document_id", "at_us", "status"), "document_id", ["at_us"], lambda: {"wait": 0.0, "free": 0, "stopped": False}, step, f"document_id {kind}, at_us long, sent boolean, wait double")
