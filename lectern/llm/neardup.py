@@ -181,8 +181,8 @@ def found(pages: DataFrame) -> DataFrame:
 
 
 def groups(pages: DataFrame) -> DataFrame:
-    """(document_id, group_id, links): one row a document; group_id is the class reached over links, links the number of other documents in it
-    that are linked to it directly."""
+    """(document_id, group_id, links): one row a document; group_id is the least document_id that is reached over links, links the number of other
+    documents that are linked to it directly. A document without links is its own group."""
     from lectern.llm.splits import forest
 
     member, links = similar(pages)
@@ -193,4 +193,6 @@ def groups(pages: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select("b", "a"))
     near = both.join(size.withColumnRenamed("d", "b"), "b").groupBy("a").agg(F.sum("copies").alias("near")).withColumnRenamed("a", "d")
     out = member.join(size, "d").join(near, "d", "left").join(root.select(F.col("node").cast("long").alias("d"), F.col("root").cast("long").alias("r")), "d", "left")
-    return out.select("document_id", F.coalesce("r", "d").alias("group_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    out = out.withColumn("g", F.coalesce("r", "d"))
+    named = out.groupBy("g").agg(F.min("document_id").alias("group_id"))
+    return out.join(named, "g").select("document_id", "group_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))

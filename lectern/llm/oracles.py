@@ -66,7 +66,17 @@ held AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: a
 SELECT DISTINCT item_id, doc_id FROM gram JOIN held USING (g)
 """
 
+_P5_GROUPS = f"""
+WITH RECURSIVE p5 AS ({_P5}), both_ AS (SELECT document_id_a AS a, document_id_b AS b FROM p5 UNION ALL SELECT document_id_b, document_id_a FROM p5),
+page AS (SELECT document_id, page_number, coalesce(max(text), '') AS t FROM document_pages WHERE document_id IS NOT NULL GROUP BY ALL),
+doc AS (SELECT document_id, string_agg(t, chr(10) ORDER BY page_number) AS t FROM page GROUP BY 1),
+own AS (SELECT document_id FROM doc WHERE len({_WORDS.format('t')}) >= 60),
+reach AS (SELECT document_id AS d, document_id AS r FROM own UNION SELECT d, b FROM reach JOIN both_ ON r = a)
+SELECT d AS document_id, min(r) AS group_id, (SELECT count(*) FROM both_ WHERE a = d) AS links FROM reach GROUP BY d
+"""
+
 ORACLES: dict[str, str] = {
+    "p5_groups": _P5_GROUPS,
     "p1_found": _P1,
     "p3_found": _P3,
     "p5_found": _P5,
