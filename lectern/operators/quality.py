@@ -59,6 +59,28 @@ def underline_faults(glyphs: DataFrame, strokes: DataFrame, slack: float = 0.01)
     return strokes.join(g, ["page", "line_id"]).where(inside).select("page", "line_id", "x1").distinct()
 
 
+def audit(drawn: DataFrame, key: str) -> DataFrame:
+    """(key, code, severity): what a drawn document read back has against what was to be drawn.
+
+    drawn(key, expected, got: texts; pages, pages_got; underlines, underlines_got; meta, meta_got: maps). Other words are an error if the texts are
+    less than 99.5 % alike or more than two, or one in 200, words are missing, else a warning.
+    """
+    from lectern.operators.store import token_diff
+
+    d = token_diff(drawn, key, "expected", "got")
+    n = F.size(F.filter(F.split(F.coalesce("expected", F.lit("")), r"\s+"), lambda w: w != ""))
+    rows = drawn.join(d, key)
+    other = (F.col("added") > 0) | (F.col("removed") > 0)
+    bad = (F.col("ratio") < 0.995) | (F.col("removed") > F.greatest(F.lit(2), F.floor(n / 200)))
+    said = F.map_keys("meta")
+    lost = F.size(F.filter(said, lambda k: ~F.try_element_at("meta_got", k).eqNullSafe(F.try_element_at("meta", k)))) > 0
+    one = lambda ok, code, level="error": F.when(ok, F.struct(F.lit(code).alias("code"), F.lit(level).alias("severity")))
+    found = F.array_compact(F.array(
+        F.when(other & bad, F.struct(F.lit("CONTENT_MISMATCH").alias("code"), F.lit("error").alias("severity"))).when(other, F.struct(F.lit("TEXT_EXTRACTION").alias("code"), F.lit("warning").alias("severity"))),
+        one(F.col("underlines") != F.col("underlines_got"), "UNDERLINE_MISMATCH"), one(F.col("pages") != F.col("pages_got"), "PAGE_COUNT"), one(lost, "METADATA")))
+    return rows.select(key, F.inline(found))
+
+
 def layout_issues(lines: DataFrame, tokens: DataFrame, least: float = 9.0) -> DataFrame:
     """(document_id, code, page): faults of laid-out documents: EMPTY_PAGE (no line with text), ORPHAN_HEADING (the last line of a page that another
     follows is a heading), WIDOW_LINE (the first line of a page ends a block of more lines and nothing of it follows), TEXT_TOO_SMALL, CONTENT_CHANGED

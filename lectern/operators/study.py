@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -131,3 +131,27 @@ def quiz_problems(items: DataFrame, pages: DataFrame) -> DataFrame:
     ok = (F.size(opts) == 4) & (F.size(F.array_distinct(F.transform(opts, F.lower))) == 4)
     kept = F.array_sort(F.array_distinct(F.filter(F.coalesce("source_pages", F.array().cast("array<int>")), lambda p: (p >= 1) & (p <= F.coalesce("n", F.lit(0))))))
     return q.join(n, "document_id", "left").select("item_id", ok.alias("options_ok"), F.coalesce(F.col("correct_index").between(0, 3), F.lit(False)).alias("index_ok"), F.array_join(kept, ",").alias("pages"))
+
+
+def valid_pages(pages: Column, count: Column) -> Column:
+    """The distinct pages that exist, sorted, as text."""
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.coalesce(pages, F.array().cast("array<int>")), lambda p: (p >= 1) & (p <= F.coalesce(count, F.lit(0)))))), ",")
+
+
+def valid_cards(cards: DataFrame) -> DataFrame:
+    """cards(set_id, ord, question, answer, pages, page_count) without markup, those with both texts, the first of each question (case ignored)."""
+    q, a = T.clean_markup(F.col("question")), T.clean_markup(F.col("answer"))
+    rows = cards.select("set_id", "ord", q.alias("question"), a.alias("answer"), valid_pages(F.col("pages"), F.col("page_count")).alias("source_pages")).where("question <> '' and answer <> ''")
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("set_id", F.lower("question")).orderBy("ord"))).where("_r = 1").drop("_r")
+
+
+def output_problems(outputs: DataFrame) -> DataFrame:
+    """(output_id, problem): what makes a generated output unusable. outputs(output_id, task, filled: array of the names of its parts that hold
+    something): notes need sections, an assignment an introduction and main_sections, an exam sheet definitions, key_concepts or important_questions."""
+    lacks = lambda part: ~F.array_contains(F.coalesce("filled", F.array().cast("array<string>")), part)
+    task = F.col("task")
+    rules = [
+        (task.isin("clean", "smart", "simple") & lacks("sections"), "sections must not be empty"), ((task == "assignment") & lacks("introduction"), "introduction must not be empty"),
+        ((task == "assignment") & lacks("main_sections"), "main_sections must not be empty"), ((task == "exam") & lacks("definitions") & lacks("key_concepts") & lacks("important_questions"), "exam output is empty"),
+    ]
+    return outputs.select("output_id", F.explode(F.array_compact(F.array(*[F.when(bad, said) for bad, said in rules]))).alias("problem"))

@@ -57,14 +57,25 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, name: str) -> str:
-    """Write df to the shared folder; its path. The table is deleted when the session's process ends."""
+    """Write df to the shared folder; its path. The table stays until clear() or the end of the process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    if not _WRITTEN:
+        atexit.register(clear, spark)
+    _WRITTEN.append(path)
     return path
 
 
+_WRITTEN: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables written so far. Call it when a result has been written and nothing that was made before is read again."""
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: the lineage ends there, and lost executors cost nothing."""
     return df.sparkSession.read.schema(df.schema).parquet(written(df, name))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import unicodedata
 import zipfile
 from collections.abc import Iterator
@@ -52,37 +53,42 @@ def stored_name(content: Column, name: Column) -> Column:
     return F.struct(digest.alias("sha256"), F.concat_ws(".", digest, F.nullif(extension(name), F.lit(""))).alias("file"))
 
 
-def validated(files: DataFrame) -> DataFrame:
-    """binaryFile rows with `code`: empty, size, type and magic number by expressions; archives and encodings are opened in Python."""
+def validated(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
+    """binaryFile rows with `code`: empty, size, type and magic number by expressions; pages, archives and encodings are looked at in Python.
+
+    A PDF is encrypted if its trailer says so, corrupt without an end mark, and has as many pages as page objects stand in it in plain (pages in
+    compressed object streams aren't seen: then its page tree's count is taken).
+    """
     kind = extension(F.col("path"))
-    magic = F.when((kind == "pdf") & (F.substring("content", 1, 5) != F.lit(b"%PDF-")), "CORRUPT_FILE").when((kind == "docx") & (F.substring("content", 1, 4) != F.lit(b"PK\x03\x04")), "CORRUPT_FILE")
+    wrong = F.when((kind == "pdf") & (F.substring("content", 1, 5) != F.lit(b"%PDF-")), "BAD_FILE_TYPE").when((kind == "docx") & (F.substring("content", 1, 4) != F.lit(b"PK\x03\x04")), "BAD_FILE_TYPE")
+
+    def pdf(c: bytes) -> str:
+        if b"%%EOF" not in c[-2048:]:
+            return "CORRUPT_FILE"
+        if b"/Encrypt" in c:
+            return "ENCRYPTED_PDF"
+        counts = [int(x) for x in re.findall(rb"/Type\s*/Pages\b[^>]*?/Count\s+(\d+)|/Count\s+(\d+)[^>]*?/Type\s*/Pages\b", c) for x in x if x]
+        pages = len(re.findall(rb"/Type\s*/Page\b(?!s)", c)) or max(counts, default=0)
+        return "EMPTY_FILE" if not pages else "TOO_MANY_PAGES" if pages > MAX_PAGES else "ok"
+
+    def docx(c: bytes) -> str:
+        try:
+            with zipfile.ZipFile(io.BytesIO(c)) as z:
+                if not {"[Content_Types].xml", "word/document.xml"} <= set(z.namelist()):
+                    return "BAD_FILE_TYPE"
+                return "ZIP_BOMB" if len(z.infolist()) > MAX_ENTRIES or sum(i.file_size for i in z.infolist()) > MAX_UNPACKED else "ok"
+        except zipfile.BadZipFile:
+            return "CORRUPT_FILE"
+
+    def txt(c: bytes) -> str:
+        return "BAD_FILE_TYPE" if b"\x00" in c[:8192] else "ok" if decoded(c) else "BAD_ENCODING"
 
     @F.pandas_udf("string")
     def opened(kinds: pd.Series, contents: pd.Series) -> pd.Series:
-        def one(k: str, c: bytes) -> str:
-            if k == "docx":
-                try:
-                    with zipfile.ZipFile(io.BytesIO(c)) as z:
-                        names = set(z.namelist())
-                        if not {"[Content_Types].xml", "word/document.xml"} <= names:
-                            return "CORRUPT_FILE"
-                        if len(names) > MAX_ENTRIES or sum(i.file_size for i in z.infolist()) > MAX_UNPACKED:
-                            return "FILE_TOO_LARGE"
-                except zipfile.BadZipFile:
-                    return "CORRUPT_FILE"
-            if k == "txt":
-                if b"\x00" in c[:8192]:
-                    return "CORRUPT_FILE"
-                try:
-                    c.decode("utf-8")
-                except UnicodeDecodeError:
-                    return "ok" if decoded(c) else "UNKNOWN_ENCODING"
-            return "ok"
-
-        return pd.Series([one(k, bytes(c)) for k, c in zip(kinds, contents)])
-
-    first = reject_code(F.col("path"), F.col("length"), F.lit(0))
-    return files.withColumn("code", F.when(first != "ok", first).otherwise(F.coalesce(magic, opened(kind, F.col("content")))))
+        return pd.Series([{"pdf": pdf, "docx": docx, "txt": txt}.get(k, lambda c: "ok")(bytes(c)) for k, c in zip(kinds, contents)])
+
+    first = reject_code(F.col("path"), F.length("content"), F.lit(0), most)
+    return files.withColumn("code", F.when(first != "ok", first).otherwise(F.coalesce(wrong, opened(kind, F.col("content")))))
 
 
 def decoded(content: bytes) -> str:

@@ -149,7 +149,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_uploads(spark, tmp_path):
     import zipfile
 
-    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 x")
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4\n<</Type /Page>>\n%%EOF")
     (tmp_path / "b.pdf").write_bytes(b"hello")
     (tmp_path / "c.txt").write_bytes("été\r\nzwei".encode("cp1252"))
     (tmp_path / "d.txt").write_bytes(b"a\x00b")
@@ -159,7 +159,38 @@ def test_uploads(spark, tmp_path):
         z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Hi</w:t></w:r></w:p></w:body></w:document>')
     files = spark.read.format("binaryFile").load(str(tmp_path))
     got = {r.path.rpartition("/")[2]: r.code for r in uploads.validated(files).collect()}
-    assert got == {"a.pdf": "ok", "b.pdf": "CORRUPT_FILE", "c.txt": "ok", "d.txt": "CORRUPT_FILE", "e.exe": "UNSUPPORTED_TYPE", "f.docx": "ok"}
+    assert got == {"a.pdf": "ok", "b.pdf": "BAD_FILE_TYPE", "c.txt": "ok", "d.txt": "BAD_FILE_TYPE", "e.exe": "UNSUPPORTED_TYPE", "f.docx": "ok"}
+    rows = {(r.path.rpartition("/")[2], r.n, r.text, r.code) for r in uploads.extracted(spark, str(tmp_path)).collect()}
+    assert rows == {("c.txt", 0, "été", "ok"), ("c.txt", 1, "zwei", "ok"), ("f.docx", 0, "Hi", "ok"), ("a.pdf", None, None, "NO_READER"), ("b.pdf", None, None, "BAD_FILE_TYPE"), ("d.txt", None, None, "BAD_FILE_TYPE"), ("e.exe", None, None, "UNSUPPORTED_TYPE")}
     assert uploads.texts(spark, str(tmp_path / "c.txt")).first().text == "été\nzwei"
     assert uploads.paragraphs(spark, str(tmp_path / "f.docx")).first().text == "Hi"
     assert spark.createDataFrame([("é",)], "t string").select(uploads.composed(F.col("t")).alias("x")).first().x == "é"
+
+
+def test_word_documents(spark, tmp_path):
+    import zipfile
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    par = lambda text, style="", run="": f'<w:p><w:pPr>{style}</w:pPr><w:r><w:rPr>{run}</w:rPr><w:t>{text}</w:t></w:r></w:p>'
+    body = par("Top", '<w:pStyle w:val="Heading1"/>') + "<w:tbl><w:tr><w:tc>" + par("a") + "</w:tc><w:tc>" + par("b") + "</w:tc></w:tr></w:tbl>" + par("item", "<w:numPr/>") + par("loud", "", "<w:b/><w:i w:val=\"0\"/>")
+    with zipfile.ZipFile(tmp_path / "x.docx", "w") as z:
+        z.writestr("[Content_Types].xml", "<x/>")
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+    got = [(r.text, r.size, r.is_bold, r.is_italic, r.y) for r in uploads.paragraphs(spark, str(tmp_path)).orderBy("n").collect()]
+    assert got == [("Top", 16.0, True, False, 0.0), ("• item", 11.0, False, False, 25.6), ("loud", 11.0, True, False, 43.2), ("a | b", 11.0, False, False, 60.8)]
+
+
+def test_stored_names(spark):
+    row = spark.createDataFrame([(bytearray(b"abc"), "../x/Notes.PDF")], "content binary, name string").select(uploads.stored_name(F.col("content"), F.col("name")).alias("s")).first().s
+    assert row.file == row.sha256 + ".pdf" and row.sha256.startswith("ba7816bf")
+
+
+def test_written_tables_are_deleted(spark):
+    from lectern import runtime
+
+    path = runtime.written(spark.range(3), "test")
+    assert spark.read.parquet(path).count() == 3
+    runtime.clear(spark)
+    import os
+
+    assert not os.path.exists(path.removeprefix("file:"))
