@@ -16,7 +16,8 @@ from lectern.runtime import stored
 RUN = 12
 #: Words are near if they are this far out of their place at most; a near match has NEAR_WORDS of the 2 RUN - 1 words around an anchor near.
 NEAR, NEAR_WORDS = 3, 15
-#: Terms of each run of an item, rarest first, whose lists are read: one finds every exact run, further ones what was edited at the rarest.
+#: Terms of each run of an item, rarest first, whose lists are read for near matches: one finds every exact run, further ones what was edited
+#: at the rarest.
 RAREST = 2
 #: Items are taken in blocks of about so many characters, so that what a task holds of them is bounded.
 BLOCK_CHARS = 4_000_000
@@ -69,8 +70,8 @@ def postings(corpus: DataFrame, terms: np.ndarray, run: int = RUN) -> DataFrame:
     return corpus.where("doc_id is not null").select("doc_id", "text").mapInArrow(post, f"term long, doc_id {kind}, pos int, context array<long>")
 
 
-def anchors(items: dict[int, np.ndarray], df: dict[int, int], run: int = RUN) -> list[tuple[int, int, int, list[int]]]:
-    """(term, item_id, ipos, context): of every window of `run` words of an item the RAREST terms that are rarest in the corpus, the first on ties.
+def anchors(items: dict[int, np.ndarray], df: dict[int, int], run: int = RUN, rarest: int = RAREST) -> list[tuple[int, int, int, list[int]]]:
+    """(term, item_id, ipos, context): of every window of `run` words of an item the `rarest` terms that are rarest in the corpus, the first on ties.
 
     A run of an item that stands in a document holds a whole window and so its anchors: starting from the rarest terms misses none. A window
     whose rarest word was edited away in the document is found by the next.
@@ -79,7 +80,7 @@ def anchors(items: dict[int, np.ndarray], df: dict[int, int], run: int = RUN) ->
     for item, h in items.items():
         n = np.array([df.get(int(x), 0) for x in h])
         padded = np.concatenate([np.zeros(run - 1, np.int64), h, np.zeros(run - 1, np.int64)])
-        at = sorted({i + int(j) for i in range(len(h) - run + 1) for j in np.argsort(np.where(n[i : i + run] == 0, n.max() + 1, n[i : i + run]), kind="stable")[:RAREST]})
+        at = sorted({i + int(j) for i in range(len(h) - run + 1) for j in np.argsort(np.where(n[i : i + run] == 0, n.max() + 1, n[i : i + run]), kind="stable")[:rarest]})
         out += [(int(h[p]), item, p, padded[p : p + 2 * run - 1].tolist()) for p in at if n[p]]
     return out
 
@@ -98,7 +99,7 @@ def _near(doc: Column, item: Column) -> Column:
     return F.aggregate(spot, F.lit(0), lambda a, x: a + x)
 
 
-def matches(corpus: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
+def matches(corpus: DataFrame, items: DataFrame, run: int = RUN, rarest: int = RAREST) -> DataFrame:
     """(item_id, doc_id, shift, run_words, near_words): every posting of an anchor set against the item, NULL ids dropped.
 
     Items of fewer than `run` words have no window. Rows that repeat an id count once. The items come in blocks of BLOCK_CHARS
@@ -111,7 +112,7 @@ def matches(corpus: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     for k in range(blocks):
         own = {r.item_id: Scan(pa.array([r.text], pa.string())).hash for r in listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()}
         terms = np.unique(np.concatenate([np.zeros(0, np.int64), *own.values()]))
-        found = anchors(own, frequencies(corpus, terms), run) if len(terms) else []
+        found = anchors(own, frequencies(corpus, terms), run, rarest) if len(terms) else []
         keys = F.broadcast(spark.createDataFrame(found, f"term long, item_id {dict(items.dtypes)['item_id']}, ipos int, near array<long>"))
         index = stored(postings(corpus, np.unique(np.array([t for t, *_ in found], dtype=np.int64)), run), "postings") if found else None
         if index is None:
@@ -124,7 +125,7 @@ def matches(corpus: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
 
 def found(corpus: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id) with at least RUN consecutive words of the item standing consecutively in the document."""
-    return matches(corpus, items).where(F.col("run_words") >= RUN).select("item_id", "doc_id").distinct()
+    return matches(corpus, items, rarest=1).where(F.col("run_words") >= RUN).select("item_id", "doc_id").distinct()
 
 
 def report(corpus: DataFrame, items: DataFrame) -> DataFrame:
