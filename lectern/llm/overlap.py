@@ -213,7 +213,7 @@ def eval_pieces(held: DataFrame, seen: list[np.ndarray]) -> DataFrame:
             first, bits = np.cumsum(n) - n, word_bits(flat, n)
             for size in np.unique(n):
                 every = np.flatnonzero(n == size)
-                for part in np.array_split(every, math.ceil(len(every) * size / 50_000)):
+                for part in np.array_split(every, min(len(every), math.ceil(len(every) * size / 50_000))):
                     w = flat[first[part][:, None] + np.arange(size)[None, :]]
                     at = cuts(w, seen)
                     pieces = at.shape[1] - 1
@@ -381,32 +381,55 @@ def candidates(words: DataFrame, held_bits: int = HELD_BITS) -> DataFrame:
 
 
 def distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Edit distance of each pair of word lists inside of the band that the threshold allows; a large number outside of it."""
+    """Edit distance of each pair of word lists up to the number of edits that the threshold allows; a large number beyond it.
+
+    Equal beginnings and ends are left out. The band starts narrow and is widened for the pairs that need it, so that long texts that are nearly
+    equal cost little.
+    """
     out = np.full(len(a), 1 << 20)
-    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    k = np.maximum(n, m) // EDITS
-    for key in {(int(x), int(y)) for x, y in zip(n, m)}:
-        at = np.flatnonzero((n == key[0]) & (m == key[1]))
-        size, other, band = key[0], key[1], int(max(key) // EDITS)
-        if abs(size - other) > band:
-            continue
-        x, y = np.stack([a[i] for i in at]), np.stack([b[i] for i in at])
-        width = 2 * band + 1
-        j = np.arange(-band, band + 1)  # offset of the other text's place
-        row = np.where(j >= 0, j, 1 << 20)[None, :].repeat(len(at), 0).astype(np.int64)
-        for i in range(1, size + 1):
-            place = i + j
-            ok = (place >= 1) & (place <= other)
-            same = np.zeros((len(at), width), bool)
-            same[:, ok] = x[:, i - 1 : i] == y[:, place[ok] - 1]
-            step = np.minimum(row + ~same, np.concatenate([row[:, 1:] + 1, np.full((len(at), 1), 1 << 20)], axis=1))
-            step = np.where(ok[None, :], step, np.where(place == 0, i, 1 << 20)[None, :])
-            row = np.minimum.accumulate(step - j[None, :], axis=1) + j[None, :]
-            row = np.where((place >= 0) & (place <= other), row, 1 << 20)
-        out[at] = row[:, other - size + band]
+    limit = np.array([max(len(x), len(y)) // EDITS for x, y in zip(a, b)], dtype=np.int64)
+    bare = [_bare(x, y) for x, y in zip(a, b)]
+    open_, band = np.flatnonzero([abs(len(x) - len(y)) <= k for (x, y), k in zip(bare, limit)]), 16
+    while len(open_):
+        for key in {(len(bare[i][0]), len(bare[i][1]), int(min(limit[i], band))) for i in open_}:
+            at = np.array([i for i in open_ if (len(bare[i][0]), len(bare[i][1]), min(limit[i], band)) == key])
+            if abs(key[0] - key[1]) <= key[2]:
+                d = _banded(np.stack([bare[i][0] for i in at]), np.stack([bare[i][1] for i in at]), key[2])
+                out[at] = np.where(d <= key[2], d, out[at])
+        open_ = open_[(out[open_] > limit[open_]) & (limit[open_] > band)]
+        band *= 4
     return out
 
 
+def _bare(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both lists without what they begin and end with alike."""
+    for _ in range(2):
+        n = min(len(x), len(y))
+        other = np.flatnonzero(x[:n] != y[:n])
+        k = int(other[0]) if len(other) else n
+        x, y = x[k:][::-1], y[k:][::-1]
+    return x, y
+
+
+def _banded(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray:
+    """Edit distances of rows of equal length (x: rows x n, y: rows x m), right where they are at most `band`."""
+    (rows, size), other = x.shape, y.shape[1]
+    width = 2 * band + 1
+    j = np.arange(-band, band + 1)  # offset of the other text's place
+    row = np.where(j >= 0, j, 1 << 20)[None, :].repeat(rows, 0).astype(np.int64)
+    row = np.where(j <= other, row, 1 << 20)
+    for i in range(1, size + 1):
+        place = i + j
+        ok = (place >= 1) & (place <= other)
+        same = np.zeros((rows, width), bool)
+        same[:, ok] = x[:, i - 1 : i] == y[:, place[ok] - 1]
+        step = np.minimum(row + ~same, np.concatenate([row[:, 1:] + 1, np.full((rows, 1), 1 << 20)], axis=1))
+        step = np.where(ok[None, :], step, np.where(place == 0, i, 1 << 20)[None, :])
+        row = np.minimum.accumulate(step - j[None, :], axis=1) + j[None, :]
+        row = np.where((place >= 0) & (place <= other), row, 1 << 20)
+    return row[:, other - size + band]
+
+
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """(eval_id, train_id, edits, longer) of the candidates within the threshold, by banded dynamic programming over whole texts."""
     n = pairs.count()

@@ -157,6 +157,15 @@ def test_banded_distance(a, b):
     assert d == true if true <= k else d > k
 
 
+def test_distance_of_long_texts():
+    r = np.random.default_rng(5)
+    w = r.integers(0, 300, 4000)
+    v = np.delete(w, r.choice(4000, 60, replace=False))
+    v[r.choice(len(v), 40, replace=False)] = -1
+    d = overlap.distances([w, w, w], [v, w, w[::-1]])
+    assert 60 <= d[0] <= 100 and d[1] == 0 and d[2] > 800 and int(overlap._banded(w[None, :200], v[None, :195], 200)[0]) == distance(list(w[:200]), list(v[:195]))
+
+
 def test_pieces_cover_the_text():
     w = np.random.default_rng(0).integers(0, 50, (7, 43)).astype(np.uint64)
     at = overlap.cuts(w, [np.ones(n) for n in overlap.BUCKETS])
