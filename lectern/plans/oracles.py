@@ -262,6 +262,7 @@ ORACLES |= {
       UNION ALL SELECT event_id, user_id, i, CASE WHEN len(f) < 3 THEN list_append(f, us) ELSE f END, len(f) < 3, CASE WHEN len(f) >= 3 THEN greatest(1, (f[1] + 86400000000 - us) // 1000000 + 1) END
         FROM (SELECT e.*, list_filter(r.held, lambda x: e.us - x <= 86400000000) AS f FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
       SELECT event_id, user_id, allowed, retry_after FROM r""",
+    "editor_kept": "SELECT DISTINCT spec_id, true AS kept FROM segments WHERE segment_id IS NOT NULL AND spec_id IS NOT NULL",
     "autosaves": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY user_id) AS k FROM events WHERE user_id IS NOT NULL),
       r AS (SELECT user_id, i, k, us AS first_, us AS last, 1 AS n, CAST(NULL AS BIGINT) AS s1, CAST(NULL AS BIGINT) AS n1, CAST(NULL AS BIGINT) AS s2, CAST(NULL AS BIGINT) AS n2 FROM e WHERE i = 1
       UNION ALL SELECT user_id, i, k, CASE WHEN b2 THEN NULL ELSE f END, us, CASE WHEN b2 THEN 0 ELSE m END, CASE WHEN b1 THEN last + 21600000000 END, CASE WHEN b1 THEN n END, CASE WHEN b2 THEN us END, CASE WHEN b2 THEN m END FROM (
