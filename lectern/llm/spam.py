@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bytewords import Scan, slices, word_hash
 from lectern.llm.languages import STOPWORDS
+from lectern.runtime import stored
 
 STATES = ("prose", "apparatus", "link_list", "tag_list", "menu")
 #: Further frequent function words, beside those of languages.STOPWORDS.
@@ -26,8 +27,16 @@ EMISSIONS = {
 }
 START = [0.40, 0.30, 0.10, 0.10, 0.10]
 MOVES = [[0.70, 0.24, 0.02, 0.02, 0.02], [0.44, 0.50, 0.02, 0.02, 0.02], [0.04, 0.03, 0.87, 0.03, 0.03], [0.04, 0.03, 0.03, 0.85, 0.05], [0.04, 0.03, 0.03, 0.05, 0.85]]
-#: The fit: documents of the sample at most, lines of a document of it at most, rounds, lines that the probabilities before the fit count for.
-SAMPLE, SAMPLE_LINES, ROUNDS, PRIOR = 2000, 500, 8, 500
+#: The fit: rounds, lines that the probabilities before the fit count for in up to PRIOR_DOCS documents; beyond, in proportion, so that
+#: they weigh alike in a table of any size.
+ROUNDS, PRIOR, PRIOR_DOCS = 8, 500, 2000
+#: Expected counts are summed as whole multiples of 1 / WHOLE, so that the sums are the same in any order of rows.
+WHOLE = 1 << 32
+#: Lines of a block: longer documents are fitted in blocks that advance together.
+BLOCK = 512
+#: Bins of each feature; a line's kind is the number of its combination of bins, BINS the bins of each kind.
+SHAPE = tuple(len(edges) + 1 for edges, _ in EMISSIONS.values())
+BINS = np.stack(np.unravel_index(np.arange(np.prod(SHAPE)), SHAPE), axis=1)
 #: A word is repeated if it stands this often in its document.
 OFTEN = 3
 SHARE = 0.5
@@ -68,39 +77,91 @@ class Model:
         return sum(np.log(t).T[bins[:, f]] for f, t in enumerate(self.tables))
 
 
-def fitted(bins: np.ndarray, lengths: np.ndarray, rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
-    """Baum-Welch over the lines of a sample, documents on end; the stated probabilities count as `prior` lines of each state, so that a
-    sample that lacks a kind of line leaves its state as it is."""
-    base = Model()
-    model, live = base, lengths[lengths > 0]
-    if not len(live):
-        return model
-    docs, most = len(live), int(live.max())
-    inside = np.arange(most)[None, :] < live[:, None]
-    for _ in range(rounds):
-        like = np.ones((docs, most, len(STATES)))
-        logs = model.emit(bins)
-        like[inside] = np.exp(logs - logs.max(1, keepdims=True))
-        forward, back = np.empty_like(like), np.ones_like(like)
-        forward[:, 0] = model.start * like[:, 0]
-        forward[:, 0] /= forward[:, 0].sum(1, keepdims=True)
-        for t in range(1, most):
-            now = (forward[:, t - 1] @ model.moves) * like[:, t]
-            forward[:, t] = now / now.sum(1, keepdims=True)
-        moves = prior * base.moves
-        for t in range(most - 2, -1, -1):
-            ahead = np.where(inside[:, t + 1, None], like[:, t + 1] * back[:, t + 1], 1.0)
-            back[:, t] = np.where(inside[:, t + 1, None], ahead @ model.moves.T, 1.0)
-            back[:, t] /= back[:, t].sum(1, keepdims=True)
-            both = forward[:, t, :, None] * model.moves[None] * ahead[:, None, :]
-            moves = moves + (both / both.sum((1, 2), keepdims=True))[inside[:, t + 1]].sum(0)
-        held = forward * back
-        held = (held / held.sum(2, keepdims=True))
-        own = held[inside]
-        start = prior * base.start + held[:, 0].sum(0)
-        tables = [prior * t + np.stack([own[bins[:, f] == k].sum(0) for k in range(t.shape[1])], axis=1) for f, t in enumerate(base.tables)]
-        model = Model(start / start.sum(), moves / moves.sum(1, keepdims=True), [t / t.sum(1, keepdims=True) for t in tables])
-    return model
+def borders(kind: np.ndarray, size: np.ndarray, number: np.ndarray, like: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For blocks of documents on end (lines a block, number of the block in its document): the states expected at a block's first line by
+    what stands before it, what stands behind a block says of the states of its last line, and the expected moves between blocks."""
+    order, first = np.argsort(-size, kind="stable"), np.cumsum(size) - size
+    at, falling = first[order], -size[order]
+    through = np.eye(len(STATES))[:, :, None] * like[:, kind[at]]
+    for t in range(1, int(size.max())):
+        n = int(np.searchsorted(falling, -t, side="left"))
+        now = (through[:, :, None, :n] * model.moves[None, :, :, None]).sum(1) * like[:, kind[at[:n] + t]]
+        through[:, :, :n] = now / now.sum(0).sum(0)
+    through[:, :, order] = through.copy()
+    enter, leave = np.repeat(model.start[:, None], len(size), axis=1), np.ones((len(STATES), len(size)))
+    tail, pairs = np.ones((len(STATES), len(size))), np.zeros((len(STATES), len(STATES)))
+    follows = np.flatnonzero(number).tolist()
+    for b in follows:
+        leave[:, b - 1] = (enter[:, b - 1, None] * through[:, :, b - 1]).sum(0)
+        now = (leave[:, b - 1, None] * model.moves).sum(0)
+        enter[:, b] = now / now.sum()
+    for b in reversed(follows):
+        each = model.moves * (through[:, :, b] * tail[:, b]).sum(1)
+        both, ahead = leave[:, b - 1, None] * each, each.sum(1)
+        pairs += np.rint(both * (WHOLE / both.sum()))
+        tail[:, b - 1] = ahead / ahead.sum()
+    return enter, tail, pairs
+
+
+def expected(kind: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
+    """One Baum-Welch pass over documents on end (kind of each line, lines a document), whatever their length: expected starts (states),
+    moves (states x states) and lines (states x kinds), flat and in multiples of 1 / WHOLE.
+
+    All blocks of all documents advance together, a line a step, longest first: the lines of a step lie on end. Sums run over single
+    elements in a fixed order, so what a document adds doesn't depend on the others.
+    """
+    if not len(kind):
+        return np.zeros(len(STATES) * (1 + len(STATES) + len(BINS)), np.int64)
+    logs = model.emit(BINS)
+    like = np.exp(logs - logs.max(1, keepdims=True)).T
+    parts = -(-lengths // BLOCK)
+    doc = np.repeat(np.arange(len(lengths)), parts)
+    number = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+    size = np.minimum(BLOCK, lengths[doc] - number * BLOCK)
+    enter, tail, pairs = np.repeat(model.start[:, None], len(size), axis=1), np.ones((len(STATES), len(size))), np.zeros((len(STATES), len(STATES)))
+    cut = parts[doc] > 1
+    if cut.any():
+        enter[:, cut], tail[:, cut], pairs = borders(kind[np.repeat(cut, size)], size[cut], number[cut], like, model)
+
+    order = np.argsort(-size, kind="stable")
+    falling, enter, tail = -size[order], enter[:, order], tail[:, order]
+    cuts = np.concatenate([[0], np.cumsum(np.searchsorted(falling, -np.arange(-falling[0]), side="left"))])
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    step = np.arange(len(kind)) - np.repeat(np.cumsum(size) - size, size)
+    own = np.empty(len(kind), kind.dtype)
+    own[cuts[step] + np.repeat(rank, size)] = kind
+    held = np.empty((len(STATES), len(kind)))
+    now = enter * like[:, own[: cuts[1]]]
+    held[:, : cuts[1]] = now / now.sum(0)
+    steps = list(zip(cuts.tolist(), cuts[1:].tolist(), cuts[2:].tolist()))
+    for a, b, c in steps:
+        now = (model.moves.T[:, :, None] * held[None, :, a : a + c - b]).sum(1) * like[:, own[b:c]]
+        held[:, b:c] = now / now.sum(0)
+    back = tail[:, : cuts[-1] - cuts[-2]]
+    for a, b, c in reversed(steps):
+        each = model.moves[:, :, None] * (like[:, own[b:c]] * back)[None]
+        ahead, before = each.sum(1), held[:, a : a + c - b]
+        pairs += np.rint(before[:, None] * each * (WHOLE / (before * ahead).sum(0))).sum(2)
+        held[:, b:c] *= back
+        back = tail[:, : b - a].copy()
+        back[:, : c - b] = ahead / ahead.sum(0)
+    held[:, : cuts[1]] *= back
+    held *= WHOLE / held.sum(0)
+    np.rint(held, out=held)
+    start = held[:, : cuts[1]][:, number[order] == 0].sum(1)
+    return np.concatenate([start, pairs.ravel(), *[np.bincount(own, weights=h, minlength=len(BINS)) for h in held]]).astype(np.int64)
+
+
+def updated(counts: np.ndarray, prior: float = PRIOR) -> Model:
+    """The model of these expected counts (as expected gives them, in lines); the stated probabilities count as `prior` lines of each state
+    for up to PRIOR_DOCS documents, so that documents that lack a kind of line leave its state as it is."""
+    base, n = Model(), len(STATES)
+    start, moves, lines = counts[:n], counts[n : n + n * n].reshape(n, n), counts[n + n * n :].reshape(n, -1)
+    prior *= max(1.0, start.sum() / PRIOR_DOCS)
+    start, moves = prior * base.start + start, prior * base.moves + moves
+    tables = [prior * t + np.stack([lines[:, BINS[:, f] == k].sum(1) for k in range(t.shape[1])], axis=1) for f, t in enumerate(base.tables)]
+    return Model(start / start.sum(), moves / moves.sum(1, keepdims=True), [t / t.sum(1, keepdims=True) for t in tables])
 
 
 def viterbi(emit: np.ndarray, lengths: np.ndarray, model: Model | None = None) -> np.ndarray:
@@ -171,45 +232,86 @@ def _words() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.sort(word_hash(sorted(w))) for w in (function, UNITS.split(), ["tag", "tags"]))
 
 
-def fit(documents: DataFrame) -> Model:
-    """The model for these documents: Baum-Welch on a sample of at most SAMPLE documents of at most SAMPLE_LINES lines each, by the hash of
-    their id, whatever their source. Only the fit has a sample; every document is scored."""
+def _binary(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Values on end, n a row, as a binary column."""
+    ends = np.concatenate([[0], np.cumsum(n)]) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(values on end, number in each row) of a binary column."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    values = np.frombuffer(memoryview(raw)[ends[0] : ends[-1]] if raw is not None else b"", kind)
+    return values, np.diff(ends) // values.itemsize
+
+
+def observed(documents: DataFrame) -> DataFrame:
+    """(doc_id, kinds, words, copies): kind of each line (16 bits) and its words (32 bits) on end; rows that are alike in all this are one.
+    NULL doc_id is dropped, NULL and empty texts have no lines."""
     lists = _words()
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch, 1)):
-            row, _, bins = seen(Scan(b.column(1)), *lists)
+            row, k, bins = seen(Scan(b.column(1)), *lists)
             n = np.bincount(row, minlength=b.num_rows)
-            rows = np.flatnonzero((n > 0) & (n <= SAMPLE_LINES))
-            own = [bins[row == r].astype(np.uint8).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(own, pa.binary())], names=["h", "bins"])
+            kind = np.ravel_multi_index(tuple(bins.T), SHAPE).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([b.column(0), _binary(kind, n), _binary(k.astype(np.int32), n)], names=["doc_id", "kinds", "words"])
+
+    read = documents.where("doc_id is not null").select("doc_id", "text")
+    lines = read.mapInArrow(observe, f"doc_id {dict(documents.dtypes)['doc_id']}, kinds binary, words binary")
+    return lines.groupBy("doc_id", "kinds", "words").agg(F.count("*").alias("copies"))
 
-    h = F.xxhash64("doc_id")
-    every = max(1, documents.count())
-    drawn = documents.where("doc_id is not null").where(F.pmod(h, F.lit(every)) < SAMPLE).select(h.alias("h"), "text").mapInArrow(observe, "h long, bins binary")
-    parts = [np.frombuffer(bytes(r.bins), np.uint8).reshape(-1, len(EMISSIONS)) for r in drawn.distinct().orderBy("h").limit(SAMPLE).collect()]
-    return fitted(np.concatenate(parts).astype(np.int64), np.array([len(p) for p in parts])) if parts else Model()
+
+def fitted(lines: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
+    """Baum-Welch over all lines of all documents (rows of observed, stored): a pass over them a round. Only the sums reach the driver."""
+    model = Model()
+
+    for _ in range(rounds):
+
+        def count(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
+            for b in (part for batch in batches for part in slices(batch, 0)):
+                kind, n = _values(b.column(0), np.uint16)
+                sums = expected(kind, n, model)
+                at = np.flatnonzero(sums)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["at", "n"])
+
+        sums = lines.where(F.length("kinds") > 0).select("kinds").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
+        counts = np.zeros(len(STATES) * (1 + len(STATES) + len(BINS)))
+        for r in sums.collect():
+            counts[r.at] = int(r.n) / WHOLE
+        model = updated(counts, prior)
+    return model
+
+
+def fit(documents: DataFrame) -> Model:
+    """The model for these documents: Baum-Welch over all their lines."""
+    return fitted(stored(observed(documents), "lines"))
 
 
 def scored(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, words, prose, apparatus, link_list, tag_list, menu): words of each document by the state of their line.
 
-    The model is fitted to the documents unless given. NULL and empty texts have 0 words; a row that repeats a doc_id is scored again, alike.
-    NULL doc_id is dropped.
+    The model is fitted to the documents unless given. NULL and empty texts have 0 words; a row that repeats a doc_id is scored again, alike,
+    and counts once for the fit. NULL doc_id is dropped. The text is read once; the fit and the scores take the stored lines.
     """
-    model, lists = model or fit(documents), _words()
+    lines = observed(documents)
+    if model is None:
+        lines = stored(lines, "lines")
+        model = fitted(lines)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = model.emit(BINS)
         for batch in batches:
             for b in slices(batch, 1):
-                row, k, bins = seen(Scan(b.column(1)), *lists)
-                state = viterbi(model.emit(bins), np.bincount(row, minlength=b.num_rows), model)
-                counts = [np.bincount(row[state == s], weights=k[state == s], minlength=b.num_rows).astype(np.int32) for s in range(len(STATES))]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sum(counts)), *map(pa.array, counts)], names=["doc_id", "words", *STATES])
+                (kind, n), k = _values(b.column(1), np.uint16), _values(b.column(2), np.int32)[0]
+                row, state = np.repeat(np.arange(len(n)), n), viterbi(logs[kind], n, model)
+                counts = [np.bincount(row[state == s], weights=k[state == s], minlength=len(n)).astype(np.int32) for s in range(len(STATES))]
+                out = pa.RecordBatch.from_arrays([b.column(0), pa.array(sum(counts)), *map(pa.array, counts)], names=["doc_id", "words", *STATES])
+                yield out.take(pa.array(np.repeat(np.arange(len(n)), b.column(3).to_numpy())))
 
-    kind = dict(documents.dtypes)["doc_id"]
-    read = documents.where("doc_id is not null").select("doc_id", "text")
-    return read.mapInArrow(score, f"doc_id {kind}, words int, " + ", ".join(f"{s} int" for s in STATES))
+    return lines.mapInArrow(score, f"doc_id {dict(documents.dtypes)['doc_id']}, words int, " + ", ".join(f"{s} int" for s in STATES))
 
 
 def flagged(documents: DataFrame, share: float = SHARE) -> DataFrame:

@@ -491,3 +491,37 @@ def test_viterbi_against_all_paths():
             score = lambda p: np.log(spam.START)[p[0]] + sum(own[i, s] for i, s in enumerate(p)) + sum(np.log(spam.MOVES)[a][b] for a, b in zip(p, p[1:]))
             assert tuple(got[at : at + n]) == max(itertools.product(range(5), repeat=int(n)), key=score)
         at += n
+
+
+def test_spam_fit_takes_all_lines(spark):
+    r = random.Random(5)
+    line = lambda: r.choice([sentence(r, 9), f"http://site{r.randint(0, 99)}.example/page", "#buyharbor #freeharbor #saleharbor", "Old Press. (1907)."])
+    rows = [(i, "\n".join(line() for _ in range(r.randint(1, 3)))) for i in range(2100)]
+    fit = lambda rows, parts=2: spam.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+    flat = lambda m: np.concatenate([m.start, m.moves.ravel(), *[t.ravel() for t in m.tables]])
+    once = flat(fit(rows))
+    assert np.allclose(flat(fit(rows + [(i + 10_000, t) for i, t in rows])), once, atol=1e-9)  # twice the corpus, none left out: the same model
+    assert (flat(fit(rows[::-1] + rows[:40], 5)) == once).all()  # any order and parts, repeated rows
+    assert abs(flat(fit([(1, "\n".join(line() for _ in range(600)))])) - flat(spam.Model())).max() > 0.01  # a long document counts too
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 512])
+def test_spam_pass_against_all_paths(monkeypatch, block):
+    monkeypatch.setattr(spam, "BLOCK", block)
+    g = np.random.default_rng(4)
+    model, lengths = spam.Model(), np.array([2, 0, 4, 1, 3])
+    kind = g.integers(0, len(spam.BINS), lengths.sum()).astype(np.uint16)
+    got, want, at = spam.expected(kind, lengths, model), np.zeros(5 * (6 + len(spam.BINS))), 0
+    like = np.exp(model.emit(spam.BINS))
+    for n in lengths:
+        own = kind[at : at + n]
+        paths = list(itertools.product(range(5), repeat=int(n))) if n else []
+        p = np.array([model.start[s[0]] * np.prod([like[k, x] for k, x in zip(own, s)]) * np.prod([model.moves[a, b] for a, b in zip(s, s[1:])]) for s in paths])
+        for s, q in zip(paths, p / p.sum()):
+            want[s[0]] += q
+            for a, b in zip(s, s[1:]):
+                want[5 + 5 * a + b] += q
+            for k, x in zip(own, s):
+                want[30 + x * len(spam.BINS) + k] += q
+        at += n
+    assert np.allclose(got / spam.WHOLE, want, atol=1e-7)
